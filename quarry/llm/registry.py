@@ -1,6 +1,6 @@
 """Queries of this subpackage for ``__spark_entry__``."""
 
-from quarry.llm import parse_validity
+from quarry.llm import mojibake, parse_validity
 from quarry.sources.tables import table
 
 
@@ -19,3 +19,14 @@ def p4_rates(spark, folder):
 
 QUERIES = {"p4_found": p4_found, "p4_parse_status": p4_parse_status, "p4_rates": p4_rates}
 ORACLES: dict[str, str] = {}
+
+
+def p9_restored(spark, folder):
+    return mojibake.garbled_documents(table(spark, folder, "documents")).distinct()
+
+
+def p9_found(spark, folder):
+    return mojibake.garbled_documents(table(spark, folder, "documents")).select("doc_id").distinct()
+
+
+QUERIES |= {"p9_found": p9_found, "p9_restored": p9_restored}
