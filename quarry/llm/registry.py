@@ -1,6 +1,8 @@
 """Queries of this subpackage for ``__spark_entry__``."""
 
-from quarry.llm import mojibake, parse_validity
+from pyspark.sql import functions as F
+
+from quarry.llm import mojibake, packing, parse_validity, splitting, tokenize
 from quarry.sources.tables import table
 
 
@@ -30,3 +32,32 @@ def p9_found(spark, folder):
 
 
 QUERIES |= {"p9_found": p9_found, "p9_restored": p9_restored}
+
+
+def p2_pieces(spark, folder):
+    return splitting.oversized_pieces(table(spark, folder, "semantic_chunks")).dropDuplicates(["chunk_id", "source_hash", "piece_no"])
+
+
+def p2_found(spark, folder):
+    return splitting.oversized_pieces(table(spark, folder, "semantic_chunks")).select("chunk_id").distinct()
+
+
+QUERIES |= {"p2_found": p2_found, "p2_pieces": p2_pieces}
+ORACLES["p2_found"] = "select distinct id as chunk_id from semantic_chunks where length(text) // 4 > 512"
+
+
+def p7_ids(spark, folder):
+    return tokenize.encode_documents(table(spark, folder, "documents"))
+
+
+def p8_containers(spark, folder):
+    return packing.pack_documents(table(spark, folder, "documents"))
+
+
+def p8_fill(spark, folder):
+    """How many containers there are, and the share of their space that is used."""
+    fill = packing.container_fill(packing.pack_documents(table(spark, folder, "documents")))
+    return fill.agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), F.round(F.sum("used") / (F.count("*") * packing.CAPACITY), 4).alias("share_used"))
+
+
+QUERIES |= {"p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
