@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quarry.llm import mojibake, packing, parse_validity, splitting, tokenize
+from quarry.llm import mojibake, neardup, packing, parse_validity, splitting, tokenize
 from quarry.sources.tables import table
 
 
@@ -61,3 +61,28 @@ def p8_fill(spark, folder):
 
 
 QUERIES |= {"p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
+
+
+def p6_found(spark, folder):
+    return neardup.similar_pairs(neardup.function_texts(table(spark, folder, "semantic_chunks")))
+
+
+def p6_groups(spark, folder):
+    texts = neardup.function_texts(table(spark, folder, "semantic_chunks"))
+    hashes = texts.select("id", "symbol_id").join(table(spark, folder, "code_symbols").select(F.col("id").alias("symbol_id"), "content_hash"), "symbol_id").select("id", "content_hash")
+    return neardup.similar_groups(texts, hashes)
+
+
+QUERIES |= {"p6_found": p6_found, "p6_groups": p6_groups}
+_SETS_SQL = """
+with texts as (
+  select distinct id, regexp_extract_all(lower(text), '[a-z0-9_]+') as t from semantic_chunks
+  where chunk_type in ('function', 'method')),
+sets as (
+  select id, unnest(list_distinct(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]))) as s
+  from texts where len(t) >= 30),
+sizes as (select id, count(*) as n from sets group by id),
+shared as (select a.id as a, b.id as b, count(*) as k from sets a join sets b on a.s = b.s and a.id < b.id group by a.id, b.id)
+"""
+ORACLES["p6_found"] = _SETS_SQL + """select a as chunk_id_a, b as chunk_id_b from shared join sizes x on x.id = a join sizes y on y.id = b
+where k * 10 >= 7 * (x.n + y.n - k)"""
