@@ -25,9 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 
 
 #: Mean, smallest and largest chunk, in bytes.
-MASK_BITS, LEAST, MOST = 9, 64, 8192
+MASK_BITS, LEAST, MOST = 10, 64, 8192
 WINDOW = 16
-#: Beyond so many distinct white-space-free characters in a row the repair simply carries text on.
 _GEAR = np.random.default_rng(20240229).integers(0, 2**32, 256, dtype=np.uint32)
 
 
