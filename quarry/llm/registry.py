@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quarry.llm import mojibake, neardup, packing, parse_validity, splitting, tokenize
+from quarry.llm import handwritten, mojibake, neardup, packing, parse_validity, splitting, tokenize
 from quarry.sources.tables import table
 
 
@@ -86,3 +86,18 @@ shared as (select a.id as a, b.id as b, count(*) as k from sets a join sets b on
 """
 ORACLES["p6_found"] = _SETS_SQL + """select a as chunk_id_a, b as chunk_id_b from shared join sizes x on x.id = a join sizes y on y.id = b
 where k * 10 >= 7 * (x.n + y.n - k)"""
+
+
+def p1_found(spark, folder):
+    return handwritten.generated_files(table(spark, folder, "file_records"), table(spark, folder, "corpus"))
+
+
+def p1_files(spark, folder):
+    """What each file of the corpus is, beside what its record and the ledger of earlier scans say."""
+    files = handwritten.classify_files(table(spark, folder, "corpus"))
+    recorded = table(spark, folder, "file_records").groupBy(F.col("id").alias("file_id")).agg(F.max_by("is_generated", F.struct("scanned_at", "is_generated")).alias("recorded"))
+    ledger = table(spark, folder, "excluded_files").groupBy("repo", "path").agg(F.min(F.upper("reason")).alias("ledger_reason"))
+    return files.select("file_id", "repo", "path", "is_generated", "kind", "evidence", "line_count", "max_line").join(recorded, "file_id", "left").join(ledger, ["repo", "path"], "left")
+
+
+QUERIES |= {"p1_found": p1_found, "p1_files": p1_files}
