@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quarry.llm import handwritten, mojibake, neardup, packing, parse_validity, splitting, tokenize
+from quarry.llm import docpairs, handwritten, mojibake, neardup, packing, parse_validity, splitting, tokenize
 from quarry.sources.tables import table
 
 
@@ -101,3 +101,14 @@ def p1_files(spark, folder):
 
 
 QUERIES |= {"p1_found": p1_found, "p1_files": p1_files}
+
+
+def p5_pairs(spark, folder):
+    return docpairs.function_pairs(table(spark, folder, "code_symbols"), table(spark, folder, "corpus"))
+
+
+def p5_found(spark, folder):
+    return p5_pairs(spark, folder).select("symbol_id")
+
+
+QUERIES |= {"p5_found": p5_found, "p5_pairs": p5_pairs}
