@@ -1,0 +1,72 @@
+"""The boundary between syntax and model: what every backend returns for one file, and its Spark schema."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+from typing import Any, Protocol
+
+from quarry.functions.spans import SPAN
+
+_SYMBOL = f"struct<ordinal:int,name:string,qualified_name:string,symbol_type:string,signature:string,documentation:string,parent:string,span:{SPAN}>"
+_IMPORT = f"struct<ordinal:int,module:string,names:array<string>,alias:string,enclosing:string,span:{SPAN}>"
+_CALL = f"struct<callee:string,receiver:string,enclosing:string,span:{SPAN}>"
+_INHERIT = f"struct<base:string,enclosing:string,span:{SPAN}>"
+_BINDING = f"struct<name:string,type_name:string,scope:string,enclosing:string,span:{SPAN}>"
+_DIAGNOSTIC = "struct<severity:string,code:string,message:string,line:int,recovery:string>"
+#: One row per file.
+PARSED = f"path string, parse_status string, parse_error string, node_count int, max_depth int, symbols array<{_SYMBOL}>, imports array<{_IMPORT}>, calls array<{_CALL}>, inherits array<{_INHERIT}>, bindings array<{_BINDING}>, diagnostics array<{_DIAGNOSTIC}>"
+
+#: At most so many syntax diagnostics of a file; a summary row says how many there were.
+MAX_DIAGNOSTICS = 100
+# Containers whose functions are methods, and receivers that mean the instance itself.
+METHOD_CONTAINERS = frozenset(["CLASS", "INTERFACE", "ENUM"])
+SELF_NAMES = frozenset(["self", "this", "cls", "Self", "Me", "$this", "static", "@"])
+
+
+def span(start_line: int, start_col: int, end_line: int, end_col: int) -> dict[str, int]:
+    return {"start_line": start_line, "start_col": start_col, "end_line": end_line, "end_col": end_col}
+
+
+@dataclass
+class Facts:
+    """What one file says, before any resolution."""
+
+    parse_status: str = "OK"
+    parse_error: str | None = None
+    node_count: int = 0
+    max_depth: int = 0
+    symbols: list[dict[str, Any]] = field(default_factory=list)
+    imports: list[dict[str, Any]] = field(default_factory=list)
+    calls: list[dict[str, Any]] = field(default_factory=list)
+    inherits: list[dict[str, Any]] = field(default_factory=list)
+    bindings: list[dict[str, Any]] = field(default_factory=list)
+    diagnostics: list[dict[str, Any]] = field(default_factory=list)
+
+    def say(self, severity: str, code: str, message: str, line: int | None = None, recovery: str = "none") -> None:
+        self.diagnostics.append({"severity": severity, "code": code, "message": message, "line": line, "recovery": recovery})
+
+    def row(self, path: str) -> dict[str, Any]:
+        shown = self.diagnostics
+        if len(shown) > MAX_DIAGNOSTICS:
+            rest = len(shown) - MAX_DIAGNOSTICS
+            whole = [d for d in shown if d["code"] == "parse.no_clean_statements"]
+            shown = shown[:MAX_DIAGNOSTICS] + [{"severity": "WARNING", "code": "parse.truncated", "message": f"{rest} further problems", "line": None, "recovery": "statement"}]
+            shown += [d for d in whole if d not in shown]
+        return {"path": path, **{k: getattr(self, k) for k in ("parse_status", "parse_error", "node_count", "max_depth", "symbols", "imports", "calls", "inherits", "bindings")}, "diagnostics": shown}
+
+
+class Backend(Protocol):
+    """A parser and extractor of one or more languages.  Never raises: failure is part of the facts."""
+
+    def facts(self, source: bytes, language: str, path: str) -> Facts: ...
+
+
+def first_wins(rows: list[dict[str, Any]], *keys: str) -> list[dict[str, Any]]:
+    """Rows without later repetitions of (keys, start)."""
+    seen, out = set(), []
+    for r in rows:
+        k = (*(r[x] for x in keys), r["span"]["start_line"], r["span"]["start_col"])
+        if k not in seen:
+            seen.add(k)
+            out.append(r)
+    return out
