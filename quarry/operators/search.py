@@ -54,12 +54,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, score, position: the ``k`` nearest vectors of each query vector by cosine, never
     itself; scores rounded to 6 places, ties by vec_id.
 
-    The stated query set is held in blocks against all vectors: each block of queries is an array in one
-    row, so a vector meets a block in one row and emits only its pairs.  Each task keeps k per query
-    before the shuffle.
+    The stated query set is held in blocks of about 256 against all vectors: each block of queries is an
+    array in one row, so a vector meets a block in one row and emits only its pairs.  Each group of vectors
+    keeps its best k per query before the final ranking.
     """
-    blocks = queries.select(F.pmod(F.col("vec_id"), F.lit(8)).alias("block"), F.struct(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")).alias("q")).groupBy("block").agg(F.collect_list("q").alias("qs"))
-    spread = vectors.select("vec_id", "embedding").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    n_blocks = max(1, -(-queries.count() // 256))
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))
+    blocks = queries.select(block.alias("block"), F.struct(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")).alias("q")).groupBy("block").agg(F.collect_list("q").alias("qs"))
+    spread = vectors.where("vec_id is not null and embedding is not null").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("block"))
     pairs = spread.join(blocks, "block").select("vec_id", "embedding", F.explode("qs").alias("q")).where("vec_id <> q.query_id")
     scored = pairs.select(F.col("q.query_id").alias("query_id"), "vec_id", F.round(cosine(F.col("embedding"), F.col("q.query")), 6).alias("score"))
     part = W.partitionBy("query_id", F.pmod("vec_id", F.lit(16))).orderBy(F.desc("score"), "vec_id")
