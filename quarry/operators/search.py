@@ -22,6 +22,10 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^a-z0-9_]+"), lambda t: t != "")
 
 
+def _occurrences(words: Column, word: str) -> Column:
+    return F.size(F.filter(words, lambda x: x == word))
+
+
 def inverted_index(texts: DataFrame) -> DataFrame:
     """token, id, tf of texts (id, text)."""
     return texts.select("id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("token", "id").agg(F.count("*").alias("tf"))
@@ -35,7 +39,7 @@ def bm25(texts: DataFrame, query: list[str], k: int) -> DataFrame:
     """
     words = sorted({q.lower() for q in query})
     t = texts.where("text is not null").select("id", tokens(F.col("text")).alias("t"))
-    sized = t.select("id", F.size("t").alias("len"), *(F.size(F.filter("t", lambda x, w=w: x == w)).alias(f"tf{i}") for i, w in enumerate(words)))
+    sized = t.select("id", F.size("t").alias("len"), *(_occurrences(F.col("t"), w).alias(f"tf{i}") for i, w in enumerate(words)))
     stats = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))))
     hits = sized.where(F.greatest(F.lit(0), *(F.col(f"tf{i}") for i in range(len(words)))) > 0).crossJoin(F.broadcast(stats))  # one row
     score = sum((F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))) for i in range(len(words))), F.lit(0.0))

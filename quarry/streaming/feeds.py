@@ -72,5 +72,7 @@ def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 def replay(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """A Parquet table, one file or many, as a stream."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{table}.parquet")
+    path = f"{folder}/{table}.parquet"
+    rows = spark.read.parquet(path)
+    single = any(f.endswith(f"/{table}.parquet") for f in rows.inputFiles()[:1])
+    return spark.readStream.schema(rows.schema).option("pathGlobFilter", f"{table}.parquet" if single else "*.parquet").parquet(folder if single else path)
