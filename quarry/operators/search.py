@@ -19,7 +19,8 @@ def search_symbols(symbols: DataFrame, needle: str, k: int) -> DataFrame:
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^a-z0-9_]+"), lambda t: t != "")
+    """The runs of ASCII letters, digits and ``_``, in lower case."""
+    return F.transform(F.filter(F.split(text, r"[^A-Za-z0-9_]+"), lambda t: t != ""), F.lower)
 
 
 def _occurrences(words: Column, word: str) -> Column:

@@ -238,7 +238,7 @@ def _bm25(words: list[str], k: int) -> str:
   where greatest({", ".join(f"tf{i}" for i in range(len(words)))}) > 0 order by score desc, id limit {k}))"""
 
 
-_TOKS = "with toks as (select doc_id as id, list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda x: x <> '') as t from documents where text is not null) "
+_TOKS = "with toks as (select doc_id as id, list_transform(list_filter(string_split_regex(text, '[^A-Za-z0-9_]+'), lambda x: x <> ''), lambda x: lower(x)) as t from documents where text is not null) "
 _WINDOW = "select {start} as window_start, event_type, count(*) as n, round(sum(value), 4) as total from {source} group by all"
 _NEEDLE = f"""with s as (select id, name, qualified_name, min(documentation) as documentation from code_symbols group by all),
 r as (select id, name, qualified_name, case when lower(name) = '{NEEDLE}' then 1 when lower(qualified_name) = '{NEEDLE}' then 2 when starts_with(lower(name), '{NEEDLE}') then 3 when contains(lower(qualified_name), '{NEEDLE}') then 4
