@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from quarry.sources.tables import spread
+
 K1, B = 1.2, 0.75
 
 
@@ -23,10 +25,6 @@ def tokens(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, r"[^A-Za-z0-9_]+"), lambda t: t != ""), F.lower)
 
 
-def _occurrences(words: Column, word: str) -> Column:
-    return F.size(F.filter(words, lambda x: x == word))
-
-
 def inverted_index(texts: DataFrame) -> DataFrame:
     """token, id, tf of texts (id, text)."""
     return texts.select("id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("token", "id").agg(F.count("*").alias("tf"))
@@ -35,12 +33,13 @@ def inverted_index(texts: DataFrame) -> DataFrame:
 def bm25(texts: DataFrame, query: list[str], k: int) -> DataFrame:
     """id, score, position of the ``k`` best texts for the query's tokens; score rounded to 6 places.
 
-    Only the query's tokens are exploded; document lengths are counted in the same pass, and the corpus
-    statistics are one row.
+    Nothing is exploded: lengths and occurrences are counted by patterns in one pass, and the corpus
+    statistics are one row.  Query words are runs of ASCII letters, digits and ``_``.
     """
     words = sorted({q.lower() for q in query})
-    t = texts.where("text is not null").select("id", tokens(F.col("text")).alias("t"))
-    sized = t.select("id", F.size("t").alias("len"), *(_occurrences(F.col("t"), w).alias(f"tf{i}") for i, w in enumerate(words)))
+    inside = "[A-Za-z0-9_]"
+    t = spread(texts.where("text is not null").select("id", "text"), "id")
+    sized = t.select("id", F.regexp_count("text", F.lit(f"{inside}+")).alias("len"), *(F.regexp_count("text", F.lit(f"(?i)(?<!{inside}){w}(?!{inside})")).alias(f"tf{i}") for i, w in enumerate(words)))
     stats = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))))
     hits = sized.where(F.greatest(F.lit(0), *(F.col(f"tf{i}") for i in range(len(words)))) > 0).crossJoin(F.broadcast(stats))  # one row
     score = sum((F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))) for i in range(len(words))), F.lit(0.0))
@@ -48,11 +47,18 @@ def bm25(texts: DataFrame, query: list[str], k: int) -> DataFrame:
     return best.withColumn("position", F.row_number().over(W.orderBy(F.desc("score"), "id")))
 
 
+def dot(a: Column, b: Column) -> Column:
+    """The dot product of two arrays of equal length, in double precision."""
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def norm(a: Column) -> Column:
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
+
+
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity of two arrays of equal length, in double precision; null if a norm is 0."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm)
+    """Cosine similarity; null if a norm is 0."""
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -65,10 +71,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """
     n_blocks = max(1, -(-queries.count() // 256))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))
-    blocks = queries.select(block.alias("block"), F.struct(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")).alias("q")).groupBy("block").agg(F.collect_list("q").alias("qs"))
-    spread = vectors.where("vec_id is not null and embedding is not null").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("block"))
-    pairs = spread.join(blocks, "block").select("vec_id", "embedding", F.explode("qs").alias("q")).where("vec_id <> q.query_id")
-    scored = pairs.select(F.col("q.query_id").alias("query_id"), "vec_id", F.round(cosine(F.col("embedding"), F.col("q.query")), 6).alias("score"))
+    blocks = queries.select(block.alias("block"), F.struct(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), norm(F.col("embedding")).alias("size")).alias("q")).groupBy("block").agg(F.collect_list("q").alias("qs"))
+    usable = vectors.where("vec_id is not null and embedding is not null").select("vec_id", "embedding")
+    copies = spread(usable, "vec_id").select("vec_id", "embedding", norm(F.col("embedding")).alias("size"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("block"))
+    pairs = copies.join(blocks, "block").select("vec_id", "embedding", "size", F.explode("qs").alias("q")).where("vec_id <> q.query_id")
+    scored = pairs.select(F.col("q.query_id").alias("query_id"), "vec_id", F.round(F.try_divide(dot(F.col("embedding"), F.col("q.query")), F.col("size") * F.col("q.size")), 6).alias("score"))
     part = W.partitionBy("query_id", F.pmod("vec_id", F.lit(16))).orderBy(F.desc("score"), "vec_id")
     some = scored.withColumn("r", F.row_number().over(part)).where(F.col("r") <= k).drop("r")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

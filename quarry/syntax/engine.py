@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.functions import languages
+from quarry.sources.tables import spread
 from quarry.syntax.facts import PARSED, Backend, Facts
 from quarry.syntax.python_ast import PythonBackend
 from quarry.syntax.rules import DEFINITIONS, RulesBackend
@@ -38,10 +39,11 @@ def parse_one(source: bytes, language: str | None, path: str, backends: dict[str
 def parse_files(files: DataFrame) -> DataFrame:
     """One row of facts per file of ``files`` (path, content, and language if known).
 
-    Parsing is narrow: no shuffle, one Arrow batch at a time.  Null content gives no row.
+    Parsing is narrow, one Arrow batch at a time; only a source of few splits is spread first.  Null content gives no row.
     """
     language = F.col("language") if "language" in files.columns else languages.detect(F.col("path"))
     rows = files.where("content is not null").select("path", F.col("content").cast("binary").alias("content"), language.alias("language"))
+    rows = spread(rows, "path")
     backends = dict(BACKENDS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -7,6 +7,7 @@ the extent of a declaration is its balanced braces, or up to the ``end`` of its
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 from quarry.syntax.facts import METHOD_CONTAINERS, Facts, first_wins, span
 from quarry.syntax.python_ast import module_path, module_symbol
@@ -77,6 +78,7 @@ class RulesBackend:
         if language not in DEFINITIONS:
             f.say("WARNING", "extract.no_query", f"no extraction rules for {language}")
             return f
+        self.ascii = text.isascii()
         literals = re.compile(LITERALS.get(language, _C_LITERALS))
         blank = literals.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
         starts = [0, *(m.end() for m in re.finditer("\n", text))]
@@ -85,11 +87,12 @@ class RulesBackend:
         self.balance(f, blank)
         return f
 
-    def position(self, starts: list[int], text: str, at: int) -> tuple[int, int]:
-        from bisect import bisect_right
+    ascii = False
 
+    def position(self, starts: list[int], text: str, at: int) -> tuple[int, int]:
         line = bisect_right(starts, at)
-        return line, len(text[starts[line - 1] : at].encode())
+        first = starts[line - 1]
+        return line, at - first if self.ascii else len(text[first:at].encode())
 
     def extent(self, blank: str, at: int, language: str) -> int:
         """Where the declaration that begins at ``at`` ends."""
@@ -148,16 +151,11 @@ class RulesBackend:
         f.inherits = first_wins(f.inherits, "base")
 
     def references(self, f: Facts, text: str, blank: str, starts: list[int], language: str) -> None:
-        spans = sorted((s["span"]["start_line"], s["span"]["end_line"], s["qualified_name"]) for s in f.symbols[1:])
-
-        def owner(line: int) -> str | None:
-            best = None
-            for lo, hi, name in spans:
-                if lo > line:
-                    break
-                if hi >= line:
-                    best = name
-            return best
+        owners: list[str | None] = [None] * (len(starts) + 2)
+        for s in sorted(f.symbols[1:], key=lambda s: (s["span"]["start_line"], -s["span"]["end_line"])):  # inner ones later
+            lo, hi = s["span"]["start_line"], min(s["span"]["end_line"], len(starts))
+            owners[lo : hi + 1] = [s["qualified_name"]] * (hi + 1 - lo)
+        owner = owners.__getitem__
 
         for pattern in IMPORTS.get(language, []):
             for m in re.compile(pattern, re.M).finditer(text):
