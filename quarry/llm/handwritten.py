@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.llm.syntax import lexer
+from quarry.sources.tables import spread
 
 # Directories of other projects' code, and of tools' output.
 VENDOR_DIRS = "vendor vendored _vendor third_party third-party thirdparty node_modules bower_components site-packages dist-packages external externals extern deps godeps jspm_packages pods".split()
@@ -209,7 +210,7 @@ def classify_files(corpus: DataFrame) -> DataFrame:
 
     Null and empty contents are judged by path alone; a null path is no evidence.  Other columns are ignored.
     """
-    return corpus.select("file_id", "repo", "path", "content").mapInArrow(_classify, CLASSES)
+    return spread(corpus.select("file_id", "repo", "path", "content"), "file_id").mapInArrow(_classify, CLASSES)
 
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.operators.components import connected_components
-from quarry.sources.tables import cut
+from quarry.sources.tables import cut, spread
 
 LEAST_TOKENS, SHINGLE, HALVES, ROWS = 30, 3, 14, 2
 #: Similarity threshold as a fraction of integers, so that verification is exact.
@@ -128,7 +128,7 @@ def similarity_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs of representatives of similarity at least 0.7, each once.  Texts of fewer than 30 tokens, empty
     and null texts are in neither.  A repeated row counts once.
     """
-    base = cut(texts.where("id is not null and text is not null").select("id", "text").mapInArrow(_sets, SETS))
+    base = cut(spread(texts.where("id is not null and text is not null").select("id", "text"), "id").mapInArrow(_sets, SETS))
     reps = cut(base.groupBy("digest").agg(F.first("shingles", ignorenulls=True).alias("shingles")).withColumn("rid", F.monotonically_increasing_id()))
     members = base.select("id", "digest").distinct().join(reps.select("digest", "rid"), "digest").select("id", "rid").distinct()
     keys = reps.select("rid", "shingles").mapInArrow(_keys, "key bigint, rid bigint")

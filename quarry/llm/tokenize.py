@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from quarry.sources.tables import spread
+
 
 #: Mean, smallest and largest chunk, in bytes.
 MASK_BITS, LEAST, MOST = 10, 64, 8192
@@ -264,7 +266,7 @@ def encode_documents(documents: DataFrame, ranks_path: str | None = None) -> Dat
     """
     ranks_path = ranks_path or default_ranks()
     rows = documents.where("doc_id is not null").select("doc_id", "text")
-    full = rows.where("text <> ''")
+    full = spread(rows.where("text <> ''"), "doc_id")
     refs = full.mapInArrow(_chunks(False), "doc_id bigint, seq int, digest binary")
     distinct = full.mapInArrow(_chunks(True), "digest binary, chunk string").groupBy("digest").agg(F.first("chunk").alias("chunk"))
     encoded = distinct.mapInArrow(_encode(ranks_path), ENCODED)
@@ -286,4 +288,4 @@ def token_counts(documents: DataFrame, ranks_path: str | None = None) -> DataFra
             counts = [len(encode(t)) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64())], names=["doc_id", "tokens"])
 
-    return documents.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id bigint, tokens bigint").dropDuplicates(["doc_id"])
+    return spread(documents.where("doc_id is not null").select("doc_id", "text"), "doc_id").mapInArrow(run, "doc_id bigint, tokens bigint").dropDuplicates(["doc_id"])
