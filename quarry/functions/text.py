@@ -38,9 +38,9 @@ def line_count(text: Column | str) -> Column:
 
 
 def estimate_tokens(text: Column | str) -> Column:
-    """A quarter of the characters, at least 1; 0 for an empty text."""
+    """A quarter of the characters, at least 1; 0 for an empty text, null for a null."""
     t = _col(text)
-    return F.when(t == "", 0).otherwise(F.greatest(F.lit(1), F.floor(F.length(t) / CHARS_PER_TOKEN))).cast("int")
+    return F.when(t == "", 0).when(t.isNotNull(), F.greatest(F.lit(1), F.floor(F.length(t) / CHARS_PER_TOKEN))).cast("int")
 
 
 def hash_text(text: Column | str) -> Column:
