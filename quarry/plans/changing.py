@@ -2,7 +2,7 @@
 
 from pyspark.sql import Window as W, functions as F
 
-from quarry.operators import changes, model, nesting, snapshot_diff, validate
+from quarry.operators import changes, lookups, model, nesting, snapshot_diff, validate
 from quarry.sources.tables import table
 
 
@@ -141,9 +141,21 @@ def claim_validation(spark, folder):
     return validate.claim_verdicts(claims, edges)
 
 
+def degraded_files(spark, folder):
+    return lookups.degraded_files(table(spark, folder, "file_records")).select("id", "parse_status").distinct()
+
+
+def source_files(spark, folder):
+    return lookups.source_files(table(spark, folder, "file_records")).select("id", "file_kind").distinct()
+
+
+def unresolved_edges(spark, folder):
+    return lookups.unresolved(_relationships(spark, folder)).select("id", "target_symbol_id").distinct()
+
+
 QUERIES = {
     f.__name__: f
-    for f in (change_detect, change_stats, scheduled_paths, rename_pairs, reuse_plan, restamp, nesting_parents, enclosing_lookup, doc_attach, validate_files, validate_symbols, validate_chunks, validate_evidence, validate_relationships, dangling_references, duplicate_ids, valid_symbols, model_counts, status_histogram, claim_validation)
+    for f in (change_detect, change_stats, scheduled_paths, rename_pairs, reuse_plan, restamp, nesting_parents, enclosing_lookup, doc_attach, validate_files, validate_symbols, validate_chunks, validate_evidence, validate_relationships, dangling_references, duplicate_ids, valid_symbols, model_counts, status_histogram, claim_validation, degraded_files, source_files, unresolved_edges)
 }
 
 _ENDS = r"""
@@ -232,6 +244,9 @@ ORACLES = {
   g as (select repo as answer_id, count(id) as claims, count(k.symbol_id) as grounded from c left join k using (symbol_id) group by repo)
   select *, case when claims = 0 then 'INSUFFICIENT' when claims = grounded then 'PASS' else 'FAIL' end as verdict, round(grounded / claims, 6) as score from g""",
 }
+ORACLES["degraded_files"] = "select distinct id, parse_status from file_records where parse_status in ('PARTIAL', 'FAILED')"
+ORACLES["source_files"] = "select distinct id, file_kind from file_records where file_kind = 'SOURCE'"
+ORACLES["unresolved_edges"] = f"select distinct id, target_symbol_id from {_REL} where starts_with(target_symbol_id, 'unresolved:')"
 ORACLES["validate_evidence"] = """with e as (select 'ev_' || left(sha1(id || chr(31) || file_id || chr(31) || location.start_line || chr(31) || location.end_line || chr(31) || 'offline.ast'), 16) as id, id as entity_id, file_id, location.start_line as s, location.end_line as e, model_version
   from (select distinct id, file_id, location, model_version from code_symbols))
   select 'evidence' as entity_kind, id as entity_id, 'start_line must be >= 1' as rule from e where s < 1 union all select 'evidence', id, 'end_line precedes start_line' from e where e < s
