@@ -1,7 +1,9 @@
 """Text that was decoded with the wrong character encoding: found, and restored where possible.
 
 The garbled form of every character of a repertoire is computed for all encoding pairs, and one
-Aho-Corasick automaton finds them all in one pass.  Two families of pairs exist:
+Aho-Corasick automaton finds them all in one pass.  The sequences of the other assigned characters (CJK,
+Hebrew, Arabic, combining marks and so on) are too many to list: they are matched by the classes of lead and
+continuation bytes.  Two families of pairs exist:
 
 * UTF-8 bytes read as a single-byte encoding: each character becomes a sequence of two to four, which is
   evidence in itself.  Matched spans are encoded back and decoded as UTF-8, again and again while
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,8 +36,8 @@ SINGLE = ["cp1251", "koi8-r", "cp866", "iso8859-5", "mac_cyrillic"]
 SINGLE_WRONG = ["cp1251", "koi8-r", "cp866", "cp1252", "latin-1", "cp1250", "cp437", "cp850", "mac_roman", "iso8859-5", "mac_cyrillic"]
 # Blocks whose characters texts use: Latin, Greek, Cyrillic, punctuation, symbols, box drawing, kana.
 BLOCKS = [(0x80, 0x250), (0x370, 0x460), (0x2010, 0x2070), (0x20A0, 0x20C0), (0x2100, 0x2200), (0x2200, 0x2270), (0x2500, 0x2600), (0x2600, 0x27C0), (0x3000, 0x3100)]
-# Lead bytes of the longer sequences that aren't listed character by character: CJK and emoji.
-CJK_LEADS, EMOJI_LEADS = [0xE4, 0xE5, 0xE6, 0xE7, 0xE8, 0xE9], [(0xF0, 0x9F)]
+# The characters that garbled text is likeliest to hold; the sequences of all others are matched by byte classes.
+EMOJI_LEAD = (0xF0, 0x9F)
 # Letter frequencies of Russian, in per mille.
 RUSSIAN = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", [110, 85, 80, 74, 67, 63, 55, 47, 45, 44, 35, 32, 30, 28, 26, 20, 19, 17, 17, 17, 16, 14, 12, 10, 9, 7, 6, 5, 4, 3, 3, 0.4, 0.4]))
 # Frequent letter pairs of Russian.
@@ -92,12 +95,11 @@ def automaton():
             for g in spell(c.encode(), table):
                 if not any(ord(x) < 128 for x in g):
                     found[g][0].add(e)
-        for lead in [(b,) for b in CJK_LEADS] + EMOJI_LEADS:
-            for second in range(0x80, 0xC0):
-                for third in range(0x80, 0xC0):
-                    for g in spell(bytes([*lead, second, third]), table):
-                        if not any(ord(x) < 128 for x in g) and len(lead) == 2:
-                            found[g][0].add(e)
+        for third in range(0x80, 0xC0):
+            for fourth in range(0x80, 0xC0):
+                for g in spell(bytes([*EMOJI_LEAD, third, fourth]), table):
+                    if not any(ord(x) < 128 for x in g):
+                        found[g][0].add(e)
     tables = {e: _decode_table(e) for e in SINGLE_WRONG}
     for true in SINGLE:
         for wrong in SINGLE_WRONG:
@@ -128,6 +130,93 @@ def automaton():
 _PLAIN_PAIRS = frozenset("éé öß çã çõ łą óź ÇÃ ÇÕ ── └─ ├─ ÖÄ ßü üß ää".split())
 
 
+_CHAIN = re.compile(r"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+")
+_RUNS = re.compile(r"[^\x00-\x7f]{2,}")
+# What may stand before and behind a word of correct text, and behind a multiplication sign.
+_AROUND = "".join(QUOTES | SIGNS) + "\xa0•¿¡"
+_CAMEL = re.compile("[а-яё]+[А-ЯЁ][а-яё]*")
+_TIMES = re.compile("×[½¼¾²³¹°±µ–—…“”’]")
+
+
+@lru_cache(1)
+def _classes() -> tuple[re.Pattern, dict[str, dict[int, str]]]:
+    """A pattern of what may begin a sequence in any encoding, and for each encoding character -> byte (as a character)."""
+    tables, leads, tails = {}, set(), set()
+    for e in WRONG:
+        encoder = _encoders()[e]
+        tables[e] = defaultdict(lambda: "\0", {ord(c): chr(b) for c, b in encoder.items()})
+        leads |= {c for c, b in encoder.items() if 0xC2 <= b < 0xF5}
+        tails |= {c for c, b in encoder.items() if 0x80 <= b < 0xC0}
+    return re.compile(f"[{re.escape(''.join(sorted(leads)))}][{re.escape(''.join(sorted(tails)))}]"), tables
+
+
+def _plausible(chain: str) -> bool:
+    """Whether correct text may hold ``chain``: a word in one case or capitalized with
+    punctuation around it, lines of a box, or two Russian words joined in camel case."""
+    word = chain.strip(_AROUND)
+    if not word or all("\u2500" <= c < "\u25a0" for c in chain) or _TIMES.fullmatch(chain):
+        return True
+    if not word.isalpha():
+        return False
+    return word.islower() or word.isupper() or (word[0].isupper() and word[1:].islower()) or bool(_CAMEL.fullmatch(word))
+
+
+def _find_chains(run: str, behind_small: bool = False) -> tuple[tuple[int, int, bool, frozenset[str]], ...]:
+    """(start, end, sure, encodings) of the chains of sequences in ``run`` that spell assigned characters, at
+    least one of which the automaton doesn't have.  A chain is sure if it isn't plausible as correct text and the
+    encoding leaves next to nothing of the run over; capitals behind a small letter (``behind_small``) aren't plausible."""
+    begins, tables = _classes()
+    if not begins.search(run):
+        return ()
+    found: dict[tuple[int, int, bool], set[str]] = defaultdict(set)
+    for e in WRONG:
+        as_bytes = run.translate(tables[e])
+        chains: list[list] = []  # start, end, sequences, a character that isn't listed, a BOM
+        for m in _CHAIN.finditer(as_bytes):
+            at, broken = m.start(), True
+            while at < m.end():
+                b = as_bytes[at]
+                width = 2 if b < "\xe0" else 3 if b < "\xf0" else 4
+                try:
+                    c = as_bytes[at : at + width].encode("latin-1").decode()
+                except UnicodeDecodeError:
+                    c = ""
+                if c and unicodedata.category(c) not in ("Cn", "Co"):
+                    if broken:
+                        chains.append([at, at, 0, False, False])
+                    chain = chains[-1]
+                    chain[1], chain[2] = at + width, chain[2] + 1
+                    chain[3] |= not any(lo <= ord(c) < hi for lo, hi in BLOCKS) and not 0x1F000 <= ord(c) < 0x20000
+                    chain[4] |= c == "\ufeff"
+                broken = not c or unicodedata.category(c) in ("Cn", "Co")
+                at += width
+        if not any(chain[3] for chain in chains):
+            continue
+        covered, sequences = sum(c[1] - c[0] for c in chains), sum(c[2] for c in chains)
+        rest = sum(b != "\0" and c not in _AROUND for b, c in zip(as_bytes, run)) - sum(c not in _AROUND for start, end, *_ in chains for c in run[start:end])
+        whole = rest == 0 or (sequences >= 4 and rest * 4 <= covered)
+        for start, end, _, rare, bom in chains:
+            if rare:
+                piece = run[start:end]
+                odd = not _plausible(piece) or (behind_small and start == 0 and piece.isupper())
+                if bom or whole and odd or not set(piece) <= _RU_LETTERS:
+                    found[start, end, bom or (whole and odd)].add(e)
+    return tuple((*k, frozenset(v)) for k, v in sorted(found.items()))
+
+
+#: Runs recur as words do; long ones don't, and aren't remembered.
+_chains_of_word = lru_cache(100_000)(_find_chains)
+
+
+def _chains(text: str) -> Iterator[tuple[int, int, bool, frozenset[str]]]:
+    """The hits of characters that the automaton doesn't list, as ``_find_chains``."""
+    for m in _RUNS.finditer(text):
+        run, at = m[0], m.start()
+        small = at > 0 and "a" <= text[at - 1] <= "z"
+        for start, end, sure, encodings in (_chains_of_word if len(run) <= 64 else _find_chains)(run, small):
+            yield at + start, at + end, sure, encodings
+
+
 def _likelihood(text: str) -> tuple[float, int]:
     """Mean log frequency of the letters of ``text`` as Russian, and how many letters it has.
 
@@ -154,6 +243,10 @@ def _restore_utf8(text: str) -> tuple[str, int, set[str]]:
             hits.append((start, end + 1, sure, encodings))
             if sure:
                 strong |= encodings
+    for hit in _chains(text):
+        hits += [hit] * ((hit[1] - hit[0]) // 2)
+        if hit[2]:
+            strong |= hit[3]
     if not strong:
         return text, 0, set()
     # neighbouring hits join to spans; a weak hit alone counts only beside sure ones of its encoding
@@ -266,15 +359,17 @@ MARGIN, LETTERS = 0.7, 4
 
 def _utf8_share(line: str) -> float:
     """Of the non-ASCII runs of ``line`` that sequences of the first family touch, the share they cover; 1 if one
-    of the sequences can hardly be anything else."""
+    of the sequences can hardly be anything else.  Sequences that the automaton doesn't have count as their share
+    of all characters beyond ASCII."""
     covered: set[int] = set()
     for end, (length, weak, encodings, _) in automaton().iter(line):
         if encodings:
             if not weak and line[end - length + 1] in SURE_LEADS:
                 return 1.0
             covered.update(range(end - length + 1, end + 1))
+    long = sum(end - start for start, end in {hit[:2] for hit in _chains(line) if hit[2]})
     touched = sum(m.end() - m.start() for m in _RUN.finditer(line) if not covered.isdisjoint(range(*m.span())))
-    return len(covered) / (touched or 1)
+    return max(len(covered) / (touched or 1), long and long / sum(not c.isascii() for c in line))
 
 
 def _restore_single(text: str, guarded: bool = False) -> tuple[str, int, set[str]]:
@@ -352,8 +447,7 @@ def restore(text: str) -> tuple[str, int, int, list[str]]:
     if text.isascii():
         return text, 0, lost, []
     lost += text.count("�")
-    first = next(automaton().iter(text), None)
-    if first is None:
+    if next(automaton().iter(text), None) is None and not any(hit[2] for hit in _chains(text)):
         return text, 0, lost, []
     text, spans, encodings = _restore_single(text, True)
     for _ in range(4):

@@ -231,6 +231,19 @@ def test_utf8_read_wrongly_is_restored(text, wrong):
     assert mojibake.restore(garbled)[0] == text and mojibake.restore("plain start. " + garbled)[1] > 0
 
 
+@pytest.mark.parametrize("wrong", mojibake.WRONG)
+@pytest.mark.parametrize("text", ["编码错误", "这个函数返回一个列表", "مرحبا بالعالم", "שלום עולם", "한국어 설명", "हिन्दी", "\ufeffimport x"])
+def test_any_assigned_character_is_restored(text, wrong):
+    garbled = "".join(mojibake._decode_table(wrong)[b][0] for b in text.encode())
+    restored, spans, lost, _ = mojibake.restore("plain start. " + garbled)
+    assert (restored, lost) == ("plain start. " + text, 0) and spans
+
+
+@pytest.mark.parametrize("text", ["zvlášť, Žďár “vždycky též“", "fantaisie é » là »", "фантазия, работа, выборПользователяПоСсылке", "l’été “à propos” ‘é’", "надії компанії, Тільки Ціна", "3×½", "καλά· ναι", "中文、العربية, עברית"])
+def test_words_that_spell_rare_characters_stay(text):
+    assert mojibake.restore(text) == (text, 0, 0, [])
+
+
 def test_twice_garbled_and_mixed():
     twice = "café, déjà".encode().decode("cp1252").encode().decode("latin-1")
     assert mojibake.restore(twice)[0] == "café, déjà"
