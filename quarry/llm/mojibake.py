@@ -48,8 +48,24 @@ SURE_LEADS = frozenset("ÃÂâ")
 
 _RU_LETTERS = frozenset("абвгдеёжзийклмнопрстуфхцчшщъыьэюяАБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ")
 _RUN = re.compile(r"[^\x00-\x7f]+")
-_LOST = re.compile(r"(?:(?<=\s)|(?<=^)|(?<=[(#*\"']))[a-zß-ÿ]+\?{1,2}[a-zß-ÿ]+(?=[\s,.;:)]|$)|(?<= )Ã(?= )", re.M)
-_MAYBE_LOST = re.compile(r"\?[a-zß-ÿ]")
+# Frequent words that end or begin with a lost letter and have no other, as patterns of what is left of them.
+# Behind a gap at the end the sentence has to go on, since `?` may else be its mark.
+LOST_ENDS = ["si", "ju", "nast", "jeste", "prawd", "est", "aqu", "activ", "supprim", "ajout", "termin", "utilis", "appel", "voil", "dej", "perch", "citt", "funzionalit", "qualit", "propriet"]
+LOST_BEGINS = ["ber\\w*", "ffn\\w+", "ffentlich\\w*", "nder(?:n|t|ung|ungen)", "hnlich\\w*", "quivalent\\w*", "cie[zż]\\w+", "rod\\w+", "wiat\\w*", "[aą]da\\w*", "adn\\w+", "aden", "aduje", "adowa\\w+", "eby", "tre", "tat", "tats", "tape\\w*", "crire", "crit\\w*", "vit(?:e|er|ez)", "quipe\\w*", "chec\\w*", "ltim[oa]s?", "ndices?", "nic[oa]s?", "rbol(?:es)?", "rea", "reas"]
+_LETTER = "[A-Za-zÀ-ÖØ-öø-ɏ]"
+_BEFORE, _BEHIND = "(?:(?<=\\s)|(?<=^)|(?<=[(#*\"'“„«]))", "(?=[\\s,.;:)\"'”»]|$)"
+#: Words with gaps between letters, and perhaps first or last too; then words with one gap, at an edge; then a letter in two halves.
+_LOST = re.compile(
+    rf"{_BEFORE}(\?{{0,2}}{_LETTER}+(?:\?{{1,2}}{_LETTER}+)+\?{{0,2}}){_BEHIND}"
+    rf"|{_BEFORE}\?{{1,2}}(?i:{'|'.join(LOST_BEGINS)}){_BEHIND}"
+    rf"|{_BEFORE}(?i:{'|'.join(LOST_ENDS)})\?{{1,2}}(?=[,;:)]| [a-zà-öø-ɏ])"
+    r"|(?<= )Ã(?= )",
+    re.M,
+)
+_GAPS = re.compile(r"\?{1,2}")
+_MAYBE_LOST = re.compile(rf"\?{_LETTER}|{_LETTER}\?{{1,2}}(?:[,;:)]| [a-zà-öø-ɏ])")
+#: The same for the JVM: ASCII texts without it have lost no letter.
+_SUSPICIOUS = rf"[A-Za-z]\?{{1,2}}[A-Za-z]|(?i)\?(?:{'|'.join(LOST_BEGINS)})(?!\w)|\b(?:{'|'.join(LOST_ENDS)})\?{{1,2}}[ ,;:)]"
 RESTORED = "doc_id bigint, restored string, garbled_spans int, lost_chars int, encodings string"
 
 
@@ -437,13 +453,31 @@ def _restore_single(text: str, guarded: bool = False) -> tuple[str, int, set[str
     return "".join(out), n, used
 
 
+def _lost(text: str) -> int:
+    """How many gaps of lost letters ``text`` shows.
+
+    A word with gaps between its letters is in small letters, capitalized, or (from four letters on) in capitals.
+    Words with a gap only at an edge, where `?` may be a mark, count if they are known ones."""
+    n = 0
+    for m in _LOST.finditer(text):
+        word = m[1]
+        if word is None:
+            n += 1
+            continue
+        gaps = len(_GAPS.findall(word))
+        letters = word.replace("?", "")
+        if letters.islower() or (len(letters) >= 4 and (letters.isupper() or (letters[0].isupper() and letters[1:].islower()))):
+            n += gaps
+    return n
+
+
 def restore(text: str) -> tuple[str, int, int, list[str]]:
     """(restored text, garbled spans replaced or seen, characters lost, encodings).
 
     Correct text comes back unchanged with 0 spans and 0 lost characters.  Empty text is correct.
     """
     # the full pattern runs only where its rarest part occurs
-    lost = len(_LOST.findall(text)) if _MAYBE_LOST.search(text) or " Ã " in text else 0
+    lost = _lost(text) if _MAYBE_LOST.search(text) or " Ã " in text else 0
     if text.isascii():
         return text, 0, lost, []
     lost += text.count("�")
@@ -479,5 +513,5 @@ def garbled_documents(documents: DataFrame) -> DataFrame:
     Texts that are pure ASCII without a ``?`` inside a word can't be affected and stay in the JVM.  Null
     and empty texts are never affected.  Repeated rows give repeated results.
     """
-    suspicious = (F.length("text") != F.octet_length("text")) | F.col("text").rlike(r"[a-z]\?{1,2}[a-z]")
+    suspicious = (F.length("text") != F.octet_length("text")) | F.col("text").rlike(_SUSPICIOUS)
     return spread(documents.where(suspicious).select("doc_id", "text"), "doc_id").mapInArrow(_restore_batches, RESTORED)

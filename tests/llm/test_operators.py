@@ -257,6 +257,21 @@ def test_cyrillic_read_wrongly_is_restored(true, wrong):
     assert mojibake.restore("x\n" + garbled + "\ny")[0] == "x\n" + text + "\ny"
 
 
+@pytest.mark.parametrize("text, n", [("Nast?pna wersja", 1), ("Je?li nie", 1), ("w?a?ciciela", 2), ("# ?cie?ka", 2), ("w?ze?, kraw?dzi.", 3), ("nie da si? tego", 1), ("jest ?wiat", 1), ("muss ?berpr?ft sein", 2), ("wird ?bergeben", 1), ("W?AŚCICIEL", 1), ("NAST?PNA", 1), ("best?tigt wird", 1)])
+def test_lost_letters_in_any_place(text, n):
+    assert mojibake.restore(text)[1:3] == (0, n)
+
+
+@pytest.mark.parametrize("text", ["Why? because", "¿y si? Nada", "a ? b : c", "X?Y", "page.php?id=3", "String?.length", "int? x, T?x", "?name AND ?e", "Is it done? Yes", "什么?是", "https?://x", "foo?Bar"])
+def test_question_marks_stay(text):
+    assert mojibake.restore(text)[1:3] == (0, 0)
+
+
+def test_garbled_documents_with_capitals_and_edges(spark):
+    df = spark.createDataFrame([(1, "Nast?pna"), (2, "nie da si? tego"), (3, "wird ?bergeben"), (4, "W?ZE?KI"), (5, "Why? because"), (6, "編码".encode().decode("latin-1"))], "doc_id bigint, text string")
+    assert {r.doc_id for r in mojibake.garbled_documents(df).collect()} == {1, 2, 3, 4, 6}
+
+
 def test_garbled_documents(spark):
     df = spark.createDataFrame([(1, "SchlÃ¼ssel", 0), (1, "SchlÃ¼ssel", 0), (2, None, 0), (3, "", 0), (4, "Schlüssel", 0), (5, "Schl�ssel", 0), (6, "best?tigt wird", 0), (7, "x" * 200_000 + " Ã©t", 0)], "doc_id bigint, text string, restored int")
     assert {r.doc_id for r in mojibake.garbled_documents(df).collect()} == {1, 5, 6, 7}
