@@ -8,9 +8,11 @@ continuation bytes.  Two families of pairs exist:
 * UTF-8 bytes read as a single-byte encoding: each character becomes a sequence of two to four, which is
   evidence in itself.  Matched spans are encoded back and decoded as UTF-8, again and again while
   garbling remains (text garbled twice or more).
-* A single-byte encoding read as another (Cyrillic): one character for one, so only runs are evidence.
+* A single-byte encoding read as another: one character for one, so only runs are evidence.
   The automaton has the garbled forms of frequent letter pairs; a line with hits is restored if the
   letters of the restored runs are far likelier in the language than those that stand there.
+  For the encodings of Western and Central Europe, where most letters of a word are ASCII, words are read
+  with each pair: evidence are words that no language has and that become likely ones, and frequent words.
 
 Only matched spans are replaced.  U+FFFD, and ``?`` inside words, show that characters were lost: such
 documents are found, but those places can't be restored.
@@ -42,6 +44,19 @@ EMOJI_LEAD = (0xF0, 0x9F)
 RUSSIAN = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", [110, 85, 80, 74, 67, 63, 55, 47, 45, 44, 35, 32, 30, 28, 26, 20, 19, 17, 17, 17, 16, 14, 12, 10, 9, 7, 6, 5, 4, 3, 3, 0.4, 0.4]))
 # Frequent letter pairs of Russian.
 RUSSIAN_PAIRS = "ст но то на ен ов ни ра во ко по ро ре ос ер ли не ал пр ор ла ан ет ть от го ся ел ол ат та ри ны де те се ит че ит ил ло ме за до об из ый ая ем ам ом ми ки да ту ма ис ес ка ак ва ив ве ди ед од же ри ус ск ди".split()
+# Encodings of Western and Central Europe, as true ones; the wrong ones are WRONG.
+EUROPEAN = ["cp1252", "cp1250", "latin-1", "iso8859-2", "cp850", "cp437", "cp852", "mac_roman", "mac_latin2"]
+# Frequent words of European languages, which also show what stands beside each letter.
+WORDS = {
+    "de": "für über können könnte müssen müssten möglich natürlich größe größer groß großen straße schließen schließt außer außerdem heißt weiß muß daß während wäre hätte häufig nächste nächsten später prüfen geprüft überprüfen führen ausführen ausgeführt geführt schlüssel zurück rückgabe lösung lösen löschen gelöscht ändern geändert änderung änderungen länge länger enthält erhält fällt läuft lädt lässt gewählt zählen zähler einträge gründe verfügbar gültig ungültig gehört gehören hören öffnen öffnet öffentlich höher höchstens mindestgröße würde würden wünschen stück glück kürzer fünf zwölf tür grün schön böse körper wörter mögen bücher männer städte länder wärme stärke ähnlich unterstützt benötigt bestätigt ausgewählt übergeben überschreiben übernimmt erläuterung ergänzen verändert gefährlich abhängig hängen unabhängig vollständig ständig zusätzlich grundsätzlich anschließend abschließen fließen maß spaß fuß",
+    "fr": "été être même après très déjà création créé créer général générer générés numéro première deuxième dernière où à là voilà ça français façon garçon reçu leçon fenêtre tête fête forêt arrête arrêter prêt intérêt côté bientôt plutôt hôtel contrôle rôle dépôt île connaître paraît naître maître goût août sûr coût où dû élément éléments état étape étapes étaient était écrit écrire école équipe évite éviter événement détail détails début dépend dépendance définir défini définie désactiver déplacer développement différent difficulté données résultat réponse répertoire réseau référence répété récupérer précédent présent prénom problème système modèle méthode paramètre paramètres caractère caractères clé clés entrée entrées vérifier vérifié utilisé utilisée supprimé ajouté appelé passé démarrage possède règle lumière manière matière dès accès succès progrès père mère frère siècle chèvre noël naïf maïs cœur sœur œuvre",
+    "es": "más está están también después según así aquí allí día días función funciones versión opción configuración información aplicación dirección sección conexión acción creación código número números método métodos válido válida inválido índice último última único única página páginas línea líneas módulo módulos símbolo símbolos parámetro parámetros público públicos básico automático automáticamente rápido dinámico fácil difícil árbol tamaño año años mañana español señal pequeño pequeños niño niños añadir añade contraseña compañía vacío vacía todavía había tenía podría sería tú él sí qué cómo cuándo dónde quién será podrá deberá eliminará área través común ningún algún",
+    "pt": "não são então padrão versão função funções opção opções ação ações informação configuração aplicação instalação exceção seção relação relações migração conexão botão mão irmão você vocês também até está estão já só após através código número números método módulo módulos índice último única único página páginas parâmetro parâmetros usuário usuários diretório próprio próxima possível disponível variável inválido válido é três mês ciência frequência sequência experiência existência avô pôr começo começar serviço serviços preço espaço força atenção lição edição coração razão às país saída conteúdo início família história difícil fácil política público automático",
+    "pl": "się są być może można więc który która które którego również także jeśli jeżeli każdy każdego żeby że już też nie być był była było były będzie będą tylko źródło źródła ścieżka ścieżki ścieżkę błąd błędy błędu wartość wartości długość ilość część części możliwość zależności węzeł węzła właściciel właściciela własny właściwy główny głównie później pózniej między przestarzałą następna następny następnie usunięty usunąć dołączyć połączenie połączenia wyłączyć włączony łącze kraków łódź mały małe duże dużo książka język języka tysiąc miesiąc początek końca koniec dzień tydzień słowo słowa hasło plików użytkownik użytkownika użycie użyć służy zmień zmień zmienną funkcję funkcją informację proszę dziękuję święto świat światło środek środowisko śledzenie sześć pięć dziesięć mąż ręka głowa człowiek stał został została została można pojawić zwróć zwraca wyjątek krawędzi moduł żaden żadnych źle",
+    "cs": "být který která které není může můžete můžeme není již také další další při před příklad příkaz příkazy připojení přidat přístup případ případě soubor souborů souboru složka hodnota že žádný žádné zpět zpráva správa správně chyba chybě úplně úvod účet čas část částí číslo čísla člověk řádek řádku řetězec uživatel uživatele uživatelé jméno název názvy počet začátek výstup vstupní výsledek výchozí hlavní první poslední nový nová nové změna změny změnit použít použití spuštění zařízení nastavení větší menší důležité důvod dům můj svůj tři čtyři pět šest město země měsíc týden příště ještě zvlášť běží děkuji kůň žlutý",
+    "hu": "és ez egy már még több között után előtt első idő jövő erő felhasználó felhasználói könyvtár könyv fájl fájlok hiba üzenet üzenetek érték értéke számára szám szöveg név között működik működés művelet törlés törölni létrehozás beállítás beállítások új újra út kívül szükséges függvény függő következő kötelező lehetőség elérhető ellenőrzés megjelenítés külső belső tömb sör gyűjtemény",
+    "sv": "är för från när där här så även också måste åter både på får går år många människor ändra ändring lägg lägga tillägg öppna största större före över överföring användare användning väg värde värden språk fråga frågor två från stöd språket på også når både får går år må måde første større største før hvornår køre kører kørsel højre øverst ændre ændring ændringer læse læser være værdi værdier både både fejlsøge tilføj tilføje bruges således",
+}
 QUOTES, SIGNS = frozenset("’‘“”…–—»«‚„´`"), frozenset("№·°±§€")
 #: Lead characters that hardly occur in correct text before another non-ASCII character.
 SURE_LEADS = frozenset("ÃÂâ")
@@ -177,10 +192,11 @@ def _plausible(chain: str) -> bool:
     return word.islower() or word.isupper() or (word[0].isupper() and word[1:].islower()) or bool(_CAMEL.fullmatch(word))
 
 
-def _find_chains(run: str, behind_small: bool = False) -> tuple[tuple[int, int, bool, frozenset[str]], ...]:
+def _find_chains(run: str, behind_small: bool = False, beside: bool = False) -> tuple[tuple[int, int, bool, frozenset[str]], ...]:
     """(start, end, sure, encodings) of the chains of sequences in ``run`` that spell assigned characters, at
     least one of which the automaton doesn't have.  A chain is sure if it isn't plausible as correct text and the
-    encoding leaves next to nothing of the run over; capitals behind a small letter (``behind_small``) aren't plausible."""
+    encoding leaves next to nothing of the run over; capitals behind a small letter (``behind_small``) aren't plausible, and
+    one letter alone isn't restored ``beside`` letters of ASCII."""
     begins, tables = _classes()
     if not begins.search(run):
         return ()
@@ -214,6 +230,8 @@ def _find_chains(run: str, behind_small: bool = False) -> tuple[tuple[int, int,
         for start, end, _, rare, bom in chains:
             if rare:
                 piece = run[start:end]
+                if beside and sequences == 1 and unicodedata.category(as_bytes[start:end].encode("latin-1").decode())[0] not in "MC":
+                    continue
                 odd = not _plausible(piece) or (behind_small and start == 0 and piece.isupper())
                 if bom or whole and odd or not set(piece) <= _RU_LETTERS:
                     found[start, end, bom or (whole and odd)].add(e)
@@ -228,8 +246,9 @@ def _chains(text: str) -> Iterator[tuple[int, int, bool, frozenset[str]]]:
     """The hits of characters that the automaton doesn't list, as ``_find_chains``."""
     for m in _RUNS.finditer(text):
         run, at = m[0], m.start()
-        small = at > 0 and "a" <= text[at - 1] <= "z"
-        for start, end, sure, encodings in (_chains_of_word if len(run) <= 64 else _find_chains)(run, small):
+        before, behind = text[at - 1 : at] if at else "", text[m.end() : m.end() + 1]
+        small, beside = "a" <= before <= "z", before.isalpha() or behind.isalpha()
+        for start, end, sure, encodings in (_chains_of_word if len(run) <= 64 else _find_chains)(run, small, beside):
             yield at + start, at + end, sure, encodings
 
 
@@ -453,6 +472,132 @@ def _restore_single(text: str, guarded: bool = False) -> tuple[str, int, set[str
     return "".join(out), n, used
 
 
+_TOKEN = re.compile(r"[A-Za-z\x80-\uffff]*[\x80-\uffff][A-Za-z\x80-\uffff]*")
+#: What may stand between two letters in correct text though it is no letter.
+_JOINTS = frozenset("’‘´`'\xa0\xad-–—…·•×→←│«»“") | {chr(c) for c in range(0x2500, 0x25A0)}
+
+
+_MARKS_1252 = frozenset("‚„…†‡ˆ‰‹‘’“”•–—˜™›€")
+
+
+@lru_cache(1)
+def _languages() -> tuple[dict[str, frozenset[str]], dict[str, frozenset[str]], frozenset[str]]:
+    """Of each language the letters beyond ASCII and the letter pairs with them (a blank is a word's edge); all words."""
+    letters, pairs, words = {}, {}, set()
+    for language, text in WORDS.items():
+        each = text.split()
+        words.update(each)
+        letters[language] = frozenset(c for c in "".join(each) if not c.isascii())
+        pairs[language] = frozenset(a + b for w in each for a, b in zip(f" {w}", f"{w} ") if not (a + b).isascii())
+    return letters, pairs, frozenset(words)
+
+
+def _cased(word: str) -> bool:
+    return word.islower() or word.isupper() or (word[0].isupper() and word[1:].islower())
+
+
+def _odd(token: str) -> bool:
+    """Whether correct text can't hold ``token``: between its letters are signs, controls, capitals behind small
+    letters or letters of another script."""
+    latin = [c.isascii() or "\xc0" <= c < "\u0250" and c not in "×÷" for c in token]
+    for i in range(1, len(token) - 1):
+        c = token[i]
+        if c.isascii() or c in _JOINTS or not (token[i - 1].isascii() or token[i + 1].isascii()) and not any(x.isascii() for x in token):
+            continue
+        if not latin[i] and any(latin[:i]) and any(latin[i + 1 :]) or (c.isupper() and token[i - 1].islower() and token[i + 1].islower()):
+            return True
+    return any("\x80" <= c < "\xa0" for c in token)
+
+
+def _fits(word: str, language: str) -> int:
+    """2 if all letters beyond ASCII stand beside letters that they are known beside, else 0."""
+    pairs = _languages()[1][language]
+    word = f" {word.lower()} "
+    return 2 * all(a + b in pairs for a, b in zip(word, word[1:]) if not (a + b).isascii())
+
+
+@lru_cache(100_000)
+def _readings(token: str) -> tuple[tuple[tuple[str, str], str, int], ...]:
+    """((true, wrong), word, evidence) of the ways to read ``token`` as a word of a European language."""
+    letters, _, words = _languages()
+    bare = token.strip(_AROUND)
+    odd = _odd(token)
+    if bare.lower() in words:
+        return ()
+    alone = not any("a" <= c.lower() <= "z" for c in token)
+    controls = {c for c in token if "\x80" <= c < "\xa0"} - {"\x85"}
+    known = not odd and _cased(bare) and any(set(x for x in bare.lower() if not x.isascii()) <= letters[g] and _fits(bare, g) for g in letters) if bare else False
+    out = []
+    encoders = _encoders()
+    for wrong in WRONG:
+        try:
+            data = bytes(ord(c) if c.isascii() else encoders[wrong][c] for c in token)
+        except KeyError:
+            continue
+        for true in EUROPEAN:
+            try:
+                word = data.decode(true)
+            except UnicodeDecodeError:
+                continue
+            low = word.lower()
+            if controls and true in ("cp1252", "cp1250") and not alone and not word.isalpha():
+                bared = "".join(c for c in low if c not in _MARKS_1252)
+                if (bared.isascii() or any({c for c in bared if not c.isascii()} <= letters[g] for g in letters)) and (not bared or bared.isalpha()):
+                    out.append(((true, wrong), word, 2))
+                continue
+            if true == wrong or word == token or not word.replace("’", "", 1).isalpha() or not _cased(word) or (alone and low not in words):
+                continue
+            beyond = {c for c in low if not c.isascii()} - {"’"}
+            if not beyond and odd:  # an elision alone is no evidence
+                out.append(((true, wrong), word, 0))
+            fitting = [g for g in letters if beyond <= letters[g]]
+            if not beyond or not fitting:
+                continue
+            if alone:
+                value = 0
+            elif low in words and len(low) > 2:
+                value = 4
+            elif odd:
+                low = low.rpartition("’")[2]
+                value = 2 if len(word) >= 4 and any(_fits(low, g) for g in fitting) else 0
+            elif known:
+                continue
+            else:
+                value = 0
+            out.append(((true, wrong), word, value))
+    return tuple(out)
+
+
+def _restore_european(text: str) -> tuple[str, int, set[str]]:
+    """Restore words of a European single-byte encoding read as another: text, spans, pairs.
+
+    A document has evidence of a pair in words that can't be correct and become likely ones, and in frequent words
+    that come out; then all words that the pair turns from unlikely into possible ones are restored."""
+    spans, used = 0, set()
+    for _ in range(3):
+        tally: dict[tuple[str, str], int] = defaultdict(int)
+        for token in _TOKEN.findall(text):
+            if len(token) <= 40:
+                for pair, _, value in _readings(token):
+                    tally[pair] += value
+        best = max(tally, key=lambda p: (tally[p], -EUROPEAN.index(p[0]), -WRONG.index(p[1])), default=None)
+        if best is None or tally[best] < 2:
+            break
+
+        def swap(m: re.Match) -> str:
+            nonlocal spans
+            if len(m[0]) <= 40:
+                for pair, word, value in _readings(m[0]):
+                    if pair == best and (value or _odd(m[0]) or m[0].strip(_AROUND) == m[0]):
+                        spans += 1
+                        return word
+            return m[0]
+
+        text = _TOKEN.sub(swap, text)
+        used.add(f"{best[0]}>{best[1]}")
+    return text, spans, used
+
+
 def _lost(text: str) -> int:
     """How many gaps of lost letters ``text`` shows.
 
@@ -482,7 +627,8 @@ def restore(text: str) -> tuple[str, int, int, list[str]]:
         return text, 0, lost, []
     lost += text.count("�")
     if next(automaton().iter(text), None) is None and not any(hit[2] for hit in _chains(text)):
-        return text, 0, lost, []
+        fixed, n, used = _restore_european(text)
+        return fixed, n, lost, sorted(used)
     text, spans, encodings = _restore_single(text, True)
     for _ in range(4):
         before = text
@@ -491,8 +637,11 @@ def restore(text: str) -> tuple[str, int, int, list[str]]:
         encodings |= used
         if text == before:
             break
-    fixed, n, used = _restore_single(text)
-    return fixed, spans + n, lost, sorted(encodings | used)
+    for rule in (_restore_single, _restore_european):
+        text, n, used = rule(text)
+        spans += n
+        encodings |= used
+    return text, spans, lost, sorted(encodings)
 
 
 def _restore_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

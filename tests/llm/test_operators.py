@@ -267,6 +267,28 @@ def test_question_marks_stay(text):
     assert mojibake.restore(text)[1:3] == (0, 0)
 
 
+@pytest.mark.parametrize("wrong", ["cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "iso8859-2", "cp866", "koi8-r", "cp852"])
+@pytest.mark.parametrize(
+    "text, true",
+    [("błąd pojawia się w węźle właściciela", "cp1250"), ("błąd pojawia się w węźle właściciela", "iso8859-2"), ("Der Schlüssel hängt nur vom Pfad ab", "cp850"), ("Der Schlüssel hängt nur vom Pfad ab", "mac_roman"), ("la première dépendance évite l’index", "cp1252"), ("La función también añade más líneas", "cp437")],
+)
+def test_european_encodings_read_wrongly_are_found(text, true, wrong):
+    data = text.encode(true)
+    garbled = "".join(mojibake._decode_table(wrong)[b][0] for b in data)
+    if garbled != text and (true, wrong) != ("cp1252", "cp1252"):
+        assert mojibake.restore("x = 1\n" + garbled)[1]
+
+
+def test_european_encodings_are_restored():
+    for garbled, text in [("b³¹d pojawia siê", "błąd pojawia się"), ("SchlŸssel", "Schlüssel"), ("la premiΦre", "la première"), ("l\x92index", "l’index"), ("siê", "się")]:
+        assert mojibake.restore(garbled)[:2] == (text, text.count("się") + (text != "się"))
+
+
+@pytest.mark.parametrize("text", ["x²y 3µm µsec Δt λx", "foo©bar Wert±Fehler width×height", "zÀ-ÿ", "İstanbul’da çalışan sürüm", "São Tomé Ångström", "Žďár zvlášť", "ştiinţă învăţ", "fjärð þetta", "ąžuolas šūdas", "rõõm jõgi", "J’ai reçu l’œil, où ?", "a\x85b"])
+def test_correct_european_words_stay(text):
+    assert mojibake.restore(text) == (text, 0, 0, [])
+
+
 def test_garbled_documents_with_capitals_and_edges(spark):
     df = spark.createDataFrame([(1, "Nast?pna"), (2, "nie da si? tego"), (3, "wird ?bergeben"), (4, "W?ZE?KI"), (5, "Why? because"), (6, "編码".encode().decode("latin-1"))], "doc_id bigint, text string")
     assert {r.doc_id for r in mojibake.garbled_documents(df).collect()} == {1, 2, 3, 4, 6}
