@@ -23,6 +23,8 @@ _LITERALS = {**lexer.FIRST, "ecma": re.compile(lexer.FIRST["ecma"].pattern + r"|
 #: Line continuations are no island; only the Python pattern has them.
 _NEWLINES = re.compile(r"\r\n|\r|\n")
 
+_BRACKET = re.compile(r"[()\[\]{}\"'`/#]")
+
 # What directives for tools begin with.
 DIRECTIVE = re.compile(
     r"(?:eslint\b|eslint-|tslint:|jshint\b|jslint\b|prettier-ignore|istanbul ignore|c8 ignore|v8 ignore|@ts-\w+|ts-ignore|biome-ignore|stylelint-|webpackIgnore|flow\b\s*$|@flow\b|noqa\b|type:\s*ignore|pylint:|pragma\b|mypy:|ruff:|flake8|isort:|fmt:|yapf:|black:|pyright:|nosec\b|coverage:|"
@@ -171,6 +173,8 @@ class Islands:
         self.comments: dict[int, tuple[int, str]] = {}
         #: first offset -> end of each literal or comment
         self.spans: dict[int, int] = {}
+        #: line -> the line on which the bracket that closes there opens, made when an annotation of several lines is met
+        self._openers: dict[int, int] | None = None
         starts = self.starts
         for m in _LITERALS[family].finditer(text):
             t = m[0]
@@ -222,13 +226,32 @@ class Islands:
 
     def _annotation(self, last: int) -> int:
         """The first line of an annotation of several lines that ends on line ``last``; 0 if there is none."""
-        depth = 0
-        for no in range(last, max(0, last - 60), -1):
-            line = self.line(no)
-            depth += line.count(")") + line.count("}") + line.count("]") - line.count("(") - line.count("{") - line.count("[")
-            if depth <= 0:
-                return no if line.strip().startswith("@") else 0
-        return 0
+        if self._openers is None:
+            self._openers = self._match_lines()
+        no = self._openers.get(last, 0)
+        return no if no and self.line(no).strip().startswith("@") else 0
+
+    def _match_lines(self) -> dict[int, int]:
+        """Line -> the line on which the outermost bracket that closes there opens; brackets in literals and comments don't count.
+        A line that closes more than one group belongs to the first of them, if they overlap in a chain of lines."""
+        openers: dict[int, int] = {}
+        stack: list[int] = []
+        line, at = 1, 0
+        for m in _BRACKET.finditer(self.text):
+            i = m.start()
+            if i < at:
+                continue
+            if i in self.spans:
+                at = self.spans[i]
+                continue
+            c = self.text[i]
+            if c in "([{":
+                stack.append(i)
+            elif c in ")]}" and stack:
+                first, line = bisect_right(self.starts, stack.pop()), bisect_right(self.starts, i)
+                if first < line:
+                    openers[line] = min(openers.get(line, first), openers.get(first, first))
+        return openers
 
     def signature_end(self, at: int) -> int:
         """Where the signature that begins at offset ``at`` ends: before the body, or at the statement's end."""

@@ -215,6 +215,14 @@ def test_sum_of_squares_packs_well():
         p.place(0)
 
 
+def test_comment_above_a_long_annotation():
+    rows = "".join(f"        ({i}, ')('),  # (\n" for i in range(200))
+    text = "# Checks that all rows are valid.\n@pytest.mark.parametrize(\n    'a, b',\n    [\n" + rows + "    ],\n)\ndef test_a(a, b):\n    pass\n"
+    assert docpairs.documentation(docpairs.Islands(text, "python"), 207, "test_a")[1] == "Checks that all rows are valid."
+    text = "class A {\n/** Checks that all rows are valid. */\n@Rows({\n" + '  "}",\n' * 200 + "})\nvoid a() {}\n}\n"
+    assert docpairs.documentation(docpairs.Islands(text, "java"), 205, "a")[1] == "Checks that all rows are valid."
+
+
 # 9 ------------------------------------------------------------------------------------------------------------
 RIGHT = ["Die Schlüssel hängen nur vom Pfad ab.", "Déplacer vers l’index évite une dépendance.", "Każdy węzeł ma właściciela.", "Если файл пустой, разбор завершается без ошибки.", "ATENÇÃO: A VERSÃO NÃO É COMPATÍVEL", "“Quoted” – done…", "├── a\n│   └── b", "Ångström, São Tomé, Århus", "Γράφος κλήσεων: πλήρης", "日本語の説明", "🚀 done 🎉", "x² + y² ≤ r² · π", "[A-Za-zÀ-ÿ_]+", "naïve café ©", "plain", "", "&eacute; \\u00e9", "a ? b : c"]
 
