@@ -23,6 +23,7 @@ _LITERALS = {**lexer.FIRST, "ecma": re.compile(lexer.FIRST["ecma"].pattern + r"|
 #: Line continuations are no island; only the Python pattern has them.
 _NEWLINES = re.compile(r"\r\n|\r|\n")
 
+_STOP = re.compile(r"[()\[\]{}\"'`/#:;=\r\n]")
 _BRACKET = re.compile(r"[()\[\]{}\"'`/#]")
 
 # What directives for tools begin with.
@@ -175,6 +176,8 @@ class Islands:
         self.spans: dict[int, int] = {}
         #: line -> the line on which the bracket that closes there opens, made when an annotation of several lines is met
         self._openers: dict[int, int] | None = None
+        #: offset of each opening bracket -> offset of its partner, made at the same time
+        self.partner: dict[int, int] = {}
         starts = self.starts
         for m in _LITERALS[family].finditer(text):
             t = m[0]
@@ -226,17 +229,19 @@ class Islands:
 
     def _annotation(self, last: int) -> int:
         """The first line of an annotation of several lines that ends on line ``last``; 0 if there is none."""
-        if self._openers is None:
-            self._openers = self._match_lines()
+        self._match()
         no = self._openers.get(last, 0)
         return no if no and self.line(no).strip().startswith("@") else 0
 
-    def _match_lines(self) -> dict[int, int]:
-        """Line -> the line on which the outermost bracket that closes there opens; brackets in literals and comments don't count.
-        A line that closes more than one group belongs to the first of them, if they overlap in a chain of lines."""
-        openers: dict[int, int] = {}
+    def _match(self) -> None:
+        """Make the tables of brackets, once; brackets in literals and comments don't count.
+
+        A line that closes several groups gets the line on which the first of them opens, or the one before it in a chain of lines."""
+        if self._openers is not None:
+            return
+        openers = self._openers = {}
         stack: list[int] = []
-        line, at = 1, 0
+        at = 0
         for m in _BRACKET.finditer(self.text):
             i = m.start()
             if i < at:
@@ -248,21 +253,29 @@ class Islands:
             if c in "([{":
                 stack.append(i)
             elif c in ")]}" and stack:
-                first, line = bisect_right(self.starts, stack.pop()), bisect_right(self.starts, i)
+                j = stack.pop()
+                if self.text[j] + c in ("()", "[]", "{}"):
+                    self.partner[j] = i
+                first, line = bisect_right(self.starts, j), bisect_right(self.starts, i)
                 if first < line:
                     openers[line] = min(openers.get(line, first), openers.get(first, first))
-        return openers
 
     def signature_end(self, at: int) -> int:
         """Where the signature that begins at offset ``at`` ends: before the body, or at the statement's end."""
         text, spans, python = self.text, self.spans, self.language == "python"
         depth, i, n = 0, at, len(text)
-        while i < n and i - at < 20_000:
+        while m := _STOP.search(text, i):
+            i = m.start()
             if i in spans:
                 i = spans[i]
                 continue
             c = text[i]
             if c in "([":
+                if i - at > 2_000:  # a long signature: most end before the tables would pay
+                    self._match()
+                    if i in self.partner:
+                        i = self.partner[i] + 1
+                        continue
                 depth += 1
             elif c in ")]":
                 depth -= 1
@@ -285,7 +298,7 @@ class Islands:
             elif c == "}":
                 depth -= 1
             i += 1
-        return min(i, n)
+        return n
 
     def docstring(self, at: int) -> str | None:
         """The raw docstring behind a Python signature that ends at offset ``at``."""

@@ -223,6 +223,15 @@ def test_comment_above_a_long_annotation():
     assert docpairs.documentation(docpairs.Islands(text, "java"), 205, "a")[1] == "Checks that all rows are valid."
 
 
+def test_long_signatures():
+    items = ", ".join(f"({i}, ':')" for i in range(9_000))
+    text = f"def f(a=[{items}], b={{'x': [{items}]}}) -> int:\n    \"\"\"Returns the number of all given items.\"\"\"\n    return 1\n"
+    signature, documentation = docpairs.documentation(docpairs.Islands(text, "python"), 1, "f")
+    assert signature.endswith("-> int:") and documentation == "Returns the number of all given items."
+    text = "/** Returns the number of all given items. */\nfunction f(a = [" + "[1], " * 9_000 + "], b) {\n}\n"
+    assert docpairs.documentation(docpairs.Islands(text, "javascript"), 2, "f")[0].endswith("], b)")
+
+
 # 9 ------------------------------------------------------------------------------------------------------------
 RIGHT = ["Die Schlüssel hängen nur vom Pfad ab.", "Déplacer vers l’index évite une dépendance.", "Każdy węzeł ma właściciela.", "Если файл пустой, разбор завершается без ошибки.", "ATENÇÃO: A VERSÃO NÃO É COMPATÍVEL", "“Quoted” – done…", "├── a\n│   └── b", "Ångström, São Tomé, Århus", "Γράφος κλήσεων: πλήρης", "日本語の説明", "🚀 done 🎉", "x² + y² ≤ r² · π", "[A-Za-zÀ-ÿ_]+", "naïve café ©", "plain", "", "&eacute; \\u00e9", "a ? b : c"]
 
