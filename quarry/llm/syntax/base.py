@@ -7,6 +7,8 @@ strings ``S``, bad lexemes ``X``; keywords and punctuation stay.  The parsers re
 from __future__ import annotations
 
 import re
+import sys
+import threading
 
 #: At most this many faults of one file are kept in full; the count stays exact.
 KEPT_FAULTS = 50
@@ -18,6 +20,31 @@ class Fault(Exception):
         self.at, self.message = at, message
 
 
+def deeply(rule, tokens: int):
+    """What ``rule`` returns or raises, run in a thread with a stack for nesting of so many tokens."""
+    result: list = []
+
+    def run() -> None:
+        try:
+            result.append((rule(), None))
+        except BaseException as e:
+            result.append((None, e))
+
+    limit, size = sys.getrecursionlimit(), threading.stack_size(512 << 20)
+    try:
+        sys.setrecursionlimit(max(limit, 10_000 + 40 * tokens))
+        thread = threading.Thread(target=run)
+        thread.start()
+        thread.join()
+    finally:
+        sys.setrecursionlimit(limit)
+        threading.stack_size(size)
+    value, error = result[0]
+    if error is not None:
+        raise error
+    return value
+
+
 OPEN, CLOSE = {"(": ")", "[": "]", "{": "}"}, {")": "(", "]": "[", "}": "{"}
 
 
@@ -31,6 +58,7 @@ class Parser:
     STARTERS: frozenset[str] = frozenset()
 
     def __init__(self, shape: str):
+        self.shape = shape
         self.toks: list[str] = []
         self.line: list[int] = []
         self.faults: list[tuple[int, str]] = []
@@ -152,7 +180,11 @@ class Parser:
         except Fault as fault:
             self.report(fault)
         except RecursionError:
-            self.report(Fault(self.i, "nested too deeply"))
+            self.__init__(self.shape)
+            try:
+                deeply(self.program, len(self.toks))
+            except Fault as fault:
+                self.report(fault)
         return not self.fault_count
 
     def program(self) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from quarry.llm.syntax.base import Fault, Parser
+from quarry.llm.syntax.base import Fault, Parser, deeply
 
 SIMPLE_END = frozenset([";", "", "\n"])
 
@@ -695,11 +695,14 @@ def line_kind(line: str, whole: bool = False) -> tuple:
             return known
         p = PythonLine(line.replace("\n", " "))
         try:
-            known = (p.header_or_simple(), None, 0)
+            try:
+                kind = p.header_or_simple()
+            except RecursionError:
+                p = PythonLine(line.replace("\n", " "))
+                kind = deeply(p.header_or_simple, len(p.toks))
+            known = (kind, None, 0)
         except Fault as fault:
             known = ("simple", fault.message, 0)
-        except RecursionError:
-            known = ("simple", "nested too deeply", 0)
         if depth <= 0:
             MEMO[line] = known
     return known
