@@ -63,9 +63,8 @@ def code_files(corpus: DataFrame, registry: DataFrame) -> DataFrame:
 def parse_files(corpus: DataFrame, registry: DataFrame) -> DataFrame:
     """One row per code file: its status, first fault (message and line), number of faults, and the faults.
 
-    ``parse_status`` is OK, FAILED, EMPTY (nothing but blanks; valid) or UNKNOWN (content is null).  Of
-    the faults of a file the first 50 are kept in full; ``fault_count`` is exact up to the few hundred at
-    which parsing stops.  Repeated rows give repeated results; other columns of ``corpus`` are ignored.
+    ``parse_status`` is OK, FAILED, EMPTY (nothing but blanks; valid) or UNKNOWN (content is null).  All
+    faults of a file are kept, in the order found.  Repeated rows give repeated results; other columns of ``corpus`` are ignored.
     """
     return spread(code_files(corpus, registry), "file_id").mapInArrow(_parse, PARSED)
 

@@ -12,7 +12,7 @@ def p4_found(spark, folder):
 
 def p4_parse_status(spark, folder):
     rows = parse_validity.parse_files(table(spark, folder, "corpus"), table(spark, folder, "language_registry"))
-    return rows.select("file_id", "repo", "path", "language", "parse_status", "parse_error", "fault_line", "fault_count")
+    return rows.select("file_id", "repo", "path", "language", "parse_status", "parse_error", "fault_line", "fault_count", "faults")
 
 
 def p4_rates(spark, folder):

@@ -799,8 +799,6 @@ def check(shape: str) -> tuple[list[tuple[int, str]], int]:
         last[-1] = "else" if kind == "else" and last[-1] == "except" else "done" if kind == "else" else kind
         if kind in SUITES and not one_line:
             expects = kind
-        if len(faults) > 400:
-            break
     if pend:
         faults.append((start, "a bracket was never closed"))
     elif expects:
