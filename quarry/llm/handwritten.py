@@ -43,7 +43,7 @@ VENDORED_NOTICE = re.compile(
     re.I,
 )
 #: A text without any of these words (in lower case) has no notice.
-NOTICE_WORDS = ["generat", "generier", "do not edit", "do not modify", "machine", "automat", "erzeugt", "généré", "gerado", "wygenerowan", "сгенерирован", "copied", "@license", "upstream", "originally", "vendored", "verbatim"]
+NOTICE_WORDS = ["generat", "generier", "do not edit", "do not modify", "machine", "automat", "erzeugt", "généré", "gerado", "generado", "wygenerowan", "сгенерирован", "copied", "@license", "upstream", "originally", "vendored", "verbatim"]
 
 
 @dataclass(frozen=True)

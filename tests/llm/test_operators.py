@@ -28,6 +28,28 @@ def test_handwritten(path, text, kind):
     assert handwritten.classify(path, text)[0] == kind
 
 
+NOTICES = {
+    "generated": [
+        "Code generated by tool. DO NOT EDIT.", "Code generated from a.proto; do not edit", "@generated", "<auto-generated>", "<autogenerated", "This file is auto-generated file", "Autogenerated by tool", "auto-generated code", "this file was automatically generated", "This code is autogenerated",
+        "Generated code", "generated automatically", "automatically generated file", "generated by tool", "generated using tool", "generated with tool", "machine-generated by tool", "machine written code", "This file is machine produced from a", "Do not edit: the source of truth is a.yaml", "do not modify, changes will be lost", "Do not edit, will be overwritten",
+        "produced automatically from a", "This file is created automatically by tool", "written automatically with tool", "emitted automatically by tool", "Automatisch erzeugt", "Diese Datei wurde automatisch generiert", "Fichier généré automatiquement", "généré par outil", "Archivo generado automáticamente", "generado por herramienta", "Generado automáticamente", "Arquivo gerado automaticamente", "gerado por ferramenta",
+        "Plik wygenerowany automatycznie", "wygenerowano przez narzędzie", "Файл автоматически сгенерирован", "сгенерирован",
+    ],
+    "vendored": [
+        "copied from lib 1.2", "Copied verbatim from the lib v3", "@license lib v1.2", "This file is part of lib 1.2; upstream copy", "originally part of the lib library", "Originally from the lib project", "vendored copy of lib", "vendored from lib", "distributed with the upstream package",
+        "imported verbatim from lib", "taken verbatim from lib", "adapted verbatim from lib",
+    ],
+}
+
+
+@pytest.mark.parametrize("kind, notice", [(k, n) for k, each in NOTICES.items() for n in each])
+def test_every_notice_passes_the_word_filter(kind, notice):
+    pattern = handwritten.GENERATED_NOTICE if kind == "generated" else handwritten.VENDORED_NOTICE
+    assert pattern.match(notice)
+    assert any(w in notice.lower() for w in handwritten.NOTICE_WORDS)
+    assert handwritten.classify("a/b.py", f"# {notice}\n" + CODE)[0] == kind
+
+
 def test_generated_files(spark):
     records = spark.createDataFrame([("1", "a.py", False), ("1", "a.py", None), ("2", "vendor/b.py", False), ("3", "c.py", True), ("4", "gone/node_modules/d.js", None), (None, "vendor/x", None)], "id string, path string, is_generated boolean")
     corpus = spark.createDataFrame([("1", "r", "a.py", "# @generated by x\n"), ("2", "r", "vendor/b.py", CODE), ("3", "r", "c.py", CODE), ("9", "r", "vendor/z.py", CODE)], "file_id string, repo string, path string, content string")
