@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.syntax import lexer
+from quarry.llm.notices import notice_kind
 from quarry.sources.tables import spread
 
 # Directories of other projects' code, and of tools' output.
@@ -28,45 +28,34 @@ GENERATED_NAMES = r"(?:_pb2(?:_grpc)?\.pyi?|\.pb\.(?:go|cc|h|js|ts)|\.pb\.gw\.go
 LOCK_NAMES = r"(?:package-lock\.json|npm-shrinkwrap\.json|yarn\.lock|pnpm-lock\.yaml|poetry\.lock|cargo\.lock|go\.sum|composer\.lock|gemfile\.lock)"
 MINIFIED_NAMES = r"(?:[.-]min\.(?:m?js|css)|\.bundle\.m?js|\.prod\.m?js|-\d+\.\d+\.\d+(?:\.min)?\.m?js|\.(?:m?js|css)\.map)"
 
-# How notices begin, once comment marks are taken off.
-GENERATED_NOTICE = re.compile(
-    r"code generated (?:by|from) .*do not edit|@generated\b|<auto-?generated\b|(?:this (?:file|code) (?:is|was|has been) )?auto-?generated (?:file|code|by|from|using|with)\b"
-    r"|this (?:file|code) (?:is|was|has been) auto(?:matically |-)?generated|(?:this (?:file|code) (?:is|was|has been) )?(?:automatically )?generated (?:code\b|automatically|file\b|(?:by|using|with) (?!hand\b)\S+)"
-    r"|(?:this (?:file|code) (?:is|was) )?machine[- ](?:written|generated|produced) (?:by|with|from|code|file)\b|do not (?:edit|modify)\b.*(?:source of truth|generated|will be (?:lost|overwritten))"
-    r"|(?:this (?:file|code) (?:is|was) )?(?:produced|created|written|emitted) automatically (?:from|by|with)\b|(?:diese datei wurde )?automatisch (?:erzeugt|generiert)\b"
-    r"|(?:(?:ce )?fichier )?généré (?:automatiquement|par )|(?:archivo )?generado (?:automáticamente|por )|(?:arquivo )?gerado (?:automaticamente|por )|(?:plik )?wygenerowan\w* (?:automatycznie|przez )|(?:файл )?(?:автоматически )?сгенерирован",
-    re.I,
-)
-VENDORED_NOTICE = re.compile(
-    r"copied (?:verbatim )?from (?:the )?[\w.@/-]+ v?\d|@license [\w.@/-]+ v?\d|(?:this file is )?part of [\w.@/-]+ v?\d[\w.]*[;,:] *upstream copy|originally (?:part of|from) the [\w.@/-]+ (?:library|project|package)"
-    r"|vendored (?:copy of|from)|distributed with the upstream (?:package|project|library)|(?:imported|taken|adapted) verbatim from",
-    re.I,
-)
-#: A text without any of these words (in lower case) has no notice.
-NOTICE_WORDS = ["generat", "generier", "do not edit", "do not modify", "machine", "automat", "erzeugt", "généré", "gerado", "generado", "wygenerowan", "сгенерирован", "copied", "@license", "upstream", "originally", "vendored", "verbatim"]
-
-
 @dataclass(frozen=True)
 class Layout:
-    """Thresholds of one language."""
+    """Thresholds of one language.  Compacted text has long lines on the whole, a very long one, and little white
+    space; how little depends on how much a language's own style has (indentation, blanks around operators)."""
 
-    minified_mean: float  # mean line length at least
-    minified_space: float  # share of white space at most
-    data_share: float = 0.5  # numeric literals and encoded runs, of all characters
-    least_bytes: int = 160
+    mean_line: float  # compacted: mean line length at least
+    max_line: int  # compacted: longest line at least
+    space: float  # compacted: share of white space at most
+    data: float  # data: share of numeric literals and encoded runs, of all characters but white space, at least
+    literals: int  # data: so many numeric literals at least, unless there is an encoded run
 
 
 LAYOUTS = {
-    "javascript": Layout(110, 0.09),
-    "typescript": Layout(110, 0.09),
-    "java": Layout(160, 0.08),
-    "go": Layout(160, 0.08),
-    "python": Layout(200, 0.06),
+    "javascript": Layout(120, 300, 0.09, 0.5, 24),
+    "typescript": Layout(130, 300, 0.10, 0.5, 24),
+    "java": Layout(150, 320, 0.12, 0.5, 16),
+    "go": Layout(140, 320, 0.085, 0.5, 16),
+    "python": Layout(180, 340, 0.10, 0.5, 24),
 }
 EXTENSIONS = {"py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "go": "go"}
 NUMBER = re.compile(r"(?<![\w.\"'])[-+]?(?:0[xX][0-9a-fA-F_]+|\d[\d_]*\.?\d*(?:[eE][-+]?\d+)?)[lLfFdDn]?(?![\w.\"'])[ \t]*[,;]?")
-ENCODED = re.compile(r"(?:[A-Za-z0-9+/=_]|\\x[0-9a-fA-F]{2}|\\[0-7]{3}){40,}")
-_MARKS = re.compile(r"^[\s/*#!;-]*(?:<!--\s*)?")
+#: A long encoded run; a digest behind the name of its algorithm points to data and is none.
+ENCODED = re.compile(r"(?<![0-9A-Za-z+/=_])(?<!sha\d{3}[:-])(?<!sha1[:-])(?<!md5[:-])(?:[A-Za-z0-9+/=_]|\\x[0-9a-fA-F]{2}|\\[0-7]{3}){40,}")
+
+
+def language_of(path: str | None) -> str | None:
+    m = re.search(r"\.(\w+)$", path or "")
+    return EXTENSIONS.get(m[1].lower()) if m else None
 
 
 def path_kind(path: str | None) -> str | None:
@@ -88,34 +77,6 @@ _GENERATED_NAME = re.compile(rf"{GENERATED_NAMES}$|^{LOCK_NAMES}$", re.I)
 _MINIFIED_NAME = re.compile(rf"{MINIFIED_NAMES}$", re.I)
 
 
-def comment_lines(text: str, language: str | None) -> Iterator[str]:
-    """The lines of all comments without their marks; of a text without a known language, every line that
-    begins with a comment mark."""
-    if language is None:
-        for line in text.splitlines():
-            if line.lstrip()[:2] in ("//", "/*", "<!") or line.lstrip()[:1] in ("#", "*", ";"):
-                yield _MARKS.sub("", line).strip()
-        return
-    for m in lexer.FIRST[lexer.LANGUAGES[language][0]].finditer(text):
-        t = m[0]
-        if t[0] == "#" or t[:2] in ("//", "/*"):
-            for line in t.splitlines():
-                yield _MARKS.sub("", line).strip()
-
-
-def notice_kind(text: str, language: str | None) -> str | None:
-    """``generated`` or ``vendored`` by the file's own notice in a comment; None otherwise."""
-    low = text.lower()
-    if not any(w in low for w in NOTICE_WORDS):
-        return None
-    for line in comment_lines(text, language):
-        if GENERATED_NOTICE.match(line):
-            return "generated"
-        if VENDORED_NOTICE.match(line):
-            return "vendored"
-    return None
-
-
 _SPACE, _ALNUM, _DIGIT = (np.array([f(chr(b)) for b in range(256)]) for f in (lambda c: c in " \t\r\n\f\v", lambda c: c.isascii() and c.isalnum(), lambda c: c in "0123456789"))
 
 
@@ -141,24 +102,27 @@ def layout(text: str) -> dict[str, float]:
     }
 
 
-def data_share(text: str) -> float:
-    """The share of non-blank characters that numeric literals (with their commas) and encoded runs of at
-    least 40 characters make up."""
+def data_statistics(text: str) -> tuple[float, int, int]:
+    """(share, literals, encoded): of the characters but white space the share that numeric literals (with their
+    commas) and encoded runs of at least 40 characters make up; how many literals there are, and characters in runs."""
     whole = sum(map(len, text.split())) or 1
     rest, n = ENCODED.subn("", text)
     encoded = len(text) - len(rest)
-    return (encoded + sum(len(x.replace(" ", "").replace("\t", "")) for x in NUMBER.findall(rest))) / whole
+    numbers = NUMBER.findall(rest)
+    return (encoded + sum(len(x.replace(" ", "").replace("\t", "")) for x in numbers)) / whole, len(numbers), encoded
 
 
 def layout_kind(text: str, language: str | None, stats: dict[str, float]) -> str | None:
-    """``minified`` or ``data`` by the layout of a file in a known language; None otherwise."""
+    """``minified`` or ``data`` by the layout of a file in a known language; None otherwise.  A file of any size
+    is judged."""
     limits = LAYOUTS.get(language or "")
-    if limits is None or stats["bytes"] < limits.least_bytes:
+    if limits is None:
         return None
-    dense = stats["digit"] >= 0.15 or stats["space"] < 0.12 or stats["mean_line"] > 55 or stats["alnum"] > 0.85
-    if dense and data_share(text) >= limits.data_share:
-        return "data"
-    if stats["mean_line"] >= limits.minified_mean and stats["space"] <= limits.minified_space:
+    if stats["digit"] >= 0.1 or stats["space"] < 0.12 or stats["mean_line"] > 55 or stats["alnum"] > 0.85:
+        share, literals, encoded = data_statistics(text)
+        if share >= limits.data and (encoded or literals >= limits.literals):
+            return "data"
+    if stats["mean_line"] >= limits.mean_line and stats["max_line"] >= limits.max_line and stats["space"] <= limits.space:
         return "minified"
     return None
 
@@ -174,8 +138,7 @@ def classify(path: str | None, text: str | None) -> tuple[str | None, str | None
         return kind, "path", stats
     if not text:
         return None, None, stats
-    m = re.search(r"\.(\w+)$", path or "")
-    language = EXTENSIONS.get(m[1].lower()) if m else None
+    language = language_of(path)
     kind = notice_kind(text, language)
     if kind:
         return kind, "notice", stats
@@ -213,6 +176,28 @@ def classify_files(corpus: DataFrame) -> DataFrame:
     return spread(corpus.select("file_id", "repo", "path", "content"), "file_id").mapInArrow(_classify, CLASSES)
 
 
+LAYOUT = "file_id string, repo string, path string, language string, bytes bigint, lines int, mean_line double, max_line int, space_share double, alnum_share double, digit_share double, data_share double, numeric_literals int, encoded_chars bigint, layout string"
+
+
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, 512):
+            batch = whole.slice(at, 512)
+            rows = []
+            for path, text in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                language, stats = language_of(path), layout(text or "")
+                share, literals, encoded = data_statistics(text or "")
+                rows.append((language, stats["bytes"], stats["lines"], stats["mean_line"], stats["max_line"], stats["space"], stats["alnum"], stats["digit"], share, literals, encoded, layout_kind(text or "", language, stats)))
+            types = [pa.string(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.int32(), pa.int64(), pa.string()]
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("file_id", "repo", "path")), *columns], names=[x.split()[0] for x in LAYOUT.split(", ")])
+
+
+def layout_statistics(corpus: DataFrame) -> DataFrame:
+    """One row per row of ``corpus``: its layout statistics, and ``layout``, which is minified, data or null by the
+    thresholds of its language.  Null contents have 0 bytes; a path without a known language has statistics only."""
+    return spread(corpus.select("file_id", "repo", "path", "content"), "file_id").mapInArrow(_measure, LAYOUT)
+
 
 def path_generated(path) -> F.Column:
     """The path rules of ``path_kind`` as an expression that stays in the JVM."""

@@ -100,7 +100,13 @@ def p1_files(spark, folder):
     return files.select("file_id", "repo", "path", "is_generated", "kind", "evidence", "line_count", "max_line").join(recorded, "file_id", "left").join(ledger, ["repo", "path"], "left")
 
 
-QUERIES |= {"p1_found": p1_found, "p1_files": p1_files}
+def p1_method(spark, folder):
+    """The layout statistics of every file and what they alone decide: paths and notices, which most cases
+    show, are no layout."""
+    return handwritten.layout_statistics(table(spark, folder, "corpus"))
+
+
+QUERIES |= {"p1_method": p1_method, "p1_found": p1_found, "p1_files": p1_files}
 
 
 def p5_pairs(spark, folder):

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from quarry.llm import docpairs, handwritten, mojibake, neardup, packing, splitting, tokenize
+from quarry.llm import docpairs, handwritten, mojibake, neardup, notices, packing, splitting, tokenize
 
 ENCODE = tokenize.encoder(tokenize.default_ranks())[0]
 
@@ -44,12 +44,116 @@ NOTICES = {
 
 @pytest.mark.parametrize("kind, notice", [(k, n) for k, each in NOTICES.items() for n in each])
 def test_every_notice_passes_the_word_filter(kind, notice):
-    pattern = handwritten.GENERATED_NOTICE if kind == "generated" else handwritten.VENDORED_NOTICE
-    assert pattern.match(notice)
-    assert any(w in notice.lower() for w in handwritten.NOTICE_WORDS)
+    assert notices.line_kind(notice, "") == kind
+    assert notices.PARTS_PATTERN.search(notice.lower())
     assert handwritten.classify("a/b.py", f"# {notice}\n" + CODE)[0] == kind
 
 
+# Phrasings that no table at hand has, and remarks that only look like a notice.
+HELD_OUT_GENERATED = [
+    'Compiled from api.thrift using weavec 2.1. Hand edits are discarded by the next build.',
+    'This module is produced automatically from the billing OpenAPI specification.',
+    'Erstellt aus vertrag.xsd mit schemac. Nicht manuell ändern.',
+    'Archivo generado a partir de tarifa.wsdl; no editar.',
+    'Arquivo gerado por protoc-gen-x. Não edite.',
+    'Plik wygenerowany automatycznie przez stubber. Nie edytować.',
+    'Файл сгенерирован программой weavec. Не редактировать.',
+    'NOTE: this file was created by the weavec compiler 3.2, please do not modify it',
+    'Never edit this by hand: rerun the generator instead.',
+    'Rendered from templates/client.tmpl by mkclient',
+    'Ce code a été créé automatiquement avec weavec.',
+    'DO NOT MODIFY. Regenerate with `make stubs`.',
+    'Emitted by weavec from rates.graphql',
+    'Autogenerated by Thrift Compiler (0.9.2)',
+    'auto-generated from schema.json; any change will be overwritten',
+    'Output of lemon 3.1 from grammar.y; do not edit',
+    'Translated by cython 0.29 from module.pyx',
+    'These stubs were generated with mypy-protobuf',
+    'Generated from rules.peg by pegc',
+]
+HELD_OUT_VENDORED = [
+    'Imported from zlibkit 1.2.11 without changes',
+    'Local copy of the parsekit library, version 4.2',
+    'Pulled in from github.com/acme/tinyjson at commit 4f2a91c; upstream lives there',
+    'Verbatim copy of fastmath v2.0.1',
+    'This file was taken from the libfoo project, release 2.3',
+    'Mirrored from hashkit@3.1.4',
+    'Unverändert übernommen aus parsekit 2.4',
+    'Copié tel quel de parsekit 1.8.2',
+    'Upstream: https://example.org/tinyjson v1.4.2',
+    'parsekit v1.4.2 | (c) the authors | MIT License',
+    'Forked from tinyjson 1.2.0',
+    'This code is copied unchanged from the acme-utils repository at tag v9',
+]
+REMARKS = [
+    'The stubs in the grade package are generated from this module.',
+    'Keep this list sorted; do not edit the order without telling the rotor team.',
+    'Replaces the vendored fernkit copy we removed last year.',
+    'Hand-tuned. The old generated version was too slow for salt.',
+    'Auto-generated method stub',
+    'Generated values are cached per request.',
+    'Created by Jane Doe on 2019-03-04.',
+    'Written by hand for speed.',
+    'Created with love by the platform team',
+    'Copied from the ledger before the write, so that readers see the old one.',
+    'Built from the list of rows, with nulls left out.',
+    'Snapshot of the queue at the time of the call.',
+    "Taken from the caller's context.",
+    'Included from the main header.',
+    'Part of the toolbar service.',
+    'Do not edit the list while iterating.',
+    'Do not modify the returned map.',
+    'Compiled with -O2 in release builds.',
+    'Returns a copy of the buffer, version 2 of the layout.',
+    'Derived from the base rate by adding the margin.',
+    'Output is written to stdout by the logger.',
+    'Copy of the row with version 3 set.',
+    'Generated by hand.',
+    'Changes are written by the worker.',
+    'Copyright 2019 Foo project. Licensed under MIT license.',
+    'Copyright (c) 2.0 licensed',
+    'Rendered by the browser from the template.',
+    'Converted from Celsius with two decimals.',
+    'Imported from settings.py by the tests.',
+    'Local changes to the row are lost when the session closes.',
+    'Any changes to the returned list are overwritten by the next call.',
+    'Created from config.yaml with sensible defaults.',
+    'Extracted from handler.py so that tests can use it.',
+    'Printed by the CLI from main.py',
+    'This class is generated lazily by the container.',
+    'Manual edits to the order are not allowed.',
+    'Read-only view; do not modify.',
+    'Loaded with the defaults from settings.yaml by the loader',
+]
+
+
+@pytest.mark.parametrize("kind, notice", [*(("generated", n) for n in HELD_OUT_GENERATED), *(("vendored", n) for n in HELD_OUT_VENDORED), *((None, n) for n in REMARKS)])
+def test_notice_grammar(kind, notice):
+    assert handwritten.classify("a/b.py", f"# {notice}\n" + CODE)[0] == kind
+    assert handwritten.classify("a/b.py", f"S = {notice!r}\n" + CODE)[0] is None
+
+
+def test_evidence_may_stand_on_the_next_line_of_the_comment():
+    assert handwritten.classify("a.js", "// Generated file.\n// Built by weavec.\nlet a = 1;\n")[0] == "generated"
+    assert handwritten.classify("a.js", "/*\n * Built from rates.graphql by weavec.\n * Do not edit.\n */\nlet a = 1;\n")[0] == "generated"
+    assert handwritten.classify("a.js", "// Built for speed.\n\n// Do not edit the order.\nlet a = 1;\n")[0] is None
+
+
+def test_size_decides_nothing():
+    pointer = "version 1 of the pointer format\noid sha256:" + "0f" * 32 + "\nsize 4727\n"
+    assert handwritten.classify("a.py", pointer)[0] is None  # a reference to data, not data
+    assert handwritten.classify("a.py", 'B = "' + "QUJDREVG" * 6 + '"\n')[0] == "data"
+    assert handwritten.classify("a.py", "X = [" + "17, " * 30 + "]\n")[0] == "data"
+    assert handwritten.classify("a.py", "LIMIT = 100000\n")[0] is None
+
+
+def test_layout_statistics(spark):
+    rows = [("1", "r", "a.js", "function a(b,c){return b+c};" * 30), ("2", "r", "b.py", CODE), ("3", "r", "c.go", 'package a\n\nvar X = "' + "QUJDREVGR0hJSktM" * 60 + '"\n'), ("4", "r", "d.txt", "x" * 999), ("5", "r", None, None), ("6", "r", "vendor/e.py", CODE)]
+    found = {r.file_id: r for r in handwritten.layout_statistics(spark.createDataFrame(rows, "file_id string, repo string, path string, content string")).collect()}
+    assert {k: r.layout for k, r in found.items()} == {"1": "minified", "2": None, "3": "data", "4": None, "5": None, "6": None}
+    assert found["1"].max_line == 840 and found["3"].encoded_chars == 960 and found["2"].numeric_literals == 8 and found["5"].bytes == 0
+
+
 def test_generated_files(spark):
     records = spark.createDataFrame([("1", "a.py", False), ("1", "a.py", None), ("2", "vendor/b.py", False), ("3", "c.py", True), ("4", "gone/node_modules/d.js", None), (None, "vendor/x", None)], "id string, path string, is_generated boolean")
     corpus = spark.createDataFrame([("1", "r", "a.py", "# @generated by x\n"), ("2", "r", "vendor/b.py", CODE), ("3", "r", "c.py", CODE), ("9", "r", "vendor/z.py", CODE)], "file_id string, repo string, path string, content string")
