@@ -30,6 +30,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from quarry.llm import scripts
 from quarry.sources.tables import spread
 
 # Encodings that text is wrongly read as, and pairs (true, wrong) of Cyrillic encodings.
@@ -574,14 +575,14 @@ def _restore_european(text: str) -> tuple[str, int, set[str]]:
     A document has evidence of a pair in words that can't be correct and become likely ones, and in frequent words
     that come out; then all words that the pair turns from unlikely into possible ones are restored."""
     spans, used = 0, set()
-    for _ in range(3):
+    while True:  # a pair is taken once, so it ends
         tally: dict[tuple[str, str], int] = defaultdict(int)
         for token in _TOKEN.findall(text):
             if len(token) <= 40:
                 for pair, _, value in _readings(token):
                     tally[pair] += value
         best = max(tally, key=lambda p: (tally[p], -EUROPEAN.index(p[0]), -WRONG.index(p[1])), default=None)
-        if best is None or tally[best] < 2:
+        if best is None or tally[best] < 2 or f"{best[0]}>{best[1]}" in used:
             break
 
         def swap(m: re.Match) -> str:
@@ -626,16 +627,18 @@ def restore(text: str) -> tuple[str, int, int, list[str]]:
     if text.isascii():
         return text, 0, lost, []
     lost += text.count("�")
+    text, others, scripts_used = scripts.restore_lines(text, _encoders(), WRONG[:-1], _plausible)
     if next(automaton().iter(text), None) is None and not any(hit[2] for hit in _chains(text)):
         fixed, n, used = _restore_european(text)
-        return fixed, n, lost, sorted(used)
+        return fixed, n + others, lost, sorted(used | scripts_used)
     text, spans, encodings = _restore_single(text, True)
-    for _ in range(4):
+    spans, encodings = spans + others, encodings | scripts_used
+    while True:  # each round makes the text shorter, so it ends however often the text was garbled
         before = text
         text, n, used = _restore_utf8(text)
         spans += n
         encodings |= used
-        if text == before:
+        if len(text) >= len(before):
             break
     for rule in (_restore_single, _restore_european):
         text, n, used = rule(text)

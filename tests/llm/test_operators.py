@@ -441,3 +441,25 @@ def test_garbled_documents(spark):
     df = spark.createDataFrame([(1, "SchlÃ¼ssel", 0), (1, "SchlÃ¼ssel", 0), (2, None, 0), (3, "", 0), (4, "Schlüssel", 0), (5, "Schl�ssel", 0), (6, "best?tigt wird", 0), (7, "x" * 200_000 + " Ã©t", 0)], "doc_id bigint, text string, restored int")
     assert {r.doc_id for r in mojibake.garbled_documents(df).collect()} == {1, 5, 6, 7}
     assert mojibake.garbled_documents(df.limit(0)).count() == 0
+
+
+OTHER_SCRIPTS = [
+    ("שגיאת קידוד בקובץ הטקסט", "cp1255"), ("שגיאת קידוד בקובץ הטקסט", "iso8859-8"), ("خطأ في ترميز النص داخل الملف", "cp1256"), ("خطأ في ترميز النص داخل الملف", "iso8859-6"), ("ข้อผิดพลาดในการเข้ารหัสข้อความ", "cp874"),
+    ("Σφάλμα κωδικοποίησης στο αρχείο κειμένου", "cp1253"), ("编码错误导致文本无法显示，请检查文件的字符集。", "gbk"), ("文字コードの誤りで表示できません。確認してください", "shift_jis"), ("文字コードの誤りで表示できません。確認してください", "euc_jp"), ("문자 인코딩 오류가 발생했습니다. 파일을 확인하세요.", "euc_kr"),
+]
+
+
+@pytest.mark.parametrize("wrong", ["latin-1", "cp1252", "cp437", "cp850", "mac_roman"])
+@pytest.mark.parametrize("text, true", OTHER_SCRIPTS)
+def test_other_scripts(text, true, wrong):
+    garbled = "".join(mojibake._decode_table(wrong)[b][0] for b in text.encode(true))
+    assert mojibake.restore(f"See: {garbled} (end)\nnext line")[0] == f"See: {text} (end)\nnext line"
+    assert mojibake.restore(f"See: {text} (end)\nnext line") == (f"See: {text} (end)\nnext line", 0, 0, [])
+
+
+@pytest.mark.parametrize("times", [1, 3, 5, 8])
+def test_garbled_any_number_of_times(times):
+    text = garbled = "Die Größe der Datei"
+    for _ in range(times):
+        garbled = garbled.encode().decode("latin-1")
+    assert mojibake.restore(garbled)[0] == text
