@@ -4,7 +4,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from quarry.operators import changes
-from quarry.operators.snapshot_diff import snapshot_changes
+from quarry.operators.snapshot_diff import resolve_entries, snapshot_changes, sorted_entries
 
 SCHEMA = "repo string, snapshot_no int, path string, content_hash string, loaded_at timestamp_ntz, taken_at timestamp_ntz, digest string, ordinal int"
 T = datetime(2024, 1, 1)
@@ -70,6 +70,26 @@ def test_merge_equals_set_differences(spark, rows):
     assert found(spark, rows) == brute(rows)
 
 
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["r", "s"]), st.integers(1, 4), st.sampled_from(["a", "./a", "b", "d"]), st.sampled_from(["1", "2", None]), st.sampled_from([T, T + timedelta(1), None])), max_size=25), st.integers(1, 4))
+def test_merge_over_small_batches(spark, rows, size):
+    """A key's rows are divided over batches anywhere."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        assert found(spark, rows) == brute(rows)
+        kept = [tuple(r) for r in resolve_entries(entries(spark, rows)).select("repo", "snapshot_no", "path").collect()]
+        assert len(kept) == len(set(kept))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_one_key_with_very_many_rows(spark):
+    """A hot key's rows are combined batch by batch before they are shuffled."""
+    hot = spark.range(60_000).select(F.lit("r").alias("repo"), (F.col("id") % 2 + 1).cast("int").alias("snapshot_no"), F.lit("a").alias("path"), F.col("id").cast("string").alias("content_hash"), (F.lit(T) + F.make_dt_interval(secs=F.col("id").cast("int"))).cast("timestamp_ntz").alias("loaded_at"))
+    assert sorted_entries(hot).count() <= 40
+    assert [tuple(r) for r in snapshot_changes(hot).collect()] == [("r", 2, "a", "changed")]
+
+
 def manifest(spark, d):
     return spark.createDataFrame(list(d.items()), "path string, content_hash string")
 
