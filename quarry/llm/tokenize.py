@@ -1,11 +1,13 @@
 """Encoding of a whole corpus with a public byte-level BPE tokenizer, by reuse of shared chunks.
 
 1. Texts are cut where a rolling hash of the last 16 bytes hits a mask, so equal passages give equal
-   chunks wherever they stand.
-2. Each distinct chunk is encoded once.  Its ids travel as packed 16-bit integers, with its head (up to
-   the first place where white space follows a word) and its tail (from the last such place).
-3. Chunk references join the encodings, and each document's chunks, sorted, are streamed through a
-   repair: tail + head around each join is encoded anew.
+   chunks wherever they stand.  One pass gives the references (document, position, digest); a task sends a
+   chunk's text only with its first reference.
+2. References meet by digest.  Each distinct chunk is encoded once, and every reference gets its ids as packed
+   16-bit integers, with the chunk's head (up to the first place where white space follows a word) and its
+   tail (from the last such place).  The references of a hot chunk are divided: behind every ``GROUP``
+   references in a task a new group begins, which has its own place and encodes the chunk once more.
+3. Each document's chunks, sorted, are streamed through a repair: tail + head around each join is encoded anew.
 
 The repair is exact, because a pre-token never reaches over the place where white space follows a
 non-space: on both sides of such a place the encoding of a text is the encoding of its parts.  A chunk
@@ -117,41 +119,47 @@ def last_break(text: str) -> int:
     return -1
 
 
-CHUNKS = "doc_id bigint, seq int, digest binary, chunk string"
-
-
-def _chunks(with_text: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                docs, seqs, digests, texts, seen = [], [], [], [], set()
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                    data = text.encode("utf-8", "replace")
-                    start = 0
-                    for k, end in enumerate(chunk_ends(data)):
-                        piece = data[start:end]
-                        digest = xxhash.xxh3_128_digest(piece)
-                        start = end
-                        if not with_text:
-                            docs.append(doc)
-                            seqs.append(k)
-                            digests.append(digest)
-                        elif digest not in seen:
-                            seen.add(digest)
-                            digests.append(digest)
-                            texts.append(piece)
-                if with_text:
-                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(texts, pa.binary()).cast(pa.string())], names=["digest", "chunk"])
-                else:
-                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(seqs, pa.int32()), pa.array(digests, pa.binary())], names=["doc_id", "seq", "digest"])
-
-    return run
-
-
-ENCODED = "digest binary, ids binary, head string, head_n int, tail string, tail_n int"
+#: References of one chunk that a task puts into one group.
+GROUP = 1024
+REFS = "doc_id bigint, seq int, digest binary, grp bigint, bare boolean, chunk string"
+
+
+def _references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunks of each document; a document that a task sees again is left out."""
+    import xxhash
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    task = (context.partitionId() if context else 0) << 32
+    counts: dict[bytes, int] = {}
+    known: set[int] = set()
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1024):
+            batch = whole.slice(at, 1024)
+            docs, seqs, digests, groups, texts = [], [], [], [], []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                if doc in known:
+                    continue
+                known.add(doc)
+                data = text.encode("utf-8", "replace")
+                start = 0
+                for k, end in enumerate(chunk_ends(data)):
+                    piece = data[start:end]
+                    digest = xxhash.xxh3_128_digest(piece)
+                    start = end
+                    n = counts.get(digest, 0)
+                    counts[digest] = n + 1
+                    docs.append(doc)
+                    seqs.append(k)
+                    digests.append(digest)
+                    groups.append(n // GROUP and task + n // GROUP)
+                    texts.append(None if n % GROUP else piece)
+            bare = pa.array([t is None for t in texts], pa.bool_())
+            columns = [pa.array(docs, pa.int64()), pa.array(seqs, pa.int32()), pa.array(digests, pa.binary()), pa.array(groups, pa.int64()), bare, pa.array(texts, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in REFS.split(", ")])
+
+
+ENCODED = "doc_id bigint, seq int, ids binary, head string, head_n int, tail string, tail_n int"
 
 
 def encode_chunk(text: str, ranks_path: str) -> tuple[bytes, str, int, str, int]:
@@ -173,14 +181,21 @@ def encode_chunk(text: str, ranks_path: str) -> tuple[bytes, str, int, str, int]
 
 
 def _encode(ranks_path: str):
+    """Encodes the chunk of references that are sorted by digest, those with text first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, encoded = None, None
+        types = [pa.binary(), pa.string(), pa.int32(), pa.string(), pa.int32()]
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                rows = [encode_chunk(t, ranks_path) for t in batch.column("chunk").to_pylist()]
+                rows = []
+                for d, text in zip(batch.column("digest").to_pylist(), batch.column("chunk").to_pylist()):
+                    if d != digest:
+                        digest, encoded = d, encode_chunk(text, ranks_path)
+                    rows.append(encoded)
                 cols = list(zip(*rows)) or [[]] * 5
-                types = [pa.binary(), pa.string(), pa.int32(), pa.string(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([batch.column("digest"), *(pa.array(list(c), t) for c, t in zip(cols, types))], names=[x.split()[0] for x in ENCODED.split(", ")])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("seq"), *(pa.array(list(c), t) for c, t in zip(cols, types))], names=[x.split()[0] for x in ENCODED.split(", ")])
 
     return run
 
@@ -266,13 +281,10 @@ def encode_documents(documents: DataFrame, ranks_path: str | None = None) -> Dat
     """
     ranks_path = ranks_path or default_ranks()
     rows = documents.where("doc_id is not null").select("doc_id", "text")
-    full = spread(rows.where("text <> ''"), "doc_id")
-    refs = full.mapInArrow(_chunks(False), "doc_id bigint, seq int, digest binary")
-    distinct = full.mapInArrow(_chunks(True), "digest binary, chunk string").groupBy("digest").agg(F.first("chunk").alias("chunk"))
-    encoded = distinct.mapInArrow(_encode(ranks_path), ENCODED)
-    joined = refs.join(encoded.hint("shuffle_merge"), "digest").drop("digest")
-    n = documents.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ordered = joined.repartition(int(n), "doc_id").sortWithinPartitions("doc_id", "seq")
+    full = spread(rows.where("text <> ''"), "doc_id", ordered=True)
+    n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = full.mapInArrow(_references, REFS).repartition(n, "digest", "grp").sortWithinPartitions("digest", "grp", "bare")
+    ordered = met.select("doc_id", "seq", "digest", "chunk").mapInArrow(_encode(ranks_path), ENCODED).repartition(n, "doc_id").sortWithinPartitions("doc_id", "seq")
     done = ordered.mapInArrow(_assemble(ranks_path), "doc_id bigint, ids array<int>")
     empty = rows.where("text is null or text = ''").select("doc_id", F.array().cast("array<int>").alias("ids")).dropDuplicates(["doc_id"])
     return done.unionByName(empty)

@@ -299,6 +299,20 @@ def test_chunks_follow_content():
     assert all(x.decode() for x in pieces("日本語🚀".encode() * 3000)) and tokenize.chunk_ends(b"") == []
 
 
+def test_references_of_a_hot_chunk_are_divided():
+    import pyarrow as pa
+
+    texts = ["licence header " * 40 + "\n"] * 5000 + ["other"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(at, at + 5001), pa.int64()), pa.array(texts)], names=["doc_id", "text"]) for at in (0, 5001, 0)]
+    rows = [r for b in tokenize._references(iter(batches)) for r in b.to_pylist()]
+    assert {r["doc_id"] for r in rows} == set(range(10_002)) and len({(r["doc_id"], r["seq"]) for r in rows}) == len(rows)
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r["digest"], r["grp"]].append(r)
+    assert max(map(len, groups.values())) == tokenize.GROUP
+    assert all(sum(not r["bare"] for r in g) == 1 and all(r["bare"] == (r["chunk"] is None) for r in g) for g in groups.values())
+
+
 def test_documents(spark):
     rng = random.Random(4)
     texts = ["", None, "x", "<|endoftext|> is text", "日本語" * 2000, "a" * 30_000, " " * 9000, "same passage. " * 500, *(" ".join(rng.choice(["don't", "we'll", "alpha", "\n\n", "été"]) for _ in range(rng.randrange(1, 3000))) for _ in range(20))]
