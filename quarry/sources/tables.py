@@ -33,12 +33,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, key: str, ordered: bool = False) -> DataFrame:
     """``df`` over all cores if its source has fewer splits than there are cores, as one small file has.
 
     For rows that much computing awaits.  A source of enough splits, as any large one, is left alone: its
-    rows don't move.
+    rows don't move.  ``df`` has to be a scan with projections and filters, whose splits can be counted
+    without running anything.  ``ordered`` sorts rows that were moved by ``key``: what is computed of a partition's
+    order then stays the same if a task is run again.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df if splits >= cores else df.repartition(cores, key)
+    if splits >= cores:
+        return df
+    moved = df.repartition(cores, key)
+    return moved.sortWithinPartitions(key) if ordered else moved
