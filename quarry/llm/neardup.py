@@ -121,6 +121,62 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(rids)], names=["key", "rid"])
 
 
+#: Texts of a bucket up to which its pairs come from one task; a larger bucket is cut into blocks of about so many.
+BLOCK = 512
+_PAIRS = ["rid_a", "rid_b"]
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs within each bucket of at most BLOCK rows; rows come sorted by key, and a batch may cut a bucket."""
+    keys, rids, large = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+
+    def within(keys: np.ndarray, rids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at, step = np.arange(len(keys)), 0
+        while len(at):
+            step += 1
+            at = at[at + step < len(keys)]
+            at = at[keys[at] == keys[at + step]]
+            a, b = rids[at], rids[at + step]
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=_PAIRS)
+
+    for batch in batches:
+        keys = np.concatenate([keys, batch.column("key").to_numpy(zero_copy_only=False)])
+        rids = np.concatenate([rids, batch.column("rid").to_numpy(zero_copy_only=False)])
+        if not len(keys):
+            continue
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        sizes = np.diff(np.append(starts, len(keys)))
+        whole = sizes <= BLOCK
+        whole[0] &= not large
+        open_large = not whole[-1]
+        whole[-1] = False
+        kept = np.repeat(whole, sizes)
+        yield from within(keys[kept], rids[kept])
+        large = open_large
+        last = len(keys) - 1 if large else starts[-1]  # of a large bucket one row tells where it ends
+        keys, rids = keys[last:], rids[last:]
+    if not large:
+        yield from within(keys, rids)
+
+
+def bucket_pairs(keys: DataFrame) -> DataFrame:
+    """rid_a <= rid_b of every two rows of ``keys`` (key, rid) with equal key, each pair at least once.
+
+    Buckets of at most BLOCK rows give their pairs in one streaming pass over the sorted rows.  The rows of a larger
+    bucket are dealt to blocks, and each two blocks meet in a cell of their own, so no task has more than the pairs
+    of two blocks; nothing is dropped."""
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = keys.repartition(n, "key").sortWithinPartitions("key")
+    small = met.mapInArrow(_pairs, "rid_a bigint, rid_b bigint")
+    large = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = met.join(large, "key").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    left = dealt.select("key", F.col("rid").alias("left_rid"), F.col("block").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"))
+    right = dealt.select("key", F.col("rid").alias("right_rid"), F.col("block").alias("y"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("x"))
+    cells = left.join(right.hint("shuffle_merge"), ["key", "x", "y"]).where("x < y or left_rid < right_rid")
+    return small.unionByName(cells.select(F.least("left_rid", "right_rid").alias("rid_a"), F.greatest("left_rid", "right_rid").alias("rid_b")))
+
+
 def similarity_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, links) of a table of id and text.
 
@@ -128,12 +184,10 @@ def similarity_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs of representatives of similarity at least 0.7, each once.  Texts of fewer than 30 tokens, empty
     and null texts are in neither.  A repeated row counts once.
     """
-    base = cut(spread(texts.where("id is not null and text is not null").select("id", "text"), "id").mapInArrow(_sets, SETS))
+    base = cut(spread(texts.where("id is not null and text is not null").select("id", "text"), "id", ordered=True).mapInArrow(_sets, SETS))
     reps = cut(base.groupBy("digest").agg(F.first("shingles", ignorenulls=True).alias("shingles")).withColumn("rid", F.monotonically_increasing_id()))
     members = base.select("id", "digest").distinct().join(reps.select("digest", "rid"), "digest").select("id", "rid").distinct()
-    keys = reps.select("rid", "shingles").mapInArrow(_keys, "key bigint, rid bigint")
-    a, b = keys.select("key", F.col("rid").alias("rid_a")), keys.select("key", F.col("rid").alias("rid_b"))
-    candidates = a.join(b.hint("shuffle_merge"), "key").where("rid_a < rid_b").select("rid_a", "rid_b").distinct()
+    candidates = bucket_pairs(reps.select("rid", "shingles").mapInArrow(_keys, "key bigint, rid bigint")).where("rid_a < rid_b").distinct()
     up, down = THRESHOLD
     both = F.size(F.array_intersect("shingles_a", "shingles_b"))
     left = reps.select(F.col("rid").alias("rid_a"), F.col("shingles").alias("shingles_a"))

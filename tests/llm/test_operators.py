@@ -4,6 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from quarry.llm import docpairs, handwritten, mojibake, neardup, notices, packing, splitting, tokenize
 
@@ -270,6 +271,21 @@ def test_recall_of_the_tables():
     assert hits[0.7] >= 394 and hits[0.3] <= 260
 
 
+@pytest.mark.parametrize("batch", [3, 700, 10_000])
+def test_pairs_of_large_buckets_come_from_cells(spark, batch):
+    sizes = {1: 1, 2: 2, 3: neardup.BLOCK, 4: neardup.BLOCK + 1, 5: 1300, 6: 3}
+    rows = [(k, k * 10_000 + i) for k, n in sizes.items() for i in range(n)]
+    random.Random(1).shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        pairs = neardup.bucket_pairs(spark.createDataFrame(rows, "key bigint, rid bigint")).distinct()
+        per = {r.k: r.n for r in pairs.where("rid_a < rid_b").groupBy((F.col("rid_a") / 10_000).cast("int").alias("k")).agg(F.count("*").alias("n")).collect()}
+        assert pairs.where("cast(rid_a / 10000 as int) <> cast(rid_b / 10000 as int)").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert per == {k: n * (n - 1) // 2 for k, n in sizes.items() if n > 1}
+
+
 # 7 and 8 --------------------------------------------------------------------------------------------------------
 TEXTS = st.lists(st.sampled_from(list("ab'lrevst  \n\n\t\r.!<|>é日🚀\x1c\xa0\u3000") + ["don't", "we'll", "  ", "    x", "word word word "]), max_size=60).map("".join)
 
