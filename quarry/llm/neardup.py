@@ -123,22 +123,31 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: Texts of a bucket up to which its pairs come from one task; a larger bucket is cut into blocks of about so many.
 BLOCK = 512
-_PAIRS = ["rid_a", "rid_b"]
+_MET = "rid_a bigint, rid_b bigint, key bigint"
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs within each bucket of at most BLOCK rows; rows come sorted by key, and a batch may cut a bucket."""
-    keys, rids, large = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key: the pairs within each bucket of at most BLOCK rows (key is null); the rows of a larger
+    bucket as they are, with their place in the bucket as rid_b.  A batch may cut a bucket."""
+    keys, rids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    large_key, place = None, 0  # the large bucket that is open, and how many of its rows went out
+
+    def batch_of(a: np.ndarray, b: np.ndarray, key) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()) if key is None else pa.array(np.full(len(a), key))], names=["rid_a", "rid_b", "key"])
 
     def within(keys: np.ndarray, rids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        at, step = np.arange(len(keys)), 0
+        at, step, found, rows = np.arange(len(keys)), 0, [], 0
         while len(at):
             step += 1
             at = at[at + step < len(keys)]
             at = at[keys[at] == keys[at + step]]
-            a, b = rids[at], rids[at + step]
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=_PAIRS)
+            found.append((rids[at], rids[at + step]))
+            rows += len(at)
+            if rows > 200_000 or not len(at):
+                a, b = (np.concatenate(x) for x in zip(*found))
+                if rows:
+                    yield batch_of(np.minimum(a, b), np.maximum(a, b), None)
+                found, rows = [], 0
 
     for batch in batches:
         keys = np.concatenate([keys, batch.column("key").to_numpy(zero_copy_only=False)])
@@ -146,32 +155,34 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(keys):
             continue
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        sizes = np.diff(np.append(starts, len(keys)))
-        whole = sizes <= BLOCK
-        whole[0] &= not large
-        open_large = not whole[-1]
-        whole[-1] = False
-        kept = np.repeat(whole, sizes)
-        yield from within(keys[kept], rids[kept])
-        large = open_large
-        last = len(keys) - 1 if large else starts[-1]  # of a large bucket one row tells where it ends
+        ends = np.append(starts[1:], len(keys))
+        small = ends - starts <= BLOCK
+        small[0] &= keys[0] != large_key
+        for i in np.flatnonzero(~small).tolist():
+            key, some = int(keys[starts[i]]), rids[starts[i] : ends[i]]
+            if key != large_key:
+                large_key, place = key, 0
+            yield batch_of(some, np.arange(place, place + len(some)), key)
+            place += len(some)
+        last = starts[-1] if small[-1] else len(keys)
+        kept = np.repeat(small, ends - starts)[:last]
+        yield from within(keys[:last][kept], rids[:last][kept])
         keys, rids = keys[last:], rids[last:]
-    if not large:
-        yield from within(keys, rids)
+    yield from within(keys, rids)
 
 
 def bucket_pairs(keys: DataFrame) -> DataFrame:
-    """rid_a <= rid_b of every two rows of ``keys`` (key, rid) with equal key, each pair at least once.
+    """rid_a <= rid_b of every two rows of ``keys`` (key, rid) with equal key; a pair of several buckets may be repeated.
 
     Buckets of at most BLOCK rows give their pairs in one streaming pass over the sorted rows.  The rows of a larger
     bucket are dealt to blocks, and each two blocks meet in a cell of their own, so no task has more than the pairs
     of two blocks; nothing is dropped."""
     n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = keys.repartition(n, "key").sortWithinPartitions("key")
-    small = met.mapInArrow(_pairs, "rid_a bigint, rid_b bigint")
-    large = met.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = met.join(large, "key").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    left = dealt.select("key", F.col("rid").alias("left_rid"), F.col("block").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("y"))
+    met = cut(keys.repartition(n, "key").sortWithinPartitions("key", "rid").mapInArrow(_meet, _MET).distinct())
+    small = met.where("key is null").select("rid_a", "rid_b")
+    large = met.where("key is not null").select("key", F.col("rid_a").alias("rid"), (F.col("rid_b") / BLOCK).cast("int").alias("block"))
+    dealt = large.join(large.groupBy("key").agg(F.max("block").alias("last")), "key")
+    left = dealt.select("key", F.col("rid").alias("left_rid"), F.col("block").alias("x"), F.explode(F.sequence("block", "last")).alias("y"))
     right = dealt.select("key", F.col("rid").alias("right_rid"), F.col("block").alias("y"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("x"))
     cells = left.join(right.hint("shuffle_merge"), ["key", "x", "y"]).where("x < y or left_rid < right_rid")
     return small.unionByName(cells.select(F.least("left_rid", "right_rid").alias("rid_a"), F.greatest("left_rid", "right_rid").alias("rid_b")))
