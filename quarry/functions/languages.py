@@ -6,84 +6,80 @@ from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# Key | display name | extensions | file names.  The first writer of an extension keeps it.
-EXTRACTED = """
-python | Python | .py .pyi .pyw
-javascript | JavaScript | .js .mjs .cjs .jsx
-typescript | TypeScript | .ts .mts .cts
-tsx | TypeScript JSX | .tsx
-java | Java | .java
-go | Go | .go
-rust | Rust | .rs
-c | C | .c .h
-cpp | C++ | .cc .cpp .cxx .c++ .hpp .hh .hxx
-csharp | C# | .cs
-ruby | Ruby | .rb .rake .gemspec
-php | PHP | .php .phtml
-kotlin | Kotlin | .kt .kts
-swift | Swift | .swift
-scala | Scala | .scala .sc
-lua | Lua | .lua
-bash | Shell | .sh .bash .zsh
-dart | Dart | .dart
-"""
-PARSE_ONLY = """
-elixir | Elixir | .ex .exs
-erlang | Erlang | .erl .hrl
-haskell | Haskell | .hs
-ocaml | OCaml | .ml .mli
-clojure | Clojure | .clj .cljs .cljc
-perl | Perl | .pl .pm
-r | R | .r .R
-julia | Julia | .jl
-nim | Nim | .nim
-zig | Zig | .zig
-gdscript | GDScript | .gd
-groovy | Groovy | .groovy .gradle
-fsharp | F# | .fs .fsi .fsx
-vb | Visual Basic | .vb
-powershell | PowerShell | .ps1 .psm1
-batch | Batch | .bat .cmd
-objc | Objective-C | .mm
-asm | Assembly | .asm .s .S
-solidity | Solidity | .sol
-proto | Protocol Buffers | .proto
-thrift | Thrift | .thrift
-graphql | GraphQL | .graphql .gql
-make | Makefile | .mk | Makefile makefile GNUmakefile
-vue | Vue | .vue
-svelte | Svelte | .svelte
-"""
-NOT_CODE = """
-sql | SQL | .sql
-hcl | HCL / Terraform | .tf .tfvars .hcl
-dockerfile | Dockerfile | | Dockerfile
-cmake | CMake | .cmake | CMakeLists.txt
-css | CSS | .css
-scss | SCSS | .scss
-html | HTML | .html .htm
-xml | XML | .xml .xsd .xsl
-json | JSON | .json
-yaml | YAML | .yaml .yml
-toml | TOML | .toml
-markdown | Markdown | .md .markdown
-rst | reStructuredText | .rst
-csv | CSV | .csv .tsv
-ini | INI | .ini .cfg
-gitignore | gitignore | | .gitignore
-requirements | Python requirements | | requirements.txt
-gomod | Go module | | go.mod
-"""
+# Key, display name, extensions, file names.  The first writer of an extension keeps it.
+EXTRACTED = (
+    ("python", "Python", (".py", ".pyi", ".pyw"), ()),
+    ("javascript", "JavaScript", (".js", ".mjs", ".cjs", ".jsx"), ()),
+    ("typescript", "TypeScript", (".ts", ".mts", ".cts"), ()),
+    ("tsx", "TypeScript JSX", (".tsx",), ()),
+    ("java", "Java", (".java",), ()),
+    ("go", "Go", (".go",), ()),
+    ("rust", "Rust", (".rs",), ()),
+    ("c", "C", (".c", ".h"), ()),
+    ("cpp", "C++", (".cc", ".cpp", ".cxx", ".c++", ".hpp", ".hh", ".hxx"), ()),
+    ("csharp", "C#", (".cs",), ()),
+    ("ruby", "Ruby", (".rb", ".rake", ".gemspec"), ()),
+    ("php", "PHP", (".php", ".phtml"), ()),
+    ("kotlin", "Kotlin", (".kt", ".kts"), ()),
+    ("swift", "Swift", (".swift",), ()),
+    ("scala", "Scala", (".scala", ".sc"), ()),
+    ("lua", "Lua", (".lua",), ()),
+    ("bash", "Shell", (".sh", ".bash", ".zsh"), ()),
+    ("dart", "Dart", (".dart",), ()),
+)
+PARSE_ONLY = (
+    ("elixir", "Elixir", (".ex", ".exs"), ()),
+    ("erlang", "Erlang", (".erl", ".hrl"), ()),
+    ("haskell", "Haskell", (".hs",), ()),
+    ("ocaml", "OCaml", (".ml", ".mli"), ()),
+    ("clojure", "Clojure", (".clj", ".cljs", ".cljc"), ()),
+    ("perl", "Perl", (".pl", ".pm"), ()),
+    ("r", "R", (".r", ".R"), ()),
+    ("julia", "Julia", (".jl",), ()),
+    ("nim", "Nim", (".nim",), ()),
+    ("zig", "Zig", (".zig",), ()),
+    ("gdscript", "GDScript", (".gd",), ()),
+    ("groovy", "Groovy", (".groovy", ".gradle"), ()),
+    ("fsharp", "F#", (".fs", ".fsi", ".fsx"), ()),
+    ("vb", "Visual Basic", (".vb",), ()),
+    ("powershell", "PowerShell", (".ps1", ".psm1"), ()),
+    ("batch", "Batch", (".bat", ".cmd"), ()),
+    ("objc", "Objective-C", (".mm",), ()),
+    ("asm", "Assembly", (".asm", ".s", ".S"), ()),
+    ("solidity", "Solidity", (".sol",), ()),
+    ("proto", "Protocol Buffers", (".proto",), ()),
+    ("thrift", "Thrift", (".thrift",), ()),
+    ("graphql", "GraphQL", (".graphql", ".gql"), ()),
+    ("make", "Makefile", (".mk",), ("Makefile", "makefile", "GNUmakefile")),
+    ("vue", "Vue", (".vue",), ()),
+    ("svelte", "Svelte", (".svelte",), ()),
+)
+NOT_CODE = (
+    ("sql", "SQL", (".sql",), ()),
+    ("hcl", "HCL / Terraform", (".tf", ".tfvars", ".hcl"), ()),
+    ("dockerfile", "Dockerfile", (), ("Dockerfile",)),
+    ("cmake", "CMake", (".cmake",), ("CMakeLists.txt",)),
+    ("css", "CSS", (".css",), ()),
+    ("scss", "SCSS", (".scss",), ()),
+    ("html", "HTML", (".html", ".htm"), ()),
+    ("xml", "XML", (".xml", ".xsd", ".xsl"), ()),
+    ("json", "JSON", (".json",), ()),
+    ("yaml", "YAML", (".yaml", ".yml"), ()),
+    ("toml", "TOML", (".toml",), ()),
+    ("markdown", "Markdown", (".md", ".markdown"), ()),
+    ("rst", "reStructuredText", (".rst",), ()),
+    ("csv", "CSV", (".csv", ".tsv"), ()),
+    ("ini", "INI", (".ini", ".cfg"), ()),
+    ("gitignore", "gitignore", (), (".gitignore",)),
+    ("requirements", "Python requirements", (), ("requirements.txt",)),
+    ("gomod", "Go module", (), ("go.mod",)),
+)
 
 
 def rows() -> list[tuple[str, str, list[str], list[str], bool, bool]]:
     """(key, display name, extensions, file names, is code, has extraction rules) of every language."""
-    out = []
-    for block, code, extracted in ((EXTRACTED, True, True), (PARSE_ONLY, True, False), (NOT_CODE, False, False)):
-        for line in block.strip().splitlines():
-            key, display, extensions, names = ([x.strip() for x in line.split("|")] + [""])[:4]
-            out.append((key, display, extensions.split(), names.split(), code, extracted))
-    return out
+    blocks = ((EXTRACTED, True, True), (PARSE_ONLY, True, False), (NOT_CODE, False, False))
+    return [(key, display, list(extensions), list(names), code, extracted) for block, code, extracted in blocks for key, display, extensions, names in block]
 
 
 def dimension(spark: SparkSession) -> DataFrame:

@@ -88,7 +88,7 @@ def diagnostic_table(parsed: DataFrame, symbols: DataFrame | None = None) -> Dat
     if symbols is None:
         return said
     groups = symbols.where("group_size > 1").groupBy("path", "symbol_type", "qualified_name").agg(F.count("*").alias("n"), F.min("location.start_line").alias("line"))
-    return said.unionByName(groups.select(F.lit("INFO").alias("severity"), F.lit("ir.overload").alias("code"), F.format_string("%d declarations share the qualified name '%s'; disambiguating by signature", "n", "qualified_name").alias("message"), F.col("path").alias("file_path"), "line", F.lit("none").alias("recovery_action")))
+    return said.unionByName(groups.select(F.lit("INFO").alias("severity"), F.lit("ir.overload").alias("code"), F.format_string("%s stands for %d declarations, told apart by their signatures", "qualified_name", "n").alias("message"), F.col("path").alias("file_path"), "line", F.lit("none").alias("recovery_action")))
 
 
 def counts(files: DataFrame, symbols: DataFrame, relationships: DataFrame, evidence: DataFrame, chunks: DataFrame, diagnostics: DataFrame) -> DataFrame:

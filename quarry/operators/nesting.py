@@ -45,8 +45,8 @@ def innermost(intervals: DataFrame, points: DataFrame | None = None) -> DataFram
 
 
 def offset(line, col):
-    """A line and a column as one sortable number."""
-    return line.cast("bigint") * 1_000_000 + col
+    """A line and a column as one sortable number; a column of any int stays within its line."""
+    return line.cast("bigint") * 2**31 + col
 
 
 def attach_docs(docs: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -23,26 +23,26 @@ def _empty(c: str) -> Column:
 def file_problems(files: DataFrame) -> DataFrame:
     p = F.col("path")
     rules = {
-        "path is empty": _empty("path"),
-        "path must be repository-relative": p.startswith("/") | p.startswith("\\") | F.contains(p, F.lit(":")),
-        "path must use POSIX separators": F.contains(p, F.lit("\\")),
-        "content_hash is empty": _empty("content_hash"),
-        "size must be >= 0": F.col("size") < 0,
-        "model_version is empty": _empty("model_version"),
-        "parse_error must be set when parse_status is FAILED": (F.col("parse_status") == "FAILED") & _empty("parse_error"),
-        "a SOURCE file must have a language": (F.col("file_kind") == "SOURCE") & F.col("language").isNull(),
+        "file.path.missing": _empty("path"),
+        "file.path.absolute": p.startswith("/") | p.startswith("\\") | F.contains(p, F.lit(":")),
+        "file.path.backslash": F.contains(p, F.lit("\\")),
+        "file.hash.missing": _empty("content_hash"),
+        "file.size.negative": F.col("size") < 0,
+        "version.missing": _empty("model_version"),
+        "file.failure.unexplained": (F.col("parse_status") == "FAILED") & _empty("parse_error"),
+        "file.source.no_language": (F.col("file_kind") == "SOURCE") & F.col("language").isNull(),
     }
     return _broken(files, "file", "id", rules)
 
 
 def symbol_problems(symbols: DataFrame) -> DataFrame:
     rules = {
-        "name is empty": _empty("name"),
-        "qualified_name is empty": _empty("qualified_name"),
-        "qualified_name must be module:Symbol": (F.col("symbol_type") != "MODULE") & ~F.contains(F.col("qualified_name"), F.lit(":")),
-        "file_id is empty": _empty("file_id"),
-        "model_version is empty": _empty("model_version"),
-        **{f"location: {k}": v for k, v in spans.rules(F.col("location")).items()},
+        "symbol.name.missing": _empty("name"),
+        "symbol.qualified_name.missing": _empty("qualified_name"),
+        "symbol.qualified_name.no_module": (F.col("symbol_type") != "MODULE") & ~F.contains(F.col("qualified_name"), F.lit(":")),
+        "file_id.missing": _empty("file_id"),
+        "version.missing": _empty("model_version"),
+        **{f"span.{k}": v for k, v in spans.rules(F.col("location")).items()},
     }
     return _broken(symbols, "symbol", "id", rules)
 
@@ -50,43 +50,43 @@ def symbol_problems(symbols: DataFrame) -> DataFrame:
 def relationship_problems(relationships: DataFrame) -> DataFrame:
     c = F.col("confidence")
     rules = {
-        "source_symbol_id is empty": _empty("source_symbol_id"),
-        "target_symbol_id is empty": _empty("target_symbol_id"),
-        "confidence must be within [0,1]": ~c.between(0.0, 1.0),
-        "RESOLVED_EXACT requires confidence 1.0": (F.col("resolution_status") == "RESOLVED_EXACT") & (c < 1.0),
-        "UNRESOLVED requires confidence 0.0": (F.col("resolution_status") == "UNRESOLVED") & (c > 0.0),
-        "an unresolved relationship must record target_name": ids.is_unresolved("target_symbol_id") & _empty("target_name"),
-        "model_version is empty": _empty("model_version"),
-        **{f"source_location: {k}": v for k, v in spans.rules(F.col("source_location")).items()},
+        "relationship.source.missing": _empty("source_symbol_id"),
+        "relationship.target.missing": _empty("target_symbol_id"),
+        "relationship.confidence.range": ~c.between(0.0, 1.0),
+        "relationship.exact.unsure": (F.col("resolution_status") == "RESOLVED_EXACT") & (c < 1.0),
+        "relationship.unresolved.sure": (F.col("resolution_status") == "UNRESOLVED") & (c > 0.0),
+        "relationship.unresolved.nameless": ids.is_unresolved("target_symbol_id") & _empty("target_name"),
+        "version.missing": _empty("model_version"),
+        **{f"span.{k}": v for k, v in spans.rules(F.col("source_location")).items()},
     }
     return _broken(relationships, "relationship", "id", rules)
 
 
 def evidence_problems(evidence: DataFrame) -> DataFrame:
     rules = {
-        "entity_id is empty": _empty("entity_id"),
-        "file_id is empty": _empty("file_id"),
-        "start_line must be >= 1": F.col("start_line") < 1,
-        "end_line precedes start_line": F.col("end_line") < F.col("start_line"),
-        "score must be within [0,1]": ~F.col("score").between(0.0, 1.0),
-        "model_version is empty": _empty("model_version"),
+        "evidence.entity.missing": _empty("entity_id"),
+        "file_id.missing": _empty("file_id"),
+        "evidence.lines.start": F.col("start_line") < 1,
+        "evidence.lines.order": F.col("end_line") < F.col("start_line"),
+        "evidence.score.range": ~F.col("score").between(0.0, 1.0),
+        "version.missing": _empty("model_version"),
     }
     return _broken(evidence, "evidence", "id", rules)
 
 
 def chunk_problems(chunks: DataFrame) -> DataFrame:
-    rules = {"symbol_id is empty": _empty("symbol_id"), "text is empty": _empty("text"), "chunk_type is empty": _empty("chunk_type"), "token_count must be >= 0": F.col("token_count") < 0, "model_version is empty": _empty("model_version")}
+    rules = {"chunk.symbol.missing": _empty("symbol_id"), "chunk.text.missing": _empty("text"), "chunk.type.missing": _empty("chunk_type"), "chunk.tokens.negative": F.col("token_count") < 0, "version.missing": _empty("model_version")}
     return _broken(chunks, "chunk", "id", rules)
 
 
 def dangling(rows: DataFrame, kind: str, id_col: str, reference: str, targets: DataFrame, target_col: str = "id") -> DataFrame:
     """Rows whose ``reference`` isn't among ``targets``; null references are another rule's business."""
     known = targets.select(F.col(target_col).alias(reference)).distinct()
-    return rows.where(F.col(reference).isNotNull()).join(known, reference, "left_anti").select(F.lit(kind).alias("entity_kind"), F.col(id_col).alias("entity_id"), F.lit(f"{reference} does not exist").alias("rule"))
+    return rows.where(F.col(reference).isNotNull()).join(known, reference, "left_anti").select(F.lit(kind).alias("entity_kind"), F.col(id_col).alias("entity_id"), F.lit(f"dangling.{reference}").alias("rule"))
 
 
 def duplicates(rows: DataFrame, kind: str, id_col: str = "id") -> DataFrame:
-    return rows.groupBy(F.col(id_col).alias("entity_id")).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(kind).alias("entity_kind"), "entity_id", F.lit("duplicate id").alias("rule"))
+    return rows.groupBy(F.col(id_col).alias("entity_id")).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(kind).alias("entity_kind"), "entity_id", F.lit("id.repeated").alias("rule"))
 
 
 def model_problems(files: DataFrame, symbols: DataFrame, relationships: DataFrame, evidence: DataFrame, chunks: DataFrame) -> DataFrame:

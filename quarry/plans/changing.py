@@ -77,17 +77,30 @@ def validate_files(spark, folder):
     return validate.file_problems(table(spark, folder, "file_records").distinct())
 
 
+def _faulty_symbols(spark, folder):
+    """The symbols, of which some get a fault by the length of their name."""
+    s = table(spark, folder, "code_symbols").distinct()
+    k, loc = F.pmod(F.length("name"), F.lit(9)), F.col("location")
+    broken = F.struct(F.when(k == 5, 0).otherwise(loc["start_line"]).alias("start_line"), F.when(k == 6, -1).otherwise(loc["start_col"]).alias("start_col"), F.when(k == 7, 0).otherwise(loc["end_line"]).alias("end_line"), F.when(k == 8, -2).otherwise(loc["end_col"]).alias("end_col"))
+    return s.withColumns({"qualified_name": F.when(k == 2, F.replace("qualified_name", F.lit(":"), F.lit("."))).otherwise(F.col("qualified_name")), "file_id": F.when(k == 3, None).otherwise(F.col("file_id")), "model_version": F.when(k == 4, "").otherwise(F.col("model_version")), "location": broken}).withColumn("name", F.when(k == 1, "").otherwise(F.col("name")))
+
+
 def validate_symbols(spark, folder):
-    return validate.symbol_problems(table(spark, folder, "code_symbols").distinct())
+    return validate.symbol_problems(_faulty_symbols(spark, folder))
 
 
 def validate_chunks(spark, folder):
-    return validate.chunk_problems(table(spark, folder, "semantic_chunks").distinct())
+    c = table(spark, folder, "semantic_chunks").distinct()
+    k = F.pmod(F.length("text"), F.lit(7))
+    faulty = {"symbol_id": F.when(k == 1, None).otherwise(F.col("symbol_id")), "chunk_type": F.when(k == 3, "").otherwise(F.col("chunk_type")), "token_count": F.when(k == 4, -1).otherwise(F.col("token_count")), "model_version": F.when(k == 5, None).otherwise(F.col("model_version")), "text": F.when(k == 2, "").otherwise(F.col("text"))}
+    return validate.chunk_problems(c.withColumns(faulty))
 
 
 def validate_evidence(spark, folder):
-    s = table(spark, folder, "code_symbols").select("id", "file_id", "location", "model_version").distinct()
-    return validate.evidence_problems(model.evidence_table(s))
+    s = _faulty_symbols(spark, folder).select("id", "file_id", "location", "model_version").distinct()
+    e = model.evidence_table(s)
+    k = F.pmod(F.col("end_line"), F.lit(5))
+    return validate.evidence_problems(e.withColumns({"score": F.when(k == 1, 1.5).when(k == 2, -0.5).otherwise(F.col("score")), "entity_id": F.when(k == 3, "").otherwise(F.col("entity_id"))}))
 
 
 def _relationships(spark, folder):
@@ -120,7 +133,7 @@ def duplicate_ids(spark, folder):
 
 
 def valid_symbols(spark, folder):
-    return validate.valid_and_rejected(table(spark, folder, "code_symbols").select("id", "name", "qualified_name", "symbol_type", "file_id", "model_version", "location").distinct())[0].select("id").distinct()
+    return validate.valid_and_rejected(_faulty_symbols(spark, folder).select("id", "name", "qualified_name", "symbol_type", "file_id", "model_version", "location").distinct())[0].select("id").distinct()
 
 
 def model_counts(spark, folder):
@@ -182,7 +195,7 @@ with r as (select distinct id as path, coalesce(content_hash, '') as content_has
 first as (select * from r qualify row_number() over (partition by path order by scanned_at nulls first, content_hash nulls first, parse_status nulls first, parse_error nulls first, node_count nulls first, max_depth nulls first) = 1),
 last as (select * from r qualify row_number() over (partition by path order by scanned_at desc nulls last, content_hash desc nulls last, parse_status desc nulls last, parse_error desc nulls last, node_count desc nulls last, max_depth desc nulls last) = 1)
 """
-_AT = "location.{e}_line::bigint * 1000000 + location.{e}_col"
+_AT = "location.{e}_line::bigint * 2147483648 + location.{e}_col"
 _INTERVALS = f"""
 with i as (select distinct file_id as key, id, {_AT.format(e='start')} as s, {_AT.format(e='end')} as e, upper(trim(symbol_type)) as t from code_symbols)
 """
@@ -197,9 +210,14 @@ _REL = """(select 'rel_' || id as id, id as source_symbol_id, case when length(n
   case when length(name) % 5 = 0 then 'UNRESOLVED' else 'RESOLVED_EXACT' end as resolution_status,
   case length(name) % 5 when 1 then 0.5 when 2 then 1.5 when 0 then 0.0 else 1.0 end as confidence, location as source_location, signature as target_name, model_version
   from (select distinct id, file_id, name, signature, location, model_version from code_symbols))"""
+_FAULTY = """(select * replace (case when k = 1 then '' else name end as name, case when k = 2 then replace(qualified_name, ':', '.') else qualified_name end as qualified_name, case when k = 3 then null else file_id end as file_id,
+  case when k = 4 then '' else model_version end as model_version, {'start_line': case when k = 5 then 0 else location.start_line end, 'start_col': case when k = 6 then -1 else location.start_col end,
+  'end_line': case when k = 7 then 0 else location.end_line end, 'end_col': case when k = 8 then -2 else location.end_col end} as location) from (select distinct *, length(name) % 9 as k from code_symbols))"""
+_FAULTY_CHUNKS = """(select * replace (case when k = 1 then null else symbol_id end as symbol_id, case when k = 2 then '' else text end as text, case when k = 3 then '' else chunk_type end as chunk_type,
+  case when k = 4 then -1 else token_count end as token_count, case when k = 5 then null else model_version end as model_version) from (select distinct *, length(text) % 7 as k from semantic_chunks))"""
 _SYMBOL_RULES = {
-    "name is empty": "coalesce(name, '') = ''", "qualified_name is empty": "coalesce(qualified_name, '') = ''", "qualified_name must be module:Symbol": "symbol_type <> 'MODULE' and not contains(qualified_name, ':')",
-    "file_id is empty": "coalesce(file_id, '') = ''", "model_version is empty": "coalesce(model_version, '') = ''", **{f"location: {k}": v.format(l="location") for k, v in _SPAN_RULES.items()},
+    "symbol.name.missing": "coalesce(name, '') = ''", "symbol.qualified_name.missing": "coalesce(qualified_name, '') = ''", "symbol.qualified_name.no_module": "symbol_type <> 'MODULE' and not contains(qualified_name, ':')",
+    "file_id.missing": "coalesce(file_id, '') = ''", "version.missing": "coalesce(model_version, '') = ''", **{f"span.{k}": v.format(l="location") for k, v in _SPAN_RULES.items()},
 }
 ORACLES = {
     "change_detect": _ENDS + "select path, kind, old_path from delta",
@@ -221,21 +239,21 @@ ORACLES = {
   owned as (select x.id as doc, x.s, arg_max(y.id, (y.s, -y.e, y.id)) as id from i x join i y on y.key = x.key and y.s <= x.s and y.e >= x.s where x.t in ('FUNCTION', 'METHOD') and y.t in ('CLASS', 'MODULE') group by all)
   select o.id, arg_min(n.name, (o.s, o.doc)) as documentation from owned o join names n on n.id = o.doc group by o.id""",
     "validate_files": _rules("file", {
-        "path is empty": "coalesce(path, '') = ''", "path must be repository-relative": "starts_with(path, '/') or starts_with(path, chr(92)) or contains(path, ':')", "path must use POSIX separators": "contains(path, chr(92))",
-        "content_hash is empty": "coalesce(content_hash, '') = ''", "size must be >= 0": "size < 0", "model_version is empty": "coalesce(model_version, '') = ''",
-        "parse_error must be set when parse_status is FAILED": "parse_status = 'FAILED' and coalesce(parse_error, '') = ''", "a SOURCE file must have a language": "file_kind = 'SOURCE' and language is null"}, "(select distinct * from file_records)"),
-    "validate_symbols": _rules("symbol", _SYMBOL_RULES, "(select distinct * from code_symbols)"),
-    "validate_chunks": _rules("chunk", {"symbol_id is empty": "coalesce(symbol_id, '') = ''", "text is empty": "coalesce(text, '') = ''", "chunk_type is empty": "coalesce(chunk_type, '') = ''", "token_count must be >= 0": "token_count < 0", "model_version is empty": "coalesce(model_version, '') = ''"}, "(select distinct * from semantic_chunks)"),
+        "file.path.missing": "coalesce(path, '') = ''", "file.path.absolute": "starts_with(path, '/') or starts_with(path, chr(92)) or contains(path, ':')", "file.path.backslash": "contains(path, chr(92))",
+        "file.hash.missing": "coalesce(content_hash, '') = ''", "file.size.negative": "size < 0", "version.missing": "coalesce(model_version, '') = ''",
+        "file.failure.unexplained": "parse_status = 'FAILED' and coalesce(parse_error, '') = ''", "file.source.no_language": "file_kind = 'SOURCE' and language is null"}, "(select distinct * from file_records)"),
+    "validate_symbols": _rules("symbol", _SYMBOL_RULES, _FAULTY),
+    "validate_chunks": _rules("chunk", {"chunk.symbol.missing": "coalesce(symbol_id, '') = ''", "chunk.text.missing": "coalesce(text, '') = ''", "chunk.type.missing": "coalesce(chunk_type, '') = ''", "chunk.tokens.negative": "token_count < 0", "version.missing": "coalesce(model_version, '') = ''"}, _FAULTY_CHUNKS),
     "validate_relationships": _rules("relationship", {
-        "source_symbol_id is empty": "coalesce(source_symbol_id, '') = ''", "target_symbol_id is empty": "coalesce(target_symbol_id, '') = ''", "confidence must be within [0,1]": "not (confidence between 0 and 1)",
-        "RESOLVED_EXACT requires confidence 1.0": "resolution_status = 'RESOLVED_EXACT' and confidence < 1", "UNRESOLVED requires confidence 0.0": "resolution_status = 'UNRESOLVED' and confidence > 0",
-        "an unresolved relationship must record target_name": "starts_with(target_symbol_id, 'unresolved:') and coalesce(target_name, '') = ''", "model_version is empty": "coalesce(model_version, '') = ''",
-        **{f"source_location: {k}": v.format(l="source_location") for k, v in _SPAN_RULES.items()}}, _REL),
+        "relationship.source.missing": "coalesce(source_symbol_id, '') = ''", "relationship.target.missing": "coalesce(target_symbol_id, '') = ''", "relationship.confidence.range": "not (confidence between 0 and 1)",
+        "relationship.exact.unsure": "resolution_status = 'RESOLVED_EXACT' and confidence < 1", "relationship.unresolved.sure": "resolution_status = 'UNRESOLVED' and confidence > 0",
+        "relationship.unresolved.nameless": "starts_with(target_symbol_id, 'unresolved:') and coalesce(target_name, '') = ''", "version.missing": "coalesce(model_version, '') = ''",
+        **{f"span.{k}": v.format(l="source_location") for k, v in _SPAN_RULES.items()}}, _REL),
     "dangling_references": """with code as (select id from file_records where upper(language) = 'PYTHON'), s as (select distinct id, file_id from code_symbols)
-  select 'symbol' as entity_kind, id as entity_id, 'file_id does not exist' as rule from s where file_id is not null and file_id not in (select id from code)
-  union all select 'chunk', id, 'symbol_id does not exist' from (select distinct id, symbol_id from semantic_chunks) where symbol_id is not null and symbol_id not in (select id from s where file_id in (select id from code))""",
-    "duplicate_ids": " union all ".join(f"select '{k}' as entity_kind, id as entity_id, 'duplicate id' as rule from {t} group by id having count(*) > 1" for t, k in (("file_records", "file"), ("code_symbols", "symbol"), ("semantic_chunks", "chunk"))),
-    "valid_symbols": "select distinct id from code_symbols where id not in (select entity_id from (" + _rules("symbol", _SYMBOL_RULES, "code_symbols") + "))",
+  select 'symbol' as entity_kind, id as entity_id, 'dangling.file_id' as rule from s where file_id is not null and file_id not in (select id from code)
+  union all select 'chunk', id, 'dangling.symbol_id' from (select distinct id, symbol_id from semantic_chunks) where symbol_id is not null and symbol_id not in (select id from s where file_id in (select id from code))""",
+    "duplicate_ids": " union all ".join(f"select '{k}' as entity_kind, id as entity_id, 'id.repeated' as rule from {t} group by id having count(*) > 1" for t, k in (("file_records", "file"), ("code_symbols", "symbol"), ("semantic_chunks", "chunk"))),
+    "valid_symbols": "select distinct id from code_symbols where id not in (select entity_id from (" + _rules("symbol", _SYMBOL_RULES, _FAULTY) + "))",
     "model_counts": f"""select 'files' as entity, count(*) as n from (select distinct * from file_records) union all select 'symbols', count(*) from (select distinct * from code_symbols) union all select 'relationships', count(*) from {_REL}
   union all select 'evidence', count(*) from (select distinct * from code_symbols) union all select 'chunks', count(*) from (select distinct * from semantic_chunks) union all select 'diagnostics', count(*) from excluded_files
   union all select 'degraded_files', count(*) from (select distinct * from file_records) where parse_status in ('PARTIAL', 'FAILED')""",
@@ -247,7 +265,7 @@ ORACLES = {
 ORACLES["degraded_files"] = "select distinct id, parse_status from file_records where parse_status in ('PARTIAL', 'FAILED')"
 ORACLES["source_files"] = "select distinct id, file_kind from file_records where file_kind = 'SOURCE'"
 ORACLES["unresolved_edges"] = f"select distinct id, target_symbol_id from {_REL} where starts_with(target_symbol_id, 'unresolved:')"
-ORACLES["validate_evidence"] = """with e as (select 'ev_' || left(sha1(id || chr(31) || file_id || chr(31) || location.start_line || chr(31) || location.end_line || chr(31) || 'offline.ast'), 16) as id, id as entity_id, file_id, location.start_line as s, location.end_line as e, model_version
-  from (select distinct id, file_id, location, model_version from code_symbols))
-  select 'evidence' as entity_kind, id as entity_id, 'start_line must be >= 1' as rule from e where s < 1 union all select 'evidence', id, 'end_line precedes start_line' from e where e < s
-  union all select 'evidence', id, 'entity_id is empty' from e where coalesce(entity_id, '') = '' union all select 'evidence', id, 'file_id is empty' from e where coalesce(file_id, '') = '' union all select 'evidence', id, 'model_version is empty' from e where coalesce(model_version, '') = ''"""
+ORACLES["validate_evidence"] = f"""with b as (select 'ev_' || left(sha1(coalesce(id, '') || chr(31) || coalesce(file_id, '') || chr(31) || location.start_line || chr(31) || location.end_line || chr(31) || 'offline.ast'), 16) as id, id as entity_id, file_id, location.start_line as s, location.end_line as e, model_version
+  from (select distinct id, file_id, location, model_version from {_FAULTY})),
+  e as (select * replace (case when (e % 5) = 3 then '' else entity_id end as entity_id), case e % 5 when 1 then 1.5 when 2 then -0.5 else 1.0 end as score from b)
+""" + " union all ".join(f"select 'evidence' as entity_kind, id as entity_id, '{k}' as rule from e where {v}" for k, v in {"evidence.lines.start": "s < 1", "evidence.lines.order": "e < s", "evidence.entity.missing": "coalesce(entity_id, '') = ''", "file_id.missing": "coalesce(file_id, '') = ''", "version.missing": "coalesce(model_version, '') = ''", "evidence.score.range": "score not between 0 and 1"}.items())

@@ -169,6 +169,18 @@ _LEDGER = """ledger as (
   select path, decision as reason, case when decision = 'IGNORED' then 0 else length end as size from classified where decision in ('IGNORED', 'BINARY', 'GENERATED')
   union all select distinct pruned, 'IGNORED', 0 from classified where decision = 'PRUNED')
 """
+_bag = lambda d: "sha256(count(*) || ',' || " + " || ',' || ".join(f"sum(('0x' || substr({d}, {8 * i + 1}, 8))::bigint)" for i in range(8)) + ")"
+#: Of each table the columns in alphabetical order, as a struct; times as the JSON writer spells them.
+_FIELDS = {
+    t: ", ".join(f"'{c}': " + (f"strftime({c}, '%Y-%m-%dT%H:%M:%S.%g')" if c.endswith("_at") else c) for c in columns.split())
+    for t, columns in {
+        "corpus": "content file_id length path repo",
+        "code_symbols": "content_hash documentation file_id id language location model_version name qualified_name repo signature symbol_type",
+        "semantic_chunks": "chunk_type embedding_id id model_version repo symbol_id text token_count",
+        "file_records": "content_hash file_kind id is_binary is_generated language line_count max_depth model_version node_count parse_error parse_status path repo scanned_at size",
+        "excluded_files": "model_version path reason repo size",
+    }.items()
+}
 _SPLIT = r"string_split_regex({t}, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]')"
 _STRIP = r"regexp_replace({t}, '^\s+|\s+$', '', 'g')"
 
@@ -183,6 +195,8 @@ ORACLES = {
     + f"""select {_sid('file_', 'path')} as id, path, language, 'sha256:' || sha256(content) as content_hash, length as size, {_STATUS} as parse_status, null::varchar as parse_error, 'mv_0' as model_version,
   {_KIND} as file_kind, false as is_binary, false as is_generated, {_LINES.format(t='content')}::int as line_count, 0 as node_count, 0 as max_depth from classified where decision in ('KEPT', 'UNREADABLE')""",
     "model_version": "select 'mv_' || left(sha1(sha256(string_agg(h, chr(10) order by h))), 16) as model_version from (select 'sha256:' || sha256(content) as h from corpus)",
+    "tree_version": f"select 'mv_' || left(sha1({_bag('d')}), 16) as model_version from (select sha256('sha256:' || sha256(content)) as d from corpus)",
+    "table_digests": " union all ".join(f"select '{t}' as name, {_bag('d')} as digest from (select sha256(to_json({{{fields}}})) as d from {t})" for t, fields in _FIELDS.items()),
     "registry_summary": f"select {len(languages.rows())} as registered, {len(_CODE)} as code_languages, {len({e.lower() for r in languages.rows() for e in r[2]})} as extensions, {len({n for r in languages.rows() for n in r[3]})} as filenames, {sum(r[5] for r in languages.rows())} as extractable",
     "registry_lookup": f"""select path, language, coalesce(case language {" ".join(f"when '{r[0]}' then '{r[1]}'" for r in languages.rows())} end, 'Unknown') as display_name,
   coalesce(language in {_list(_CODE)}, false) as is_code, coalesce(language in {_list(r[0] for r in languages.rows() if r[5])}, false) as is_extractable

@@ -8,25 +8,34 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarry.functions import ids, languages, text
 
-# What a scan leaves out.
-IGNORED_DIRECTORIES = """
-.git .hg .svn .bzr node_modules bower_components jspm_packages __pycache__ .mypy_cache .pytest_cache .ruff_cache .tox
-.venv venv env .env virtualenv site-packages dist-packages eggs dist build out target bin obj .idea .vscode .vs .settings
-.next .nuxt .svelte-kit .parcel-cache .turbo .gradle .m2 .terraform .serverless .cache coverage htmlcov .nyc_output vendor
-third_party Pods DerivedData .dart_tool .pub-cache .quarry
-""".split()
-IGNORED_SUFFIXES = """
-.lock .log .tmp .temp .bak .orig .rej .swp .pyc .pyo .pyd .class .o .obj .a .lib .so .dylib .dll .exe .wasm .jar .war .ear
-.nupkg .whl .egg .zip .tar .gz .bz2 .xz .7z .rar .png .jpg .jpeg .gif .bmp .ico .webp .svg .pdf .psd .ai .eps .mp3 .mp4 .wav
-.avi .mov .mkv .woff .woff2 .ttf .otf .eot .db .sqlite .sqlite3 .mdb .pdb .bin .dat .iso .dmg .pkl .npy .npz .parquet
-""".split()
-IGNORED_FILENAMES = """
-.DS_Store Thumbs.db desktop.ini package-lock.json yarn.lock pnpm-lock.yaml composer.lock poetry.lock Pipfile.lock Cargo.lock
-Gemfile.lock go.sum
-""".split()
-GENERATED_PATHS = "/generated/ /autogen/ /auto-generated/ /__generated__/ /gen-code/ /generated-sources/".split()
-GENERATED_SUFFIXES = "_pb2.py _pb2_grpc.py .pb.go .pb.cc .pb.h .g.cs .designer.cs .generated.cs .min.js .min.css .freezed.dart .g.dart _generated.go".split()
-GENERATED_MARKERS = ["@generated", "DO NOT EDIT", "do not edit", "Code generated by", "code generated by", "automatically generated", "Auto-generated", "THIS FILE IS AUTO-GENERATED"]
+# What a scan leaves out, and how generated files are told.
+IGNORED_DIRECTORIES = [
+    ".git", ".hg", ".svn", ".bzr", "node_modules", "bower_components", "jspm_packages", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache",
+    ".tox", ".venv", "venv", "env", ".env", "virtualenv", "site-packages", "dist-packages", "eggs", "dist", "build", "out", "target", "bin", "obj",
+    ".idea", ".vscode", ".vs", ".settings", ".next", ".nuxt", ".svelte-kit", ".parcel-cache", ".turbo", ".gradle", ".m2", ".terraform", ".serverless",
+    ".cache", "coverage", "htmlcov", ".nyc_output", "vendor", "third_party", "Pods", "DerivedData", ".dart_tool", ".pub-cache", ".quarry",
+]
+IGNORED_SUFFIXES = [
+    ".lock", ".log", ".tmp", ".temp", ".bak", ".orig", ".rej", ".swp", ".pyc", ".pyo", ".pyd", ".class", ".o", ".obj", ".a", ".lib", ".so", ".dylib",
+    ".dll", ".exe", ".wasm", ".jar", ".war", ".ear", ".nupkg", ".whl", ".egg", ".zip", ".tar", ".gz", ".bz2", ".xz", ".7z", ".rar", ".png", ".jpg",
+    ".jpeg", ".gif", ".bmp", ".ico", ".webp", ".svg", ".pdf", ".psd", ".ai", ".eps", ".mp3", ".mp4", ".wav", ".avi", ".mov", ".mkv", ".woff", ".woff2",
+    ".ttf", ".otf", ".eot", ".db", ".sqlite", ".sqlite3", ".mdb", ".pdb", ".bin", ".dat", ".iso", ".dmg", ".pkl", ".npy", ".npz", ".parquet",
+]
+IGNORED_FILENAMES = [
+    ".DS_Store", "Thumbs.db", "desktop.ini", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "composer.lock", "poetry.lock", "Pipfile.lock",
+    "Cargo.lock", "Gemfile.lock", "go.sum",
+]
+GENERATED_PATHS = [
+    "/generated/", "/autogen/", "/auto-generated/", "/__generated__/", "/gen-code/", "/generated-sources/",
+]
+GENERATED_SUFFIXES = [
+    "_pb2.py", "_pb2_grpc.py", ".pb.go", ".pb.cc", ".pb.h", ".g.cs", ".designer.cs", ".generated.cs", ".min.js", ".min.css", ".freezed.dart", ".g.dart",
+    "_generated.go",
+]
+GENERATED_MARKERS = [
+    "@generated", "DO NOT EDIT", "do not edit", "Code generated by", "code generated by", "automatically generated", "Auto-generated",
+    "THIS FILE IS AUTO-GENERATED",
+]
 SNIFF_BYTES = 8192
 
 

@@ -13,6 +13,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quarry.functions.ids import bag_digest
 from quarry.functions.spans import SPAN
 
 POINTER = "_CURRENT"
@@ -120,11 +121,11 @@ def manifest(files: DataFrame) -> DataFrame:
     return files.select("path", "content_hash", "language", "size")
 
 
-def table_digest(df: DataFrame, buckets: int = 1024) -> DataFrame:
-    """digest: of a table's rows in any order, by digests of buckets of row hashes; repeated rows count."""
+def table_digest(df: DataFrame) -> DataFrame:
+    """digest: of a table's rows in any order; repeated rows count.  Each row is hashed as JSON with its columns in
+    alphabetical order and nulls spelled out."""
     h = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
-    parts = df.select(h.alias("h")).groupBy(F.pmod(F.xxhash64("h"), F.lit(buckets)).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("p"))
-    return parts.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", F.col("b").cast("string"), "p"))), "\n"), 256).alias("digest"))
+    return df.select(h.alias("h")).agg(bag_digest("h").alias("digest"))
 
 
 def export_json(df: DataFrame, table: str, path: str) -> None:

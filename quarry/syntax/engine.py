@@ -31,7 +31,7 @@ def parse_one(source: bytes, language: str | None, path: str, backends: dict[str
     try:
         return backend().facts(source, language, path)
     except Exception as error:  # one file's failure stays its own
-        f = Facts(parse_status="FAILED", parse_error=f"{type(error).__name__}: {error}"[:300])
+        f = Facts(parse_status="FAILED", parse_error=f"{type(error).__name__}: {error}")
         f.say("ERROR", "parse.internal", f.parse_error, None, "file")
         return f
 

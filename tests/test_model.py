@@ -118,7 +118,7 @@ def test_every_injected_fault_is_found(spark):
     bad = Row(start_line=3, start_col=-1, end_line=2, end_col=0)
     s = spark.createDataFrame([("ok", "f", "n", "m:n", "CLASS", loc, "v"), ("bad", "f", "", "m", "CLASS", bad, None)], f"id string, file_id string, name string, qualified_name string, symbol_type string, location {SPAN}, model_version string")
     got = {(r.entity_id, r.rule) for r in validate.symbol_problems(s).collect()}
-    assert got == {("bad", x) for x in ("name is empty", "qualified_name must be module:Symbol", "model_version is empty", "location: start_col", "location: order")}
+    assert got == {("bad", x) for x in ("symbol.name.missing", "symbol.qualified_name.no_module", "version.missing", "span.start_col", "span.order")}
     good, rejected = validate.valid_and_rejected(s)
     assert [r.id for r in good.collect()] == ["ok"] and rejected.count() == 5
     claims = spark.createDataFrame([("a", "x", "CALLS", "y"), ("a", "x", "CALLS", "z"), ("b", "x", "CALLS", "y"), ("c", None, None, None)], "answer_id string, source string, kind string, target string")
