@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import json
-import os
 
 from pyspark.sql import SparkSession, functions as F
 
@@ -19,22 +18,30 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("root")
     p.add_argument("name", nargs="?")
     p.add_argument("--intent", default="DEFINITION")
+    p.add_argument("--limit", type=int, help="show at most so many rows; all by default")
     p.add_argument("--json", action="store_true")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("quarry").getOrCreate()
-    home = Store(os.path.join(a.root, INDEX_DIRECTORY))
+    home = Store(f"{a.root.rstrip('/')}/{INDEX_DIRECTORY}")
+
+    def shown(df):
+        """The rows, streamed partition by partition."""
+        return (df if a.limit is None else df.limit(a.limit)).toLocalIterator()
+
     if a.command == "index":
         out = index_repository(spark, a.root).summary()
     elif home.active() is None:
         out = {"error": "no published version"}
     elif a.command == "status":
         files = home.read(spark, "files")
-        out = {"model_version": home.active(), "statuses": {r[0]: r[1] for r in files.groupBy("parse_status").count().collect()}, "languages": {r[0]: r[1] for r in files.where("language is not null").groupBy("language").count().collect()}}
+        said = home.read(spark, "files").where("parse_status in ('PARTIAL', 'FAILED')").orderBy("path").select("path", "parse_status", "parse_error")
+        excluded = home.read(spark, "excluded").groupBy("reason").count()
+        out = {"model_version": home.active(), "degraded": [r.asDict() for r in shown(said)], "excluded": {r[0]: r[1] for r in excluded.collect()}, "statuses": {r[0]: r[1] for r in files.groupBy("parse_status").count().collect()}, "languages": {r[0]: r[1] for r in files.where("language is not null").groupBy("language").count().collect()}}
     elif a.command == "query":
         edges = home.read(spark, "relationships").select(F.col("source_symbol_id").alias("source"), F.col("target_symbol_id").alias("target"))
-        out = {"rows": [r.asDict() for r in answer(a.intent, a.name or "", home.read(spark, "symbols"), edges).limit(100).collect()]}
+        out = {"rows": [r.asDict() for r in shown(answer(a.intent, a.name or "", home.read(spark, "symbols"), edges))]}
     else:
-        out = {"symbols": [r.asDict(True) for r in home.read(spark, "symbols").where(F.col("qualified_name").contains(a.name or "")).limit(20).collect()]}
+        out = {"symbols": [r.asDict(True) for r in shown(home.read(spark, "symbols").where(F.col("qualified_name").contains(a.name or "")))]}
     print(json.dumps(out, indent=2, ensure_ascii=False, default=str) if a.json else "\n".join(f"{k}: {v}" for k, v in out.items()))
     return int("error" in out)
 

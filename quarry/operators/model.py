@@ -24,14 +24,21 @@ def ordinal_suffix(rows: DataFrame, id_col: str, *order: str) -> DataFrame:
     return rows.withColumn("_k", k).withColumn(id_col, F.when(F.col("_k") > 0, F.concat(id_col, F.lit("~"), F.col("_k").cast("string"))).otherwise(F.col(id_col))).drop("_k")
 
 
-def symbol_table(parsed: DataFrame, files: DataFrame, version: Column) -> DataFrame:
-    """The symbols of all files, with the columns of the model and ``path``, ``parent``, ``ordinal``."""
+def symbol_ids(parsed: DataFrame) -> DataFrame:
+    """The symbols of all files with their ids: what relationships need.  Nothing of the texts is read."""
     facts = parsed.select("path", F.explode("symbols").alias("s")).select("path", "s.*")
     named = overload_names(facts, "path").withColumn("id", ids.symbol_id("path", "symbol_type", "id_name"))
-    unique = ordinal_suffix(named, "id", "ordinal")
-    source = files.select("path", F.col("id").alias("file_id"), "language", "text")
-    sliced = unique.join(source, "path").withColumn("slice", text.slice_lines("text", F.col("span.start_line"), F.col("span.end_line")))
-    return sliced.select("id", "file_id", "name", "qualified_name", "symbol_type", "signature", F.col("span").alias("location"), "documentation", text.hash_text("slice").alias("content_hash"), version.alias("model_version"), "language", "path", "parent", "ordinal", "group_size", "slice")
+    return ordinal_suffix(named, "id", "ordinal").withColumnRenamed("span", "location")
+
+
+def symbol_table(parsed: DataFrame, files: DataFrame, version: Column) -> DataFrame:
+    """The symbols of all files, with the columns of the model and ``path``, ``parent``, ``ordinal``, ``group_size``,
+    ``slice``.  ``parsed`` has slices; ``files`` has path, id and language."""
+    known = files.select("path", F.col("id").alias("file_id"), "language")
+    return symbol_ids(parsed).join(known, "path").select(
+        "id", "file_id", "name", "qualified_name", "symbol_type", "signature", "location", "documentation",
+        text.hash_text("slice").alias("content_hash"), version.alias("model_version"), "language", "path", "parent", "ordinal", "group_size", "slice",
+    )
 
 
 def evidence_table(symbols: DataFrame) -> DataFrame:

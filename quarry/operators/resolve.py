@@ -27,6 +27,15 @@ def resolve_imports(imports: DataFrame, symbols: DataFrame) -> DataFrame:
     return found.select("path", "module", F.when(F.col("n") == 1, F.col("target_id")).alias("target_id"), F.when(F.col("n").isNull(), "UNRESOLVED").when(F.col("n") == 1, "RESOLVED_EXACT").otherwise("AMBIGUOUS").alias("resolution_status"))
 
 
+def call_facts(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(calls, imports, bindings) of parsed files, as ``resolve_calls`` takes them."""
+    at = F.concat_ws(":", "path", F.col("c.span.start_line").cast("string"), F.col("c.span.start_col").cast("string"), "c.callee")
+    calls = parsed.select("path", F.explode("calls").alias("c")).select("path", "c.enclosing", "c.receiver", "c.callee", at.alias("call_id"))
+    imports = parsed.select("path", F.explode("imports").alias("i")).select("path", "i.module", F.explode("i.names").alias("name"))
+    bindings = parsed.select("path", F.explode("bindings").alias("b")).select("path", "b.enclosing", "b.name", "b.type_name", "b.scope")
+    return calls, imports, bindings
+
+
 def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, bindings: DataFrame) -> DataFrame:
     """call_id, target_id, rung, resolution_status.
 
@@ -45,8 +54,19 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, bind
     parameter = bindings.where("scope = 'PARAMETER'").select(F.col("enclosing").alias("b_enclosing"), F.col("name").alias("type_name"), F.col("type_name").alias("real_type"))
     attribute = attribute.join(parameter, ["b_enclosing", "type_name"], "left").select("b_path", "owner", "attribute", F.coalesce("real_type", "type_name").alias("type_name"))
     local = bindings.where("scope <> 'INSTANCE'").select(F.col("path").alias("b_path"), "enclosing", F.col("name").alias("receiver"), "type_name")
-    typed = c.join(attribute.withColumnRenamed("b_path", "path"), ["path", "owner", "attribute"]).select("call_id", "callee", "type_name").unionByName(c.join(local.withColumnRenamed("b_path", "path"), ["path", "enclosing", "receiver"]).select("call_id", "callee", "type_name"))
-    by_binding = typed.join(classes, "type_name").join(members, ["class_name", "callee"]).select("call_id", F.lit(1).alias("rung"), "target_id")
+    typed = c.join(attribute.withColumnRenamed("b_path", "path"), ["path", "owner", "attribute"]).select("call_id", "path", "callee", "type_name").unionByName(c.join(local.withColumnRenamed("b_path", "path"), ["path", "enclosing", "receiver"]).select("call_id", "path", "callee", "type_name"))
+    # the class of a type's name: of the same file, else imported by that name, else the only one of the model; a
+    # frequent name is never held against all its classes
+    typed = typed.distinct()
+    home = typed.join(classes.select("class_name", "type_name", F.col("class_path").alias("path")), ["path", "type_name"]).withColumn("near", F.lit(1))
+    named = classes.select("class_name", "type_name", F.regexp_extract("class_name", r"^([^:]*):", 1).alias("module"))
+    away = typed.join(imports.select("path", "module", F.col("name").alias("type_name")).distinct(), ["path", "type_name"]).join(named, ["module", "type_name"]).withColumn("near", F.lit(2))
+    only = classes.groupBy("type_name").agg(F.count("*").alias("n"), F.min("class_name").alias("class_name")).where("n = 1").drop("n")
+    else_ = typed.join(only, "type_name").withColumn("near", F.lit(3))
+    columns = ["call_id", "callee", "class_name", "near"]
+    of_class = home.select(*columns).unionByName(away.select(*columns)).unionByName(else_.select(*columns)).distinct()
+    nearest = of_class.groupBy("call_id").agg(F.min("near").alias("near"))
+    by_binding = of_class.join(nearest, ["call_id", "near"]).join(members, ["class_name", "callee"]).select("call_id", F.lit(1).alias("rung"), "target_id")
 
     own = c.where("receiver in ('self', 'this', 'cls')").join(members.withColumnRenamed("class_name", "owner"), ["owner", "callee"]).select("call_id", F.lit(2).alias("rung"), "target_id")
     bare = c.where("receiver is null")
@@ -65,3 +85,17 @@ def invalidated(edges: DataFrame, changed_symbols: DataFrame) -> DataFrame:
     left = edges.join(ids_.withColumnRenamed("id", "source_symbol_id"), "source_symbol_id", "left_semi")
     right = edges.join(ids_.withColumnRenamed("id", "target_symbol_id"), "target_symbol_id", "left_semi")
     return left.select(*edges.columns).unionByName(right.select(*edges.columns)).dropDuplicates(["id"])
+
+
+def calls_to_resolve(calls: DataFrame, bindings: DataFrame, resolved: DataFrame, parsed_paths: DataFrame, touched: DataFrame) -> DataFrame:
+    """call_id of the calls whose target may have changed: those in parsed files, those whose callee or whose file's
+    bindings name a touched symbol, and those that meant one.
+
+    ``touched``: id, name of the symbols that files had or have that were parsed or are gone; ``resolved``: call_id,
+    target_id of the run before."""
+    names = touched.select("name").distinct()
+    paths = parsed_paths.select("path").unionByName(bindings.join(names.withColumnRenamed("name", "type_name"), "type_name", "left_semi").select("path")).distinct()
+    by_path = calls.join(paths, "path", "left_semi").select("call_id")
+    by_name = calls.join(names.withColumnRenamed("name", "callee"), "callee", "left_semi").select("call_id")
+    edges = resolved.where("target_id is not null").select(F.col("call_id").alias("id"), F.col("call_id").alias("source_symbol_id"), F.col("target_id").alias("target_symbol_id"))
+    return by_path.unionByName(by_name).unionByName(invalidated(edges, touched).select(F.col("id").alias("call_id"))).distinct()

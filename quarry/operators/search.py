@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from quarry.sources.tables import spread
+from quarry.sources.tables import cut, spread
 
 K1, B = 1.2, 0.75
 
@@ -61,20 +61,27 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
+def spread_factor(rows: DataFrame) -> int:
+    """Into how many parts the vectors of one block of queries are divided: one for each core."""
+    return rows.sparkSession.sparkContext.defaultParallelism
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, score, position: the ``k`` nearest vectors of each query vector by cosine, never
     itself; scores rounded to 6 places, ties by vec_id.
 
     The stated query set is held in blocks of about 256 against all vectors: each block of queries is an
-    array in one row, so a vector meets a block in one row and emits only its pairs.  Each group of vectors
-    keeps its best k per query before the final ranking.
+    array in one row, so a vector meets a block in one row and emits only its pairs.  The vectors of a block are salted,
+    and each group of vectors keeps its best k per query before the final ranking.  This is exact and costs every pair of
+    query and vector; ``vectors.VectorIndex`` is for query sets that grow with the table.
     """
     n_blocks = max(1, -(-queries.count() // 256))
+    salts = spread_factor(vectors)
     block = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))
-    blocks = queries.select(block.alias("block"), F.struct(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), norm(F.col("embedding")).alias("size")).alias("q")).groupBy("block").agg(F.collect_list("q").alias("qs"))
+    blocks = queries.select(block.alias("block"), F.struct(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), norm(F.col("embedding")).alias("size")).alias("q")).groupBy("block").agg(F.collect_list("q").alias("qs")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     usable = vectors.where("vec_id is not null and embedding is not null").select("vec_id", "embedding")
-    copies = spread(usable, "vec_id").select("vec_id", "embedding", norm(F.col("embedding")).alias("size"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("block"))
-    pairs = copies.join(blocks, "block").select("vec_id", "embedding", "size", F.explode("qs").alias("q")).where("vec_id <> q.query_id")
+    copies = spread(usable, "vec_id").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int")).select("vec_id", "salt", "embedding", norm(F.col("embedding")).alias("size"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("block"))
+    pairs = copies.join(blocks, ["block", "salt"]).select("vec_id", "embedding", "size", F.explode("qs").alias("q")).where("vec_id <> q.query_id")
     scored = pairs.select(F.col("q.query_id").alias("query_id"), "vec_id", F.round(F.try_divide(dot(F.col("embedding"), F.col("q.query")), F.col("size") * F.col("q.size")), 6).alias("score"))
     part = W.partitionBy("query_id", F.pmod("vec_id", F.lit(16))).orderBy(F.desc("score"), "vec_id")
     some = scored.withColumn("r", F.row_number().over(part)).where(F.col("r") <= k).drop("r")
@@ -92,7 +99,24 @@ def fuse(rankings: list[DataFrame], k: int, constant: int = 60) -> DataFrame:
     return best.withColumn("position", F.row_number().over(W.orderBy(F.desc("score"), "id")))
 
 
-def within_budget(ranked: DataFrame, budget: int, *group: str) -> DataFrame:
-    """``ranked`` rows (position, tokens) whose running sum of tokens, per group, stays within ``budget``."""
-    w = W.partitionBy(*group).orderBy("position").rowsBetween(W.unboundedPreceding, 0)
-    return ranked.withColumn("running", F.sum("tokens").over(w)).where(F.col("running") <= budget)
+def running(rows: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
+    """``rows`` with ``position`` and ``running``: the number and the sum of ``value`` up to each row of its group, in
+    ``order`` (columns that leave no ties).
+
+    Prefix sums in two levels: the rows are sorted in ranges of (group, order), each range sums up on its own, and the
+    few sums of the ranges before are added.  A group that holds a third of all rows lies in many ranges.
+    """
+    ranged = rows.repartitionByRange(group, *order).withColumn("_range", F.spark_partition_id())
+    ranged = cut(ranged)  # a row's range has to stay what it is
+    own = W.partitionBy("_range", group).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    local = ranged.withColumn("_n", F.count(F.lit(1)).over(own)).withColumn("_sum", F.sum(value).over(own))
+    sums = ranged.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_rows"), F.sum(value).alias("_total"))
+    before = W.partitionBy(group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sums.select(F.col(group).alias("_group"), F.col("_range").alias("_r"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows"), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_total"))
+    joined = local.join(offsets, (F.col(group).eqNullSafe(F.col("_group"))) & (F.col("_range") == F.col("_r")))
+    return joined.withColumn("position", F.col("_n") + F.col("_rows")).withColumn("running", F.coalesce("_sum", F.lit(0)) + F.col("_total")).select(*rows.columns, "position", "running")
+
+
+def within_budget(rows: DataFrame, budget: int, group: str, order: list[str], value: str = "tokens") -> DataFrame:
+    """``rows``, in ``order``, whose running sum of ``value`` per group stays within ``budget``; with position and running."""
+    return running(rows, group, order, value).where(F.col("running") <= budget)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import time
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
@@ -10,8 +9,8 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.functions import ids, languages, text
-from quarry.operators import changes, model, validate
-from quarry.sources import repository, store
+from quarry.operators import changes, model, resolve, validate
+from quarry.sources import listing, repository, store
 from quarry.sources.shipping import ship
 from quarry.sources.tables import cut
 from quarry.syntax.engine import parse_files
@@ -62,8 +61,9 @@ def index_repository(spark: SparkSession, root: str, index_dir: str | None = Non
     """
     began = time.time()
     ship(spark)
-    home = store.Store(index_dir or os.path.join(root, INDEX_DIRECTORY))
-    scanned = cut(repository.classify(repository.read_files(spark, root), options))
+    home = store.Store(index_dir or f"{root.rstrip('/')}/{INDEX_DIRECTORY}")
+    # contents are read, measured and dropped; those of files to parse are read again
+    scanned = cut(repository.measure(repository.classify(repository.read_files(spark, root, options), options)))
     records = repository.file_records(scanned)
     version = ids.version_id(records.where("content_hash <> ''")).first()["model_version"]
     stamp = F.lit(version)
@@ -75,8 +75,8 @@ def index_repository(spark: SparkSession, root: str, index_dir: str | None = Non
     delta = cut(changes.diff(previous.select("path", "content_hash"), records.select("path", "content_hash")))
     plan = cut(changes.reuse_plan(delta, records, previous))
 
-    code = plan.where("decision = 'PARSE'").select("path").join(scanned.where("decision = 'KEPT'").select("path", "content", "language"), "path")
-    parsed = cut(parse_files(code.where(languages.is_code(F.col("language")))))
+    code = plan.where("decision = 'PARSE'").select("path").join(scanned.where("decision = 'KEPT'").where(languages.is_code(F.col("language"))).select("path", "length", "language"), "path")
+    parsed = cut(parse_files(listing.with_content(code, root), slices=True, balanced=True))
     outcome = parsed.select("path", F.col("parse_status").alias("s"), F.col("parse_error").alias("e"), F.col("node_count").alias("n"), F.col("max_depth").alias("d"))
     carried = plan.select("path", "decision", F.col("parse_status").alias("ps"), F.col("parse_error").alias("pe"), F.col("node_count").alias("pn"), F.col("max_depth").alias("pd"))
     files = (
@@ -86,8 +86,8 @@ def index_repository(spark: SparkSession, root: str, index_dir: str | None = Non
         .withColumns({"parse_status": F.coalesce("s", "ps"), "parse_error": F.when(F.col("s").isNull(), F.col("pe")).otherwise(F.col("e")), "node_count": F.coalesce("n", "pn"), "max_depth": F.coalesce("d", "pd"), "model_version": stamp})
     )
     files = cut(files.drop("s", "e", "n", "d", "ps", "pe", "pn", "pd"))
-    sources = files.select("path", "id", "language").join(scanned.select("path", text.decoded("content").alias("text")), "path")
-    symbols = cut(model.symbol_table(parsed, sources, stamp))
+    symbols = cut(model.symbol_table(parsed, files.select("path", "id", "language"), stamp))
+    calls, imports, bindings = resolve.call_facts(parsed)
     tables = {
         "files": files,
         "symbols": symbols,
@@ -96,8 +96,9 @@ def index_repository(spark: SparkSession, root: str, index_dir: str | None = Non
         "chunks": model.chunk_table(parsed, symbols, stamp),
         "diagnostics": model.diagnostic_table(parsed, symbols),
         "excluded": repository.exclusion_ledger(scanned),
+        "calls": calls, "imports": imports, "bindings": bindings,
     }
-    names = {t: [c.strip().split(" ")[0] for c in store._split(s)] for t, s in store.SCHEMAS.items()}
+    names = {t: store.column_names(t) for t in store.SCHEMAS}
     tables = {t: df.select(*names[t]) for t, df in tables.items()}
     if usable:
         kept = plan.where("decision = 'REUSE'").select("path")
@@ -114,7 +115,23 @@ def index_repository(spark: SparkSession, root: str, index_dir: str | None = Non
             tables[t] = tables[t].unionByName(changes.restamp(df, stamp).select(*names[t]))
         kept_said = old["diagnostics"].join(kept.withColumnRenamed("path", "file_path"), "file_path", "left_semi")
         tables["diagnostics"] = tables["diagnostics"].unionByName(kept_said.select(*names["diagnostics"]))
+        for t in ("calls", "imports", "bindings"):
+            tables[t] = tables[t].unionByName(old[t].join(kept, "path", "left_semi").select(*names[t]))
     tables = {t: cut(df) for t, df in tables.items()}
+    placed = tables["symbols"].join(tables["files"].select(F.col("id").alias("file_id"), "path"), "file_id")
+    placed = placed.withColumn("parent", F.when(F.col("symbol_type") != "MODULE", F.regexp_extract("qualified_name", r"^(.*)[.:][^.:]*$", 1)))
+    wanted = tables["calls"]
+    if usable:
+        gone = previous.join(kept, "path", "left_anti").select(F.col("id").alias("file_id"))
+        touched = symbols.select("id", "name").unionByName(old["symbols"].join(gone, "file_id", "left_semi").select("id", "name"))
+        again = cut(resolve.calls_to_resolve(wanted, tables["bindings"], old["resolutions"], parsed, touched))
+        wanted = wanted.join(again, "call_id", "left_semi")
+    resolved = resolve.resolve_calls(wanted, placed, tables["imports"], tables["bindings"])
+    resolved = resolved.join(tables["calls"].select("call_id", "path"), "call_id").select(*names["resolutions"])
+    if usable:
+        known = old["resolutions"].join(again, "call_id", "left_anti").join(tables["calls"].select("call_id"), "call_id", "left_semi")
+        resolved = resolved.unionByName(known.select(*names["resolutions"]))
+    tables["resolutions"] = cut(resolved)
     problems = cut(validate.model_problems(*(tables[t] for t in ("files", "symbols", "relationships", "evidence", "chunks"))))
     n = problems.count()
     published = persist and n == 0

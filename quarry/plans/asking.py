@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quarry.functions import ids
 from quarry.operators import answers, graph, model, resolve, search
 from quarry.sources.tables import cut, table
 from quarry.streaming import feeds
@@ -44,36 +45,34 @@ def import_chunks(spark, folder):
     return _parsed(spark, folder).select("path", model.import_lines(F.col("imports")).alias("text"))
 
 
-def _model(spark, folder):
+def _facts(spark, folder, slices=False):
     corpus = table(spark, folder, "corpus").select(F.concat_ws("/", "repo", "path").alias("path"), "content")
-    parsed = cut(parse_files(corpus))
-    files = corpus.select("path", F.concat(F.lit("file_"), F.substring(F.sha1("path"), 1, 16)).alias("id"), F.lit(None).cast("string").alias("language"), F.col("content").alias("text"))
-    symbols = cut(model.symbol_table(parsed, files, F.lit("mv_0")))
-    return parsed, symbols
+    return cut(parse_files(corpus, slices))
 
 
 def assemble_relationships(spark, folder):
-    parsed, symbols = _model(spark, folder)
-    return model.relationship_table(parsed, symbols, F.lit("mv_0")).select("id", "source_symbol_id", "target_symbol_id", "relationship_type", "resolution_status", "confidence", "target_name")
+    parsed = _facts(spark, folder)
+    edges = model.relationship_table(parsed, cut(model.symbol_ids(parsed).drop("slice", "documentation", "signature")), F.lit("mv_0"))
+    return edges.select("id", "source_symbol_id", "target_symbol_id", "relationship_type", "resolution_status", "confidence", "target_name")
 
 
 def assemble_chunks(spark, folder):
-    parsed, symbols = _model(spark, folder)
-    return model.chunk_table(parsed, symbols, F.lit("mv_0")).select("id", "symbol_id", "chunk_type", "token_count")
+    parsed = _facts(spark, folder, True)
+    files = parsed.select("path", ids.file_id("path").alias("id"), F.lit(None).cast("string").alias("language"))
+    return model.chunk_table(parsed, model.symbol_table(parsed, files, F.lit("mv_0")), F.lit("mv_0")).select("id", "symbol_id", "chunk_type", "token_count")
 
 
 def resolve_targets(spark, folder):
     """Every call of the corpus with the symbol it means, as far as that can be told."""
-    parsed, symbols = _model(spark, folder)
-    calls = parsed.select("path", F.explode("calls").alias("c")).select("path", "c.enclosing", "c.receiver", "c.callee", F.concat_ws(":", "path", F.col("c.span.start_line").cast("string"), F.col("c.span.start_col").cast("string"), "c.callee").alias("call_id"))
-    imports = parsed.select("path", F.explode("imports").alias("i")).select("path", "i.module", F.explode("i.names").alias("name"))
-    bindings = parsed.select("path", F.explode("bindings").alias("b")).select("path", "b.enclosing", "b.name", "b.type_name", "b.scope")
+    parsed = _facts(spark, folder)
+    symbols = cut(model.symbol_ids(parsed).select("id", "path", "name", "qualified_name", "symbol_type", "parent"))
+    calls, imports, bindings = resolve.call_facts(parsed)
     return resolve.resolve_calls(calls, symbols, imports, bindings)
 
 
 def resolve_imports(spark, folder):
-    parsed, symbols = _model(spark, folder)
-    return resolve.resolve_imports(parsed.select("path", F.explode("imports.module").alias("module")), symbols)
+    parsed = _facts(spark, folder)
+    return resolve.resolve_imports(parsed.select("path", F.explode("imports.module").alias("module")), model.symbol_ids(parsed))
 
 
 # graphs -----------------------------------------------------------------------------------------------------
@@ -161,11 +160,8 @@ def hybrid_rrf(spark, folder):
 
 def context_budget(spark, folder):
     """Of each repository the chunks, smallest symbols first, that fit 4,000 tokens."""
-    from pyspark.sql import Window as W
-
     c = table(spark, folder, "semantic_chunks").select("repo", "id", (F.floor(F.length("text") / 4)).alias("tokens")).distinct()
-    ranked = c.withColumn("position", F.row_number().over(W.partitionBy("repo").orderBy("tokens", "id")))
-    return search.within_budget(ranked, 4000, "repo").select("repo", "id", "position", "running")
+    return search.within_budget(c, 4000, "repo", ["tokens", "id"]).select("repo", "id", F.col("position").cast("int").alias("position"), "running")
 
 
 def store_lookups(spark, folder):
@@ -208,7 +204,7 @@ def stream_tumbling(spark, folder):
 
 
 def stream_dedupe(spark, folder):
-    s = feeds.distinct_events(feeds.replay(spark, folder, "events"), ["event_id"], "3650 days").select("event_id", "user_id")
+    s = feeds.distinct_events(feeds.replay(spark, folder, "events"), ["event_id"], "1 hour").select("event_id", "user_id")
     return feeds.run_to_end(s, "quarry_dedupe")
 
 

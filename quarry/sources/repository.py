@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quarry.functions import ids, languages, text
+from quarry.sources import listing
 
 # What a scan leaves out, and how generated files are told.
 IGNORED_DIRECTORIES = [
@@ -51,12 +52,18 @@ class ScanOptions:
     markers: tuple[str, ...] = field(default=tuple(GENERATED_MARKERS))
 
 
-def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """path (relative to ``root``, POSIX), content, length of every file below ``root``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.rstrip("/").removeprefix("file:")
-    relative = F.regexp_replace(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), r"^file:/*", "/")
-    return files.select(F.substr(relative, F.lit(len(base) + 2)).alias("path"), "content", "length")
+def read_files(spark: SparkSession, root: str, options: ScanOptions | None = None) -> DataFrame:
+    """path (relative to ``root``, POSIX), content, length of every file below ``root``.
+
+    An ignored directory isn't opened: it is one row, whose path ends with a slash.  Files with an ignored name aren't
+    read: their content is null, as that of files that can't be read.
+    """
+    options = options or ScanOptions()
+    listed = listing.list_files(spark, root, options.directories)
+    wanted = (F.col("kind") == "file") & ~is_ignored_name(F.col("path"), options)
+    read = listing.with_content(listed.where(wanted).select("path", "length"), root)
+    rest = listed.where(~wanted).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    return read.unionByName(rest).select("path", "content", "length")
 
 
 def pruned_directory(path: Column, options: ScanOptions) -> Column:
@@ -112,15 +119,22 @@ def classify(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFram
     ).withColumn("file_kind", F.when(F.col("decision") == "BINARY", "BINARY").when(F.col("decision") == "GENERATED", "GENERATED").when(F.col("decision").isin("PRUNED", "IGNORED"), "IGNORED").when(code, "SOURCE").otherwise("UNSUPPORTED"))
 
 
+def measure(classified: DataFrame) -> DataFrame:
+    """``classified`` with content_hash and line_count in place of the content."""
+    return classified.withColumns({"content_hash": ids.content_hash(F.col("content").cast("binary")), "line_count": text.line_count(text.decoded("content"))}).drop("content")
+
+
 def file_records(classified: DataFrame, model_version: Column | None = None) -> DataFrame:
-    """The file table of the kept files, one row each."""
+    """The file table of the kept files, one row each; ``classified`` may be measured already."""
+    if "content" in classified.columns:
+        classified = measure(classified)
     kept = classified.where(F.col("decision").isin("KEPT", "UNREADABLE"))
     failed = F.col("decision") == "UNREADABLE"
     return kept.select(
         ids.file_id("path").alias("id"),
         "path",
         "language",
-        F.when(failed, "").otherwise(ids.content_hash(F.col("content").cast("binary"))).alias("content_hash"),
+        F.when(failed, "").otherwise(F.col("content_hash")).alias("content_hash"),
         F.coalesce("length", F.lit(0)).cast("bigint").alias("size"),
         "parse_status",
         F.when(failed, "unreadable").alias("parse_error"),
@@ -128,7 +142,7 @@ def file_records(classified: DataFrame, model_version: Column | None = None) ->
         "file_kind",
         F.lit(False).alias("is_binary"),
         F.lit(False).alias("is_generated"),
-        F.coalesce(text.line_count(text.decoded("content")), F.lit(0)).alias("line_count"),
+        F.coalesce("line_count", F.lit(0)).alias("line_count"),
         F.lit(0).alias("node_count"),
         F.lit(0).alias("max_depth"),
     )

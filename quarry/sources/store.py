@@ -1,7 +1,8 @@
-"""The versioned store: immutable version directories, and one pointer that names the active one.
+"""The versioned store: immutable version directories, and a journal of pointers whose newest names the active one.
 
-A version is written completely, validated, and only then becomes visible by replacing the pointer file,
-which is one atomic rename.  A failed run leaves the old version active; a rollback moves the pointer.
+A version is written completely, validated, and only then becomes visible by one new pointer file, which is
+written beside its place and moved there.  Nothing is ever replaced, so this holds on local disks, HDFS and object
+stores alike.  A failed run leaves the old version active; a rollback writes a pointer to an older version.
 """
 
 from __future__ import annotations
@@ -9,14 +10,17 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarry.functions.ids import bag_digest
 from quarry.functions.spans import SPAN
+from quarry.sources.listing import filesystem
 
-POINTER = "_CURRENT"
+POINTERS = "_pointers"
 # The columns of the persisted tables.
 SCHEMAS = {
     "files": "id string, path string, language string, content_hash string, size bigint, parse_status string, parse_error string, model_version string, file_kind string, is_binary boolean, is_generated boolean, line_count int, node_count int, max_depth int",
@@ -27,6 +31,13 @@ SCHEMAS = {
     "diagnostics": "severity string, code string, message string, file_path string, line int, recovery_action string",
     "excluded": "path string, reason string, size bigint",
 }
+#: What resolution needs of every file, and its results: kept, so that an incremental run parses nothing twice.
+SCHEMAS |= {
+    "calls": "path string, enclosing string, receiver string, callee string, call_id string",
+    "imports": "path string, module string, name string",
+    "bindings": "path string, enclosing string, name string, type_name string, scope string",
+    "resolutions": "call_id string, path string, target_id string, rung int, resolution_status string",
+}
 # The canonical order of each exported table.
 ORDERS = {
     "files": ["path"],
@@ -36,6 +47,10 @@ ORDERS = {
     "chunks": ["symbol_id", "chunk_type"],
     "diagnostics": ["coalesce(file_path, '')", "code", "coalesce(line, 0)"],
     "excluded": ["path"],
+    "calls": ["path", "call_id"],
+    "imports": ["path", "module", "name"],
+    "bindings": ["path", "coalesce(enclosing, '')", "scope", "name"],
+    "resolutions": ["path", "call_id"],
 }
 
 
@@ -60,43 +75,58 @@ def canonical_json(payload) -> str:
 
 
 class Store:
-    """Versions below one directory."""
+    """Versions below one directory: a path, or the URI of a file system that all machines share."""
 
     def __init__(self, root: str):
-        self.root = Path(root)
+        self.root = root.rstrip("/")
+        self.files, self.base = filesystem(self.root)
 
     def path(self, version: str, table: str) -> str:
-        return str(self.root / "versions" / version / table)
+        return f"{self.root}/versions/{version}/{table}"
+
+    def _is_directory(self, path: str) -> bool:
+        return self.files.get_file_info(path).type == fs.FileType.Directory
+
+    def _pointers(self) -> list[str]:
+        found = self.files.get_file_info(fs.FileSelector(f"{self.base}/{POINTERS}", allow_not_found=True))
+        return sorted(f.path for f in found if f.path.endswith(".json"))
 
     def active(self) -> str | None:
-        """The active version; None if there is none or the pointer can't be read."""
+        """The active version; None if there is none or the newest pointer can't be read."""
         try:
-            return json.loads((self.root / POINTER).read_text(encoding="utf-8"))["model_version"]
-        except (OSError, ValueError, KeyError, TypeError):
+            with self.files.open_input_stream(self._pointers()[-1]) as f:
+                return json.loads(f.read())["model_version"]
+        except (OSError, ValueError, KeyError, TypeError, IndexError):
             return None
 
     def versions(self) -> list[str]:
-        base = self.root / "versions"
-        return sorted(p.name for p in base.iterdir()) if base.is_dir() else []
+        found = self.files.get_file_info(fs.FileSelector(f"{self.base}/versions", allow_not_found=True))
+        return sorted(f.base_name for f in found)
 
     def read(self, spark: SparkSession, table: str, version: str | None = None) -> DataFrame | None:
         """A table of a version (the active one by default); None if it is missing or has other columns."""
         version = version or self.active()
-        if not version or not os.path.isdir(self.path(version, table)):
+        if not version or not self._is_directory(f"{self.base}/versions/{version}/{table}"):
             return None
         found = spark.read.parquet(self.path(version, table))
-        names = [x.strip().split(" ")[0] for x in _split(SCHEMAS[table])]
+        names = column_names(table)
         return found.select(*names) if set(names) <= set(found.columns) else None
 
     def write(self, version: str, tables: dict[str, DataFrame]) -> None:
-        """Write a version's tables; an existing version is left as it is."""
+        """Write a version's tables; a table that is complete is left as it is."""
         for name, df in tables.items():
-            if not os.path.isdir(self.path(version, name)):
-                columns = [x.strip().split(" ")[0] for x in _split(SCHEMAS[name])]
-                df.select(*columns).write.parquet(self.path(version, name))
+            done = f"{self.base}/versions/{version}/{name}/_SUCCESS"
+            if self.files.get_file_info(done).type == fs.FileType.NotFound:
+                df.select(*column_names(name)).write.mode("overwrite").parquet(self.path(version, name))
 
     def publish(self, version: str, taken_at: str | None = None) -> None:
-        atomic_write(self.root / POINTER, canonical_json({"model_version": version, "taken_at": taken_at}))
+        folder = f"{self.base}/{POINTERS}"
+        self.files.create_dir(folder, recursive=True)
+        number = len(self._pointers()) + 1
+        beside = f"{folder}/{uuid.uuid4().hex}.tmp"
+        with self.files.open_output_stream(beside) as f:
+            f.write(canonical_json({"model_version": version, "taken_at": taken_at}).encode())
+        self.files.move(beside, f"{folder}/{number:012d}.json")
 
     def rollback(self, version: str) -> None:
         if version not in self.versions():
@@ -104,6 +134,10 @@ class Store:
         self.publish(version)
 
 
+def column_names(table: str) -> list[str]:
+    return [x.strip().split(" ")[0] for x in _split(SCHEMAS[table])]
+
+
 def _split(schema: str) -> list[str]:
     out, depth, part = [], 0, ""
     for c in schema:

@@ -13,17 +13,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints.
+    """The shared folder for checkpoints, which ``spark.checkpoint.dir`` names.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that setting is missing (tests on one
-    machine) a temporary folder takes its place.
+    Where that setting is missing, a temporary folder takes its place only if all tasks run on this machine; on a
+    cluster, whose machines don't share such a folder, this raises ValueError.
     """
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quarry-ckpt-"))
+    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="quarry-ckpt-")
+    sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 

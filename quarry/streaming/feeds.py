@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from quarry.operators import changes
+from quarry.sources.tables import ensure_checkpoint_dir
 
 
 def event_time(events: DataFrame, column: str = "ts") -> DataFrame:
@@ -64,10 +67,20 @@ def running_totals(events: DataFrame) -> DataFrame:
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All of a bounded stream at once, as a table in memory: for tests and small replays."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """All of a bounded stream, as a table of Parquet files in the shared folder: of ``complete`` the last result, else
+    what all micro-batches gave.  A micro-batch that is run again replaces its own files."""
+    spark = stream.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    q = stream.writeStream.outputMode(mode).queryName(name).foreachBatch(each).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    rows = spark.read.schema(StructType([*stream.schema, StructField("batch", IntegerType())])).parquet(f"{folder}/rows")
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    return rows.drop("batch")
 
 
 def replay(spark: SparkSession, folder: str, table: str) -> DataFrame:

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quarry.functions import languages
 from quarry.sources.tables import spread
 from quarry.syntax.facts import PARSED, Backend, Facts
 from quarry.syntax.python_ast import PythonBackend
-from quarry.syntax.rules import DEFINITIONS, RulesBackend
+from quarry.syntax.rules import RulesBackend
 
 #: language -> backend class; more may be registered before a query is built.
-BACKENDS: dict[str, type[Backend]] = {"python": PythonBackend, **{k: RulesBackend for k in DEFINITIONS}}
+BACKENDS: dict[str, type[Backend]] = {"python": PythonBackend, **{key: RulesBackend for key, *_, code, _ in languages.rows() if code and key != "python"}}
 
 
 def register(language: str, backend: type[Backend]) -> None:
@@ -36,20 +38,31 @@ def parse_one(source: bytes, language: str | None, path: str, backends: dict[str
         return f
 
 
-def parse_files(files: DataFrame) -> DataFrame:
+def parse_files(files: DataFrame, slices: bool = False, balanced: bool = False) -> DataFrame:
     """One row of facts per file of ``files`` (path, content, and language if known).
 
-    Parsing is narrow, one Arrow batch at a time; only a source of few splits is spread first.  Null content gives no row.
+    Parsing is narrow, one Arrow batch at a time; a scan of few splits is spread first, unless ``balanced`` says that the
+    rows lie well already.  Null content gives no row.
+    ``slices`` also cuts each symbol's lines from the text at hand; where they aren't needed, no text leaves the pass.
     """
     language = F.col("language") if "language" in files.columns else languages.detect(F.col("path"))
     rows = files.where("content is not null").select("path", F.col("content").cast("binary").alias("content"), language.alias("language"))
-    rows = spread(rows, "path")
+    if not balanced:
+        rows = spread(rows, "path")
     backends = dict(BACKENDS)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                yield pd.DataFrame([parse_one(bytes(c), g, p, backends).row(p) for p, c, g in zip(part.path, part.content, part.language)], columns=[x.split()[0] for x in PARSED.split(", ")])
+    def facts(path: str, content: bytes, language: str | None) -> dict:
+        f = parse_one(content, language, path, backends)
+        if slices:
+            f.cut_slices(content.decode("utf-8", "replace"))
+        return f.row(path)
 
-    return rows.mapInPandas(run, PARSED)
+    schema = to_arrow_schema(StructType.fromDDL(PARSED))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                part = whole.slice(at, 256)
+                yield pa.RecordBatch.from_pylist([facts(p, c, g) for p, c, g in zip(*(part.column(x).to_pylist() for x in ("path", "content", "language")))], schema)
+
+    return rows.mapInArrow(run, PARSED)

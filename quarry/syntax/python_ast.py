@@ -6,7 +6,7 @@ import ast
 import re
 import warnings
 
-from quarry.syntax.facts import SELF_NAMES, Facts, first_wins, span
+from quarry.syntax.facts import SELF_NAMES, Facts, attach_docs, first_wins, span
 
 _HEADER = re.compile(r"^([ \t]*)(?:async\s+)?(class|def)\s+(\w+)")
 
@@ -35,10 +35,12 @@ class _Walk:
 
     def __init__(self, facts: Facts, path: str, lines: list[str]):
         self.f, self.module, self.lines = facts, module_path(path), lines
+        self.docstrings: list[tuple[tuple[int, int], tuple[int, int], str]] = []
 
     def tree(self, tree: ast.Module) -> None:
         stack = [(n, None, None, 1) for n in reversed(tree.body)]
         f = self.f
+        self.docstring(tree)
         while stack:
             node, owner, kind, depth = stack.pop()
             f.node_count += 1
@@ -46,12 +48,14 @@ class _Walk:
             inner, inner_kind = owner, kind
             if isinstance(node, ast.ClassDef):
                 inner, inner_kind = self.declare(node, owner, "CLASS"), "CLASS"
+                self.docstring(node)
                 for base in node.bases:
                     if isinstance(base, ast.Name):
                         f.inherits.append({"base": base.id, "enclosing": inner, "span": _span(base)})
             elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 if owner is None or kind == "CLASS":
                     inner, inner_kind = self.declare(node, owner, "METHOD" if kind == "CLASS" else "FUNCTION"), "FUNCTION"
+                self.docstring(node)
                 for a in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]:
                     if isinstance(a.annotation, ast.Name):
                         self.bind(a.arg, a.annotation.id, "PARAMETER", inner, a)
@@ -67,6 +71,15 @@ class _Walk:
                 self.assignment(node, owner)
             stack += [(c, inner, inner_kind, depth + 1) for c in reversed(list(ast.iter_child_nodes(node)))]
 
+    def docstring(self, node) -> None:
+        first = node.body[0].value if node.body and isinstance(node.body[0], ast.Expr) else None
+        if isinstance(first, ast.Constant) and isinstance(first.value, str):
+            lo, hi = first.lineno - 1, first.end_lineno - 1
+            some = [x.encode() for x in self.lines[lo : hi + 1]] or [b""]
+            some[-1] = some[-1][: first.end_col_offset]
+            some[0] = some[0][first.col_offset :]
+            self.docstrings.append(((first.lineno, first.col_offset), (first.end_lineno, first.end_col_offset), b"\n".join(some).decode("utf-8", "replace")))
+
     def declare(self, node, owner: str | None, kind: str) -> str:
         qualified = f"{owner}.{node.name}" if owner else f"{self.module}:{node.name}"
         first = min([node, *node.decorator_list], key=lambda n: (n.lineno, n.col_offset))
@@ -74,7 +87,7 @@ class _Walk:
         at = _span(node)
         if first is not node:
             at = span(first.lineno, max(0, first.col_offset - 1), node.end_lineno, node.end_col_offset)
-        self.f.symbols.append({"ordinal": len(self.f.symbols), "name": node.name, "qualified_name": qualified, "symbol_type": kind, "signature": head, "documentation": _doc(node), "parent": owner or self.module, "span": at})
+        self.f.symbols.append({"ordinal": len(self.f.symbols), "name": node.name, "qualified_name": qualified, "symbol_type": kind, "signature": head, "documentation": None, "parent": owner or self.module, "span": at})
         return qualified
 
     def imported(self, module, names, alias, owner, node) -> None:
@@ -120,9 +133,22 @@ def dotted(node: ast.AST) -> str | None:
     return ".".join([node.id, *reversed(parts)])
 
 
-def _doc(node) -> str | None:
-    doc = ast.get_docstring(node, clean=True)
-    return doc[:1200] if doc else None
+_TOKENS = re.compile(r"(?i:[rbuf]{0,2})(?:\"\"\"[\s\S]*?(?:\"\"\"|$)|'''[\s\S]*?(?:'''|$)|\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*')|#[^\n]*")
+
+
+def _comments(text: str) -> list[tuple[tuple[int, int], tuple[int, int], str]]:
+    """The comments of ``text`` with their places."""
+    if "#" not in text:
+        return []
+    out, line, begin = [], 1, 0
+    for m in _TOKENS.finditer(text):
+        if m[0][0] == "#":
+            line += text.count("\n", begin, m.start())
+            begin = m.start()
+            first = text.rfind("\n", 0, begin) + 1
+            col = len(text[first:begin].encode())
+            out.append(((line, col), (line, col + len(m[0].rstrip("\r").encode())), m[0]))
+    return out
 
 
 class PythonBackend:
@@ -142,15 +168,62 @@ class PythonBackend:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             try:
-                tree = ast.parse(text)
-                f.symbols[0]["documentation"] = _doc(tree)
-                walk.tree(tree)
+                walk.tree(ast.parse(text))
+            except IndentationError as error:
+                if "too many levels" not in str(error) or not self.deep(walk, lines):
+                    self.recover(f, walk, lines, error)
             except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
                 self.recover(f, walk, lines, error)
+        attach_docs(f.symbols, [*walk.docstrings, *_comments(text)])
         f.calls, f.inherits = first_wins(f.calls, "callee"), first_wins(f.inherits, "base")
         f.bindings.sort(key=lambda b: (*b["span"].values(), b["scope"], b["name"]))
         return f
 
+    #: Levels of indentation that are parsed at once; the parser has a limit of 100.
+    LEVELS = 80
+
+    def deep(self, walk: _Walk, lines: list[str]) -> bool:
+        """Parse blocks nested deeper than ``LEVELS`` apart, with a ``pass`` in their place; False if a part is faulty."""
+        parts = [(1, 0, lines)]
+        f, deepest = walk.f, 0
+        while parts:
+            first, depth, some = parts.pop()
+            outer, levels, inner, inner_at = [], [0], [], 0
+            for n, line in enumerate(some):
+                width = len(line) - len(line.lstrip())
+                if line.strip():
+                    while levels[-1] > width:
+                        levels.pop()
+                    if width > levels[-1]:
+                        levels.append(width)
+                if len(levels) > self.LEVELS and line.strip():
+                    if not inner:
+                        inner_at, cut = n, width
+                        outer.append(" " * width + "pass")
+                    else:
+                        outer.append("")
+                    inner.append(line[cut:])
+                elif inner and not line.strip():
+                    inner.append("")
+                    outer.append("")
+                else:
+                    if inner:
+                        parts.append((first + inner_at, depth + self.LEVELS, inner))
+                        inner = []
+                    outer.append(line)
+            if inner:
+                parts.append((first + inner_at, depth + self.LEVELS, inner))
+            try:
+                tree = ast.parse("\n".join(outer))
+            except (SyntaxError, ValueError, RecursionError, MemoryError):
+                return False
+            ast.increment_lineno(tree, first - 1)
+            f.max_depth = 0
+            walk.tree(tree)
+            deepest = max(deepest, depth + f.max_depth)
+        f.max_depth = deepest
+        return True
+
     def recover(self, f: Facts, walk: _Walk, lines: list[str], error: Exception) -> None:
         at = getattr(error, "lineno", None)
         f.parse_error = str(error)

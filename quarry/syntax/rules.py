@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 
-from quarry.syntax.facts import METHOD_CONTAINERS, Facts, first_wins, span
+from quarry.syntax.facts import METHOD_CONTAINERS, Facts, attach_docs, first_wins, span
 from quarry.syntax.python_ast import module_path, module_symbol
 
 _C_LITERALS = r"//[^\n]*|/\*[\s\S]*?(?:\*/|$)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
@@ -30,7 +30,7 @@ DEFINITIONS: dict[str, list[tuple[str, str]]] = {
     "tsx": _TS,
     "java": [("class", rf"^[ \t]*{_MOD}(?:class|record)\s+(?P<name>\w+)"), ("interface", rf"^[ \t]*{_MOD}@?interface\s+(?P<name>\w+)"), ("enum", rf"^[ \t]*{_MOD}enum\s+(?P<name>\w+)"), ("constructor", rf"^[ \t]+(?:public|private|protected)\s+(?P<name>[A-Z]\w*)\s*{_PAREN}[^;{{}}]*\{{"), ("member", _CURLY_FN)],
     "go": [("method", r"^func\s+\([^)]*\)\s*(?P<name>\w+)\s*(?:\[[^\]]*\])?\("), ("function", r"^func\s+(?P<name>\w+)\s*(?:\[[^\]]*\])?\("), ("class", r"^type\s+(?P<name>\w+)(?:\[[^\]]*\])?\s+struct\b"), ("interface", r"^type\s+(?P<name>\w+)(?:\[[^\]]*\])?\s+interface\b"), ("type", r"^type\s+(?P<name>\w+)\s+(?!struct\b|interface\b)[\w\[\]*.]+")],
-    "rust": [("class", rf"^[ \t]*{_MOD}struct\s+(?P<name>\w+)"), ("enum", rf"^[ \t]*{_MOD}enum\s+(?P<name>\w+)"), ("interface", rf"^[ \t]*{_MOD}trait\s+(?P<name>\w+)"), ("class", r"^[ \t]*impl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?(?P<name>\w+)"), ("type", rf"^[ \t]*{_MOD}type\s+(?P<name>\w+)"), ("module", rf"^[ \t]*{_MOD}mod\s+(?P<name>\w+)\s*\{{"), ("function", rf"^[ \t]*{_MOD}fn\s+(?P<name>\w+)")],
+    "rust": [("class", rf"^[ \t]*{_MOD}struct\s+(?P<name>\w+)"), ("enum", rf"^[ \t]*{_MOD}enum\s+(?P<name>\w+)"), ("interface", rf"^[ \t]*{_MOD}trait\s+(?P<name>\w+)"), ("impl", r"^[ \t]*(?:unsafe\s+)?impl\b(?P<name>)"), ("type", rf"^[ \t]*{_MOD}type\s+(?P<name>\w+)"), ("module", rf"^[ \t]*{_MOD}mod\s+(?P<name>\w+)\s*\{{"), ("function", rf"^[ \t]*{_MOD}fn\s+(?P<name>\w+)")],
     "c": [("class", r"^[ \t]*(?:typedef\s+)?(?:struct|union)\s+(?P<name>\w+)\s*\{"), ("enum", r"^[ \t]*(?:typedef\s+)?enum\s+(?P<name>\w+)\s*\{"), ("function", _CURLY_FN)],
     "cpp": [("class", r"^[ \t]*(?:class|struct)\s+(?P<name>\w+)[^;{]*\{"), ("enum", r"^[ \t]*enum\s+(?:class\s+)?(?P<name>\w+)"), ("module", r"^[ \t]*namespace\s+(?P<name>\w+)"), ("type", r"^[ \t]*using\s+(?P<name>\w+)\s*="), ("member", _CURLY_FN)],
     "csharp": [("class", rf"^[ \t]*{_MOD}(?:class|struct|record)\s+(?P<name>\w+)"), ("interface", rf"^[ \t]*{_MOD}interface\s+(?P<name>\w+)"), ("enum", rf"^[ \t]*{_MOD}enum\s+(?P<name>\w+)"), ("module", r"^[ \t]*namespace\s+(?P<name>[\w.]+)"), ("member", _CURLY_FN)],
@@ -43,6 +43,18 @@ DEFINITIONS: dict[str, list[tuple[str, str]]] = {
     "bash": [("function", r"^[ \t]*function\s+(?P<name>[\w-]+)"), ("function", r"^[ \t]*(?P<name>[\w-]+)\s*\(\)")],
     "dart": [("enum", r"^[ \t]*enum\s+(?P<name>\w+)"), ("class", rf"^[ \t]*{_MOD}(?:class|mixin|extension)\s+(?P<name>\w+)"), ("member", _CURLY_FN)],
 }
+_ACCESS = r"(?:(?:public|private|protected|internal|static|final|readonly|const|volatile|transient|declare|abstract|override|late|external|covariant|open|lateinit|weak|lazy|required|fileprivate|unowned|mutable|var|abstract)\s+)*"
+_TYPED = rf"^[ \t]+{_ACCESS}(?!return\b|throw\b|else\b|new\b|using\b|import\b|package\b|typedef\b|goto\b|delete\b|case\b|break\b|continue\b)[\w:<>\[\],.?*& ]+?[\s*&>\]](?P<name>\w+)(?:\[[^\]\n]*\])?\s*(?:=[^;\n]*)?;"
+_ES_FIELD = rf"^[ \t]+{_ACCESS}(?!return\b|throw\b|break\b|continue\b|await\b|yield\b|delete\b)(?P<name>#?[\w$]+)\s*[?!]?\s*(?::[^=;\n(]+)?(?:=(?![=>])[^;\n]*)?;[ \t]*$"
+#: Fields, which count only directly inside of a class, interface, struct or object (in Bash anywhere).
+FIELDS: dict[str, str] = {
+    "javascript": _ES_FIELD, "typescript": _ES_FIELD, "tsx": _ES_FIELD, "java": _TYPED, "csharp": _TYPED, "c": _TYPED, "cpp": _TYPED, "dart": _TYPED,
+    "go": r"^[ \t]+(?P<name>\w+)(?:\s*,\s*\w+)*[ \t]+(?:\*|\[|map\b|chan\b|func\b|interface\b|struct\b|[A-Za-z_])[^\n(){]*$",
+    "rust": r"^[ \t]+(?:pub(?:\([^)]*\))?\s+)?(?P<name>\w+)\s*:\s*[^,\n;({]+(?:,|$)",
+    "php": r"^[ \t]+(?:(?:public|private|protected|static|readonly|var)\s+)+(?:\??[\w\\|]+\s+)?\$(?P<name>\w+)",
+    "kotlin": rf"^[ \t]*{_ACCESS}(?:val|var)\s+(?P<name>\w+)", "swift": rf"^[ \t]*{_ACCESS}(?:let|var)\s+(?P<name>\w+)",
+    "bash": r"^[ \t]*(?:(?:local|export|readonly|declare(?:[ \t]+-\w+)*)[ \t]+)?(?P<name>[A-Za-z_]\w*)=",
+}
 _ES_IMPORTS = [r"^[ \t]*import\s+(?:type\s+)?(?:(?P<names>[^'\"\n;]*?)\s+from\s+)?['\"](?P<module>[^'\"]+)['\"]", r"\brequire\(\s*['\"](?P<module>[^'\"]+)['\"]\s*\)"]
 IMPORTS: dict[str, list[str]] = {
     "javascript": _ES_IMPORTS, "typescript": _ES_IMPORTS, "tsx": _ES_IMPORTS,
@@ -56,11 +68,35 @@ IMPORTS: dict[str, list[str]] = {
     "kotlin": [r"^[ \t]*import\s+(?P<module>[\w.]+)"], "swift": [r"^[ \t]*import\s+(?P<module>[\w.]+)"], "scala": [r"^[ \t]*import\s+(?P<module>[\w.]+)"],
     "lua": [r"\brequire\s*\(?\s*['\"](?P<module>[^'\"]+)['\"]"], "bash": [r"^[ \t]*(?:source|\.)\s+(?P<module>[^\s;]+)"], "dart": [r"^[ \t]*import\s+['\"](?P<module>[^'\"]+)['\"]"],
 }
-_BASES = r"(?:extends|implements|with|<|:)\s*(?:public\s+|private\s+|protected\s+)?"
-INHERIT = re.compile(rf"{_BASES}(?P<bases>[\w.$<>, ]+?)\s*(?=\{{|\bimplements\b|\bwith\b|\bwhere\b|\(|$|\n)")
+#: Words that introduce bases, and languages that name them behind a colon.
+_BASE_WORDS = re.compile(r"\b(?:extends|implements|with|mixin)\b")
+_COLON_BASES = frozenset(["cpp", "csharp", "kotlin", "swift"])
+_NESTED = re.compile(r"\([^()]*\)|\[[^\[\]]*\]")
+_GENERIC = re.compile(r"<[^<>]*>")
+_BASE = re.compile(r"(?:(?:public|private|protected|virtual)\s+)*(?P<base>[A-Za-z_$][\w$]*)\s*")
+
+
+def bases(head: str, language: str) -> list[str]:
+    """The plain names of the bases in a declaration's head, the text between its name and its body."""
+    while (shorter := _NESTED.sub("", head)) != head:
+        head = shorter
+    if language == "ruby":
+        m = re.match(r"\s*<\s*([A-Z]\w*)\s*(?:$|[\n;])", head)
+        return [m[1]] if m else []
+    if language != "java":  # there, a base with type arguments is no plain name
+        while (shorter := _GENERIC.sub("", head)) != head:
+            head = shorter
+    if language in _COLON_BASES:
+        clauses = re.split(r"\bwhere\b", head)[0].partition(":")[2:]
+    else:
+        clauses = _BASE_WORDS.split(head)[1:]
+    out = [m["base"] for clause in clauses for item in clause.split(",") if (m := _BASE.fullmatch(item.strip() + " "))]
+    return list(dict.fromkeys(out))
+
+
 _CALL = re.compile(r"(?P<chain>[\w$]+(?:(?:\.|->|::|\?\.)[\w$]+)*)\s*\(")
 _NOT_CALLS = frozenset("if for while switch catch return function func fn def class new sizeof typeof elif when match super await yield throw".split())
-KINDS = {"class": "CLASS", "interface": "INTERFACE", "enum": "ENUM", "function": "FUNCTION", "method": "METHOD", "constructor": "CONSTRUCTOR", "type": "TYPE_ALIAS", "module": "MODULE"}
+KINDS = {"class": "CLASS", "interface": "INTERFACE", "enum": "ENUM", "function": "FUNCTION", "method": "METHOD", "constructor": "CONSTRUCTOR", "type": "TYPE_ALIAS", "module": "MODULE", "field": "FIELD"}
 
 
 class RulesBackend:
@@ -75,16 +111,24 @@ class RulesBackend:
             f.parse_status = "EMPTY"
             f.say("INFO", "parse.empty", "the file has no statements")
             return f
-        if language not in DEFINITIONS:
+        if language not in DEFINITIONS:  # a registered language whose declarations nobody described
             f.say("WARNING", "extract.no_query", f"no extraction rules for {language}")
             return f
         self.ascii = text.isascii()
         literals = re.compile(LITERALS.get(language, _C_LITERALS))
-        blank = literals.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
         starts = [0, *(m.end() for m in re.finditer("\n", text))]
+        docs = []
+
+        def blanked(m: re.Match) -> str:
+            if m[0][0] not in "\"'`":
+                docs.append((self.position(starts, text, m.start()), self.position(starts, text, m.end()), m[0]))
+            return re.sub(r"[^\n]", " ", m[0])
+
+        blank = literals.sub(blanked, text)
         self.declarations(f, text, blank, starts, language, path)
         self.references(f, text, blank, starts, language)
-        self.balance(f, blank)
+        self.balance(f, blank, language)
+        attach_docs(f.symbols, docs)
         return f
 
     ascii = False
@@ -116,17 +160,31 @@ class RulesBackend:
 
     def declarations(self, f: Facts, text: str, blank: str, starts: list[int], language: str, path: str) -> None:
         found = {}
-        for kind, pattern in DEFINITIONS[language]:
+        for kind, pattern in [*DEFINITIONS[language], *([("field", FIELDS[language])] if language in FIELDS else [])]:
             for m in re.compile(pattern, re.M).finditer(blank):
                 at = m.start() + len(m[0]) - len(m[0].lstrip())
-                found.setdefault((m.start("name"), m["name"]), (at, self.extent(blank, m.end() - 1 if m[0].endswith("{") else m.end(), language), kind, m["name"]))
+                if (m.start("name"), m["name"]) not in found:
+                    end = m.end() if kind == "field" else self.extent(blank, m.end() - 1 if m[0].endswith("{") else m.end(), language)
+                    found[m.start("name"), m["name"]] = (at, end, kind, m["name"], m.end("name"))
         module = module_path(path)
         stack: list[tuple[int, str, str]] = []
-        for at, end, kind, name in sorted(found.values(), key=lambda x: (x[0], -x[1])):
+        for at, end, kind, name, name_end in sorted(found.values(), key=lambda x: (x[0], -x[1])):
             while stack and stack[-1][0] < end:
                 stack.pop()
             parent = stack[-1] if stack else None
+            if kind == "impl":  # no declaration of its own: its functions are methods of the module
+                base = re.match(r"[ \t]*impl(?:<[^{]*?>)?\s+([A-Za-z_]\w*)(?:<[^{]*?>)?\s+for\b", blank[at:end])
+                if base:
+                    line, col = self.position(starts, text, at)
+                    f.inherits.append({"base": base[1], "enclosing": None, "span": span(line, col, line, col)})
+                stack.append((end, module, "IMPL"))
+                continue
+            within_impl = parent is not None and parent[2] == "IMPL"
+            if within_impl:
+                parent = None
             inside = parent is not None and parent[2] in METHOD_CONTAINERS
+            if kind == "field" and not inside and language != "bash" and not (parent is None and language in ("kotlin", "swift")):
+                continue
             if kind == "member":
                 if parent is None and language not in ("c", "cpp", "dart", "csharp"):
                     continue
@@ -135,7 +193,7 @@ class RulesBackend:
                 symbol = ("CONSTRUCTOR" if name in (parent[1].rsplit(".", 1)[-1].rsplit(":", 1)[-1], "constructor") else "METHOD") if inside else "FUNCTION"
             else:
                 symbol = KINDS[kind]
-                if symbol == "FUNCTION" and inside:
+                if symbol == "FUNCTION" and (inside or within_impl):
                     symbol = "METHOD"
             qualified = f"{parent[1]}.{name}" if parent else f"{module}:{name}"
             line, col = self.position(starts, text, at)
@@ -143,11 +201,12 @@ class RulesBackend:
             head = text[at : text.find("\n", at) if "\n" in text[at:] else len(text)].strip()[:200]
             f.symbols.append({"ordinal": len(f.symbols), "name": name, "qualified_name": qualified, "symbol_type": symbol, "signature": head, "documentation": None, "parent": parent[1] if parent else module, "span": span(line, col, end_line, end_col)})
             if symbol in METHOD_CONTAINERS:
-                m = INHERIT.search(blank[at : blank.find("{", at) + 1 if "{" in blank[at:end] else end])
-                for base in re.split(r"\s*,\s*", re.sub(r"<[^>]*>", "", m["bases"])) if m else []:
-                    if re.fullmatch(r"[A-Za-z_$][\w$.]*", base.strip()):
-                        f.inherits.append({"base": base.strip(), "enclosing": qualified, "span": span(line, col, line, col)})
-            stack.append((end, qualified, symbol))
+                brace = blank.find("{", name_end, end)
+                head_end = blank.find("\n", name_end) if language == "ruby" else brace if brace >= 0 else min(end, blank.find("\n", name_end) % (len(blank) + 1))
+                for base in bases(blank[name_end:head_end], language):
+                    f.inherits.append({"base": base, "enclosing": qualified, "span": span(line, col, line, col)})
+            if kind != "field":
+                stack.append((end, qualified, symbol))
         f.inherits = first_wins(f.inherits, "base")
 
     def references(self, f: Facts, text: str, blank: str, starts: list[int], language: str) -> None:
@@ -173,24 +232,50 @@ class RulesBackend:
                 continue
             f.calls.append({"callee": parts[-1], "receiver": ".".join(parts[:-1]) or None, "enclosing": owner(line), "span": span(line, col, line, col + len(m[0]))})
         f.calls = first_wins(f.calls, "callee")
-        f.node_count = len(f.symbols) + len(f.calls) + len(f.imports)
-
-    def balance(self, f: Facts, blank: str) -> None:
-        depth, pairs = [], {")": "(", "]": "[", "}": "{"}
-        line = 1
-        for c in re.findall(r"[()\[\]{}\n]", blank):
-            if c == "\n":
-                line += 1
-            elif c in "([{":
-                depth.append(c)
+        f.node_count = len(f.symbols) + len(f.calls) + len(f.imports)  # declarations and references stand for nodes
+
+    def balance(self, f: Facts, blank: str, language: str) -> None:
+        """Brackets (and ``end`` blocks) give the faults, and the statements at the top level those that are clean: a
+        statement ends with its closing bracket, a semicolon, or a line, and is clean if no fault lies in it."""
+        depth: list[tuple[str, int]] = []
+        line, clean, faulty, begun = 1, 0, False, False
+        for m in _BLOCKS.get(language, _BRACKETS).finditer(blank):
+            c = m[0]
+            if c == "\n" or c == ";":
+                line += c == "\n"
+                if not depth and begun:
+                    clean += not faulty
+                    faulty = begun = False
+                continue
+            begun = True
+            if m.lastgroup == "opens" or c in "([{":
+                depth.append(("do" if m.lastgroup == "opens" else c, line))
                 f.max_depth = max(f.max_depth, len(depth))
-            elif not depth or depth.pop() != pairs[c]:
-                f.say("ERROR", "parse.error_node", f"unexpected {c!r}", line, "statement")
-                depth = []
-        for c in depth:
-            f.say("ERROR", "parse.missing_token", f"{c!r} is never closed", line, "block")
+            elif c in _CLOSES:
+                if depth and depth[-1][0] == _CLOSES[c]:
+                    depth.pop()
+                else:
+                    f.say("ERROR", "parse.error_node", f"unexpected {c!r}", line, "statement")
+                    faulty = True
+                    del depth[-1:]
+                if not depth and c in ("}", "end"):
+                    clean += not faulty
+                    faulty = begun = False
+        if not depth and begun:
+            clean += not faulty
+        for c, at in depth:
+            f.say("ERROR", "parse.missing_token", f"{c!r} is never closed", at, "block")
         if any(d["severity"] == "ERROR" for d in f.diagnostics):
-            clean = len(f.symbols) > 1 or f.imports
             f.parse_status, f.parse_error = ("PARTIAL" if clean else "FAILED"), f.diagnostics[0]["message"]
             if not clean:
                 f.say("ERROR", "parse.no_clean_statements", "no top-level statement is clean", None, "file")
+
+
+_CLOSES = {")": "(", "]": "[", "}": "{", "end": "do", "until": "do"}
+_BRACKETS = re.compile(r"[()\[\]{};\n]|[^\s()\[\]{};]+")
+_OTHER = r"\b(?:end|until)\b|[()\[\]{};\n]|\w+|[^\s()\[\]{};\w]+"
+#: Languages whose blocks end with a word.  In Ruby a word behind an expression is a modifier and opens none.
+_BLOCKS = {
+    "ruby": re.compile(rf"(?P<opens>(?:(?<=\n)|^)[ \t]*(?:(?:while|until|for)\b[^\n]*|(?:class|module|def|if|unless|case|begin)\b)|\bdo\b(?=[ \t]*(?:\|[^|\n]*\|)?[ \t]*(?:\n|$))|(?<=[=(])[ \t]*(?:if|case|begin)\b)|{_OTHER}"),
+    "lua": re.compile(rf"(?P<opens>\b(?:function|if|do|repeat)\b)|{_OTHER}"),
+}

@@ -9,6 +9,7 @@ from quarry.operators import graph, model, nesting, resolve, search, validate
 from quarry.operators.answers import Tools, classify_intent
 from quarry.operators.components import connected_components
 from quarry.pipeline import index_repository
+from quarry.sources import repository
 from quarry.sources.store import Store, canonical_json, table_digest
 from quarry.syntax.engine import parse_files, parse_one
 
@@ -52,7 +53,7 @@ def test_python_backend_golden():
         ("typescript", "interface I {\n  a: string;\n}\nexport type T = I;\nenum E { A }\nfunction f<T>(x: T): T {\n  return x;\n}\n", {"I": "INTERFACE", "T": "TYPE_ALIAS", "E": "ENUM", "f": "FUNCTION"}),
         ("java", "import a.B;\npublic class C extends D {\n  public C(int x) {\n  }\n  int m() {\n    return n();\n  }\n}\n", {"C": "CLASS", "m": "METHOD"}),
         ("go", 'package a\nimport "x/y"\ntype S struct {\n}\nfunc (s *S) M() {\n\tF()\n}\nfunc F() {\n}\n', {"S": "CLASS", "M": "METHOD", "F": "FUNCTION"}),
-        ("rust", "struct S {}\ntrait T {}\nfn f() {\n}\n", {"S": "CLASS", "T": "INTERFACE", "f": "FUNCTION"}),
+        ("rust", "struct S {}\ntrait T {}\nfn f() {\n}\nimpl T for S {\n    fn m(&self) {\n    }\n}\n", {"S": "CLASS", "T": "INTERFACE", "f": "FUNCTION", "m": "METHOD"}),
         ("ruby", "class A\n  def m\n  end\nend\n", {"A": "CLASS", "m": "METHOD"}),
         ("php", "<?php\nclass A extends B {\n  public function m() {\n  }\n}\n", {"A": "CLASS", "m": "METHOD"}),
         ("kotlin", "class A {\n  fun m() {\n  }\n}\n", {"A": "CLASS", "m": "METHOD"}),
@@ -95,7 +96,7 @@ def test_model_of_a_repository(spark, tmp_path):
     c = index_repository(spark, root)
     assert c.parent_version == a.model_version and (c.stats.parsed, c.stats.reused) == (1, 2)
     clean = index_repository(spark, root, index_dir=str(tmp_path.parent / "other"), persist=False)
-    for t in ("files", "symbols", "relationships", "evidence", "chunks"):
+    for t in ("files", "symbols", "relationships", "evidence", "chunks", "calls", "imports", "bindings", "resolutions"):
         assert table_digest(c.tables[t]).first() == table_digest(clean.tables[t]).first(), t
     home = Store(str(tmp_path / ".quarry"))
     assert home.active() == c.model_version and len(home.versions()) == 2
@@ -113,6 +114,88 @@ def test_model_of_a_repository(spark, tmp_path):
     assert (r.call_id, r.target_id, r.rung, r.resolution_status) == ("save", target, 1, "RESOLVED_EXACT")
 
 
+@pytest.mark.parametrize(
+    "language, source, status",
+    [
+        ("go", "package a\n\nfunc f( {\n}\n", "PARTIAL"), ("go", "package a\n", "OK"), ("rust", "pub fn f( -> u8 {\n}\n", "FAILED"), ("c", "int f( {\n  return 0;\n}\n", "FAILED"), ("c", "int g(int x) {\n  return x;\n}\nint f( {\n", "PARTIAL"),
+        ("java", "class A {\n  void f( {\n}\n", "FAILED"), ("java", "import a.B;\nclass A {\n  void f( {\n}\n", "PARTIAL"), ("javascript", "class A {\n  f( {\n  }\n", "FAILED"), ("typescript", "const a = 1;\nclass A {\n  f( {\n  }\n", "PARTIAL"),
+        ("ruby", "class A\n  def f(\nend\n", "FAILED"), ("ruby", "class A\n  def f\n    g if h\n    x.each do |y|\n    end\n    while a do\n    end\n  end\nend\n", "OK"), ("lua", "if a then\n  b()\nelseif c then\n  d()\nend\nrepeat\n  e()\nuntil f\n", "OK"), ("lua", "function f()\n", "FAILED"),
+        ("haskell", "main = putStrLn (\n", "OK"), ("bash", "", "EMPTY"), ("cobol", "x", "UNSUPPORTED"), ("python", "import a\n\ndef f(:\n    pass\n", "PARTIAL"),
+    ],
+)
+def test_status_ladder(language, source, status):
+    f = parse_one(source.encode(), language, "x")
+    assert f.parse_status == status
+    assert (f.parse_error is not None) == (status in ("PARTIAL", "FAILED"))
+    assert any(d["code"] == "parse.no_clean_statements" for d in f.diagnostics) == (status == "FAILED")
+    assert any(d["code"] == "extract.no_query" for d in f.diagnostics) == (language == "haskell")
+
+
+def test_deep_nesting_of_python():
+    source = "".join(" " * i + "if x:\n" for i in range(300)) + " " * 300 + "f(1)\nclass A:\n    def m(self):\n        pass\n"
+    f = parse_one(source.encode(), "python", "x.py")
+    assert f.parse_status == "OK" and f.max_depth > 300 and [c["callee"] for c in f.calls] == ["f"] and [s["name"] for s in f.symbols] == ["x", "A", "m"]
+
+
+@pytest.mark.parametrize(
+    "language, source, fields",
+    [
+        ("javascript", "class A {\n  x = 1;\n  static y;\n  m() {\n    z = 2;\n  }\n}\n", {"x", "y"}), ("typescript", "class A {\n  private readonly x: string;\n  m(): void {\n    let y = 1;\n  }\n}\n", {"x"}), ("java", "class A {\n  private final List<String> x = f();\n  int y;\n  void m() {\n    int z = 1;\n  }\n}\n", {"x", "y"}),
+        ("go", "package a\n\ntype S struct {\n\tName string\n\tMap map[string]int\n}\n", {"Name", "Map"}), ("rust", "struct S {\n    pub a: u8,\n    b: Vec<u8>,\n}\n", {"a", "b"}), ("c", "struct s {\n  int a;\n  char b[4];\n};\n", {"a", "b"}), ("csharp", "class A {\n  private int x;\n}\n", {"x"}), ("php", "<?php\nclass A {\n  private $x = 1;\n}\n", {"x"}),
+        ("kotlin", "class A {\n  val x = 1\n}\n", {"x"}), ("swift", "struct A {\n  let x: Int\n}\n", {"x"}), ("dart", "class A {\n  final int x;\n}\n", {"x"}), ("bash", "X=1\nf() {\n  local y=2\n}\n", {"X", "y"}), ("cpp", "class A {\n  int x_;\n};\n", {"x_"}),
+    ],
+)
+def test_fields(language, source, fields):
+    f = parse_one(source.encode(), language, "x")
+    assert {s["name"] for s in f.symbols if s["symbol_type"] == "FIELD"} == fields
+
+
+@pytest.mark.parametrize(
+    "language, source, docs",
+    [
+        ("java", "/** The class. */\nclass A {\n  // first\n  // second\n  void m() {\n    // inside\n  }\n}\n", {"x": "The class. */", "A": "first", "m": "inside"}), ("go", "// Package a.\npackage a\n", {"x": "Package a."}), ("ruby", "class A\n  # of A\n  def m\n  end\nend\n", {"A": "of A"}),
+        ("python", '"""Module."""\n\nclass A:\n    """Class."""\n\n    def m(self):\n        # note\n        return "# no"\n', {"x": "Module.", "A": "Class.", "m": "note"}), ("python", "# head\nx = 1\n", {"x": "head"}), ("javascript", "const s = '// no';\n", {}),
+    ],
+)
+def test_documentation_is_the_earliest_comment_directly_inside(language, source, docs):
+    f = parse_one(source.encode(), language, "x")
+    assert {s["name"]: s["documentation"] for s in f.symbols if s["documentation"]} == docs
+
+
+@pytest.mark.parametrize(
+    "language, source, bases",
+    [
+        ("java", "class A extends B implements C, D<E> {\n}\n", ["B", "C"]), ("typescript", "class A extends B implements C {\n}\ninterface I extends J {\n}\n", ["B", "C", "J"]), ("javascript", "class A extends B {\n}\n", ["B"]), ("cpp", "class A : public B, private C {\n};\n", ["B", "C"]), ("csharp", "class A : B, C {\n}\n", ["B", "C"]),
+        ("ruby", "class A < B\nend\n", ["B"]), ("php", "<?php\nclass A extends B implements C {\n}\n", ["B", "C"]), ("kotlin", "class A : B(), C {\n}\n", ["B", "C"]), ("swift", "class A: B, C {\n}\n", ["B", "C"]), ("scala", "class A extends B with C {\n}\n", ["B", "C"]), ("dart", "class A extends B implements C {\n}\n", ["B", "C"]), ("rust", "impl T for S {\n}\n", ["T"]), ("python", "class A(B, c.D):\n    pass\n", ["B"]),
+    ],
+)
+def test_inheritance(language, source, bases):
+    assert [i["base"] for i in parse_one(source.encode(), language, "x").inherits] == bases
+
+
+def test_scan_opens_no_ignored_directory_and_reads_hidden_names(spark, tmp_path):
+    for path, content in {"_edge/__init__.py": b"x", ".hidden.py": b"y", "node_modules/a/b.js": b"z", "Node_Modules/c.js": b"z", "a.png": b"w", "sub/.git/config": b"", "empty.py": b"", "r.lock": b""}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_bytes(content)
+    rows = {r.path: r for r in repository.classify(repository.read_files(spark, str(tmp_path))).collect()}
+    assert {p for p, r in rows.items() if r.decision == "KEPT"} == {"_edge/__init__.py", ".hidden.py", "empty.py"}
+    assert {p: r.pruned for p, r in rows.items() if r.decision == "PRUNED"} == {"node_modules/": "node_modules", "Node_Modules/": "Node_Modules", "sub/.git/": "sub/.git"}
+    assert rows["a.png"].decision == "IGNORED" and rows["a.png"].content is None and bytes(rows[".hidden.py"].content) == b"y" and rows["empty.py"].parse_status == "EMPTY"
+    assert {(r.path, r.reason) for r in repository.exclusion_ledger(repository.classify(repository.read_files(spark, str(tmp_path)))).collect()} == {(x, "IGNORED") for x in ("node_modules", "Node_Modules", "sub/.git", "a.png", "r.lock")}
+    with pytest.raises(NotADirectoryError):
+        repository.read_files(spark, str(tmp_path / "a.png"))
+
+
+def test_a_broken_pointer_makes_everything_new(spark, tmp_path):
+    (tmp_path / "a.py").write_text("def f():\n    return g()\n")
+    first = index_repository(spark, str(tmp_path))
+    home = Store(str(tmp_path / ".quarry"))
+    (tmp_path / ".quarry/_pointers/999999999999.json").write_text("{")
+    assert home.active() is None
+    again = index_repository(spark, str(tmp_path), persist=False)
+    assert again.model_version == first.model_version and (again.stats.parsed, again.stats.reused) == (1, 0)
+
+
 def test_every_injected_fault_is_found(spark):
     loc = Row(start_line=1, start_col=0, end_line=2, end_col=0)
     bad = Row(start_line=3, start_col=-1, end_line=2, end_col=0)
@@ -170,8 +253,8 @@ def test_search_and_budget(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0]), (4, [0.0, 0.0]), (5, None)], "vec_id bigint, embedding array<float>")
     got = [(r.vec_id, r.position) for r in search.nearest(v, v.where("vec_id = 1"), 2).orderBy("position").collect()]
     assert got == [(2, 1), (3, 2)]
-    r = spark.createDataFrame([(1, 5), (2, 4), (3, 9)], "position int, tokens int")
-    assert [x.position for x in search.within_budget(r, 9).collect()] == [1, 2]
+    r = spark.createDataFrame([("g", 1, 5), ("g", 2, 4), ("g", 3, 9), ("h", 1, 9), (None, 1, 3), ("h", 2, None)], "repo string, rank int, tokens int")
+    assert {(x.repo, x.position, x.running) for x in search.within_budget(r, 9, "repo", ["rank"]).collect()} == {("g", 1, 5), ("g", 2, 9), ("h", 1, 9), ("h", 2, 9), (None, 1, 3)}
     f = search.fuse([spark.createDataFrame([("a", 1), ("b", 2)], "id string, position int"), spark.createDataFrame([("b", 1)], "id string, position int")], 5).collect()
     assert [x.id for x in f] == ["b", "a"]
 
