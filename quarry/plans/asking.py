@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from quarry.functions import ids
+from quarry.functions import ids, text
 from quarry.operators import answers, graph, model, resolve, search
 from quarry.sources.tables import cut, table
 from quarry.streaming import feeds
 from quarry.syntax.engine import parse_files
+from quarry.syntax.facts import BINDINGS
 
 
 def _parsed(spark, folder):
@@ -45,6 +46,66 @@ def import_chunks(spark, folder):
     return _parsed(spark, folder).select("path", model.import_lines(F.col("imports")).alias("text"))
 
 
+def extract_declared(spark, folder):
+    """The declarations that the table of symbols knows and extraction finds, of those whose brackets match and whose
+    name stands in a head: a symbol that is missing here was not found."""
+    corpus = table(spark, folder, "corpus").select("file_id", F.concat_ws("/", "repo", "path").alias("path"), text.lines("content").alias("lines"))
+    known = table(spark, folder, "code_symbols").select("file_id", "name", F.upper(F.trim("symbol_type")).alias("symbol_type"), "location.start_line", "location.end_line").distinct().where("symbol_type <> 'MODULE'")
+    lines = F.array_join(F.slice("lines", F.col("start_line"), F.greatest(F.lit(0), F.col("end_line") - F.col("start_line") + 1)), "\n")
+    cut_out = known.join(corpus, "file_id").select("path", "name", "symbol_type", lines.alias("t"))
+    counted = lambda c: F.length("t") - F.length(F.replace("t", F.lit(c)))
+    headed = F.contains("t", F.concat("name", F.lit("("))) | F.contains("t", F.concat(F.lit("class "), "name")) | F.contains("t", F.concat(F.lit("type "), "name")) | F.contains("t", F.concat("name", F.lit(" = "))) | F.contains("t", F.concat("name", F.lit("<")))
+    sound = cut_out.where((counted("(") == counted(")")) & (counted("[") == counted("]")) & (counted("{") == counted("}")) & headed).select("path", "name", "symbol_type").distinct()
+    found = _parsed(spark, folder).select("path", F.explode("symbols").alias("s")).select("path", "s.name", "s.symbol_type").distinct()
+    return sound.join(found, ["path", "name", "symbol_type"], "left_semi")
+
+
+def _table_facts(spark, folder):
+    """Facts of files as a backend gives them, made of the table of symbols: every function calls itself once, every class
+    inherits from itself and every file imports its own module, so each kind of edge is there."""
+    from pyspark.sql import Window as W
+
+    s = table(spark, folder, "code_symbols").where("qualified_name is not null").groupBy(F.col("file_id").alias("path"), "qualified_name", F.upper(F.trim("symbol_type")).alias("symbol_type"), "location").agg(F.min("name").alias("name"), F.min("signature").alias("signature"))
+    order = W.partitionBy("path").orderBy(F.when(F.col("symbol_type") == "MODULE", 0).otherwise(1), "location", "qualified_name", "symbol_type")
+    s = s.withColumn("ordinal", (F.row_number().over(order) - 1).cast("int")).withColumn("parent", F.when(F.col("ordinal") > 0, F.regexp_extract("qualified_name", r"^(.*)[.:][^.:]*$", 1)))
+    lines = table(spark, folder, "corpus").select(F.col("file_id").alias("path"), text.lines("content").alias("lines"))
+    whole = F.array_join(F.slice("lines", F.col("location.start_line"), F.greatest(F.lit(0), F.col("location.end_line") - F.col("location.start_line") + 1)), "\n")
+    s = s.join(lines, "path").withColumn("slice", whole).drop("lines")
+    symbol = F.struct("ordinal", "name", "qualified_name", "symbol_type", "signature", F.lit(None).cast("string").alias("documentation"), "parent", F.col("location").alias("span"), "slice")
+    call = F.struct(F.col("name").alias("callee"), F.when(F.col("symbol_type") == "METHOD", "self").alias("receiver"), F.col("qualified_name").alias("enclosing"), F.col("location").alias("span"))
+    base = F.struct(F.col("name").alias("base"), F.col("parent").alias("enclosing"), F.col("location").alias("span"))
+    imported = F.struct(F.lit(0).alias("ordinal"), F.col("qualified_name").alias("module"), F.array("name").alias("names"), F.lit(None).cast("string").alias("alias"), F.lit(None).cast("string").alias("enclosing"), F.col("location").alias("span"))
+    kinds = lambda *k: F.col("symbol_type").isin(*k)
+    return s.groupBy("path").agg(
+        F.lit("OK").alias("parse_status"), F.lit(None).cast("string").alias("parse_error"), F.array_sort(F.collect_list(symbol)).alias("symbols"), F.collect_list(F.when(kinds("FUNCTION", "METHOD"), call)).alias("calls"),
+        F.collect_list(F.when(kinds("CLASS"), base)).alias("inherits"), F.collect_list(F.when(kinds("MODULE"), imported)).alias("imports"),
+    ).withColumn("diagnostics", F.expr("cast(array() as array<struct<severity:string,code:string,message:string,line:int,recovery:string>>)"))
+
+
+def model_symbols(spark, folder):
+    facts = _table_facts(spark, folder)
+    files = facts.select("path", ids.file_id("path").alias("id"), F.lit("x").alias("language"))
+    return model.symbol_table(facts, files, F.lit("mv_0")).select("id", "file_id", "path", "qualified_name", "symbol_type", "content_hash", "parent", "ordinal", "group_size")
+
+
+def model_relationships(spark, folder):
+    facts = cut(_table_facts(spark, folder))
+    return model.relationship_table(facts, cut(model.symbol_ids(facts)), F.lit("mv_0")).select("id", "source_symbol_id", "target_symbol_id", "relationship_type", "resolution_status", "confidence", "target_name", "path")
+
+
+def model_chunks(spark, folder):
+    facts = cut(_table_facts(spark, folder))
+    files = facts.select("path", ids.file_id("path").alias("id"), F.lit("x").alias("language"))
+    return model.chunk_table(facts, model.symbol_table(facts, files, F.lit("mv_0")), F.lit("mv_0")).select("id", "symbol_id", "chunk_type", text.hash_text("text").alias("text_hash"), "token_count")
+
+
+def model_resolutions(spark, folder):
+    """Targets of the table's calls: of methods by ``self``, of functions by their name."""
+    facts = cut(_table_facts(spark, folder))
+    calls, imports, bindings = resolve.call_facts(facts.withColumn("bindings", F.expr(f"cast(array() as {BINDINGS})")))
+    return resolve.resolve_calls(calls, model.symbol_ids(facts), imports, bindings)
+
+
 def _facts(spark, folder, slices=False):
     corpus = table(spark, folder, "corpus").select(F.concat_ws("/", "repo", "path").alias("path"), "content")
     return cut(parse_files(corpus, slices))
@@ -210,7 +271,7 @@ def stream_dedupe(spark, folder):
 
 QUERIES = {
     f.__name__: f
-    for f in (parse_outcomes, extract_symbols, extract_imports, extract_calls, extract_inherits, extract_bindings, parse_diagnostics, import_chunks, assemble_relationships, assemble_chunks, resolve_targets, resolve_imports,
+    for f in (parse_outcomes, extract_symbols, extract_imports, extract_calls, extract_inherits, extract_bindings, parse_diagnostics, import_chunks, extract_declared, model_symbols, model_relationships, model_chunks, model_resolutions, assemble_relationships, assemble_chunks, resolve_targets, resolve_imports,
               graph_callers, graph_callees, graph_khop, impact, graph_cycles, graph_paths, symbol_search, bm25_topk, vector_topk, hybrid_rrf, context_budget, store_lookups, intents, invalidated_edges,
               event_tumbling, event_sliding, event_session, stream_tumbling, stream_dedupe)
 }
@@ -240,7 +301,42 @@ _NEEDLE = f"""with s as (select id, name, qualified_name, min(documentation) as
 r as (select id, name, qualified_name, case when lower(name) = '{NEEDLE}' then 1 when lower(qualified_name) = '{NEEDLE}' then 2 when starts_with(lower(name), '{NEEDLE}') then 3 when contains(lower(qualified_name), '{NEEDLE}') then 4
   when contains(lower(coalesce(documentation, '')), '{NEEDLE}') then 5 end as rung from s) """
 _HITS = ", ".join(f"case when regexp_matches(lower(text), '{p}') then '{k}' end" for k, p in answers.INTENTS.items())
+_LINES_OF = r"string_split_regex(content, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]')"
+_SLICES = f"""l as (select file_id, repo || '/' || path as path, {_LINES_OF} as p from corpus), lines as (select file_id, path, case when p[-1] = '' then p[:-2] else p end as lines from l)"""
+_same = lambda a, b: f"length(t) - length(replace(t, '{a}', '')) = length(t) - length(replace(t, '{b}', ''))"
+_id = lambda prefix, *parts: f"'{prefix}' || left(sha1(" + " || chr(31) || ".join(f"coalesce({p}::varchar, '')" for p in parts) + "), 16)"
+#: The model that the facts made of the table of symbols have to give.
+_MODEL = f"""with {_SLICES},
+g as (select file_id as path, qualified_name as q, upper(trim(symbol_type)) as t, location as loc, min(name) as name, min(signature) as sig from code_symbols where qualified_name is not null group by all),
+o as (select g.*, row_number() over (partition by g.path order by case when t = 'MODULE' then 0 else 1 end, loc.start_line, loc.start_col, loc.end_line, loc.end_col, q, t) - 1 as ordinal,
+  count(*) over (partition by g.path, t, q) as group_size, coalesce(array_to_string(lines[loc.start_line:loc.end_line], chr(10)), '') as slice from g join lines on lines.file_id = g.path),
+n as (select *, case when ordinal > 0 then regexp_extract(q, '^(.*)[.:][^.:]*$', 1) end as parent, {_id('sym_', 'path', 't', "case when group_size > 1 then q || '#' || left(sha1(coalesce(sig, '')), 6) else q end")} as bare from o),
+m as (select *, bare || case when k > 0 then '~' || k else '' end as id from (select *, row_number() over (partition by bare order by ordinal) - 1 as k from n)),
+first as (select path, q, arg_min(id, ordinal) as id from m group by path, q), module as (select path, id from m where ordinal = 0)
+"""
+_EDGES = _MODEL + f""", raw as (
+  select 'CALLS' as type, path, q as owner, 'unresolved:call:' || x as target, x as target_name, loc from (select *, case when t = 'METHOD' then 'self.' || name else name end as x from m where t in ('FUNCTION', 'METHOD'))
+  union all select 'INHERITS', path, parent, 'unresolved:type:' || name, name, loc from m where t = 'CLASS' union all select 'IMPORTS', path, null, 'unresolved:module:' || q, q, loc from m where t = 'MODULE'),
+owned as (select raw.*, coalesce(f.id, module.id) as source from raw left join first f on f.path = raw.path and f.q = raw.owner join module on module.path = raw.path),
+e as (select type, path, source, target, target_name, loc from owned union all
+  select 'CONTAINS', m.path, m.id, f.id, m.parent, m.loc from m join first f on f.path = m.path and f.q = m.parent where m.id <> f.id)
+"""
 ORACLES = {
+    "extract_declared": f"""with {_SLICES}, s as (select distinct path, name, upper(trim(symbol_type)) as symbol_type, coalesce(array_to_string(lines[location.start_line:location.end_line], chr(10)), '') as t from code_symbols join lines using (file_id))
+  select distinct path, name, symbol_type from s where symbol_type <> 'MODULE' and {_same('(', ')')} and {_same('[', ']')} and {_same('{', '}')}
+  and (contains(t, name || '(') or contains(t, 'class ' || name) or contains(t, 'type ' || name) or contains(t, name || ' = ') or contains(t, name || '<'))""",
+    "model_symbols": _MODEL + f"select id, {_id('file_', 'path')} as file_id, path, q as qualified_name, t as symbol_type, 'sha256:' || sha256(slice) as content_hash, parent, ordinal::int as ordinal, group_size from m",
+    "model_relationships": _EDGES + f"""select {_id('rel_', 'source', 'type', 'target_name', 'loc.start_line', 'loc.start_col')} as id, source as source_symbol_id, target as target_symbol_id, type as relationship_type,
+  case when type = 'CONTAINS' then 'RESOLVED_EXACT' else 'UNRESOLVED' end as resolution_status, case when type = 'CONTAINS' then 1.0 else 0.0 end::double as confidence, target_name, path from e""",
+    "model_chunks": _MODEL + f""", c as (select id as symbol_id, slice as x, lower(t) as chunk_type from m where slice <> '' union all select id, q || ' (' || name || ')', 'imports' from m where ordinal = 0 and t = 'MODULE' union all select id, '(no imports)', 'imports' from m where ordinal = 0 and t <> 'MODULE')
+  select {_id('chunk_', 'symbol_id', 'chunk_type')} as id, symbol_id, chunk_type, 'sha256:' || sha256(x) as text_hash, case when x = '' then 0 else greatest(1, length(x) // 4) end::int as token_count from c""",
+    "model_resolutions": _MODEL + f""", c as (select distinct path, q as enclosing, case when t = 'METHOD' then 'self' end as receiver, name, path || ':' || loc.start_line || ':' || loc.start_col || ':' || name as call_id from m where t in ('FUNCTION', 'METHOD')),
+  h as (select call_id, 2 as rung, m.id from c join m on m.parent = regexp_extract(c.enclosing, '^(.*)[.][^.:]*$', 1) and m.name = c.name where receiver = 'self'
+    union select call_id, 3, b.id from c join m a on a.path = c.path and a.t = 'MODULE' and a.name = c.name join m b on regexp_extract(b.q, '^([^:]*):', 1) = a.q and b.name = c.name where receiver is null
+    union select call_id, 4, m.id from c join m on m.path = c.path and m.name = c.name and m.t in ('FUNCTION', 'CLASS') where receiver is null
+    union select call_id, 5, u.id from c join (select name, min(id) as id from m where t <> 'MODULE' group by name having count(distinct id) = 1) u on u.name = c.name),
+  best as (select call_id, rung, count(*) as n, min(id) as id from h group by call_id, rung qualify row_number() over (partition by call_id order by rung) = 1)
+  select c.call_id, case when n = 1 then best.id end as target_id, best.rung::int as rung, case when n is null then 'UNRESOLVED' when n > 1 then 'AMBIGUOUS' when best.rung <= 4 then 'RESOLVED_EXACT' else 'RESOLVED_LIKELY' end as resolution_status from c left join best using (call_id)""",
     "graph_callers": _CONTAINERS + "select source, target from e where target in (select id from code_symbols where upper(trim(symbol_type)) = 'CLASS')",
     "graph_callees": _CONTAINERS + "select source, target from e where source in (select id from code_symbols where upper(trim(symbol_type)) = 'METHOD')",
     "invalidated_edges": _CONTAINERS + ", c as (select id from code_symbols where upper(trim(symbol_type)) = 'CLASS') select source || '>' || target as id, source as source_symbol_id, target as target_symbol_id from e where source in (select id from c) or target in (select id from c)",

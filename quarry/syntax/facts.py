@@ -14,6 +14,7 @@ _CALL = f"struct<callee:string,receiver:string,enclosing:string,span:{SPAN}>"
 _INHERIT = f"struct<base:string,enclosing:string,span:{SPAN}>"
 _BINDING = f"struct<name:string,type_name:string,scope:string,enclosing:string,span:{SPAN}>"
 _DIAGNOSTIC = "struct<severity:string,code:string,message:string,line:int,recovery:string>"
+BINDINGS = f"array<{_BINDING}>"
 #: One row per file.
 PARSED = f"path string, parse_status string, parse_error string, node_count int, max_depth int, symbols array<{_SYMBOL}>, imports array<{_IMPORT}>, calls array<{_CALL}>, inherits array<{_INHERIT}>, bindings array<{_BINDING}>, diagnostics array<{_DIAGNOSTIC}>"
 

@@ -228,7 +228,7 @@ class PythonBackend:
         at = getattr(error, "lineno", None)
         f.parse_error = str(error)
         f.say("ERROR", "parse.error_node", str(error), at, "statement")
-        starts = [i for i, x in enumerate(lines) if x[:1].strip() and x[0] not in "#)]}" and not re.match(r"(?:elif|else|except|finally)\b", x)]
+        starts = [i for i, x in enumerate(lines) if x[:1].strip() and x[0] not in "#)]}" and not re.match(r"(?:elif|else|except|finally)\b|(?:<{7}|={7}|>{7}|\|{7})(?: |$)", x)]
         clean = 0
         for lo, hi in zip(starts, [*starts[1:], len(lines)]):
             block = "\n".join(lines[lo:hi])

@@ -125,9 +125,9 @@ class RulesBackend:
             return re.sub(r"[^\n]", " ", m[0])
 
         blank = literals.sub(blanked, text)
+        self.balance(f, blank, language)
         self.declarations(f, text, blank, starts, language, path)
         self.references(f, text, blank, starts, language)
-        self.balance(f, blank, language)
         attach_docs(f.symbols, docs)
         return f
 
@@ -158,13 +158,35 @@ class RulesBackend:
                 return m.end()
         return len(blank)
 
+    def extent_by_indentation(self, blank: str, at: int, language: str) -> int:
+        """The end of the last line before one that is indented no deeper, or of that line if it closes a bracket."""
+        begin = blank.rfind("\n", 0, at) + 1
+        indent = len(blank[begin:]) - len(blank[begin:].lstrip(" \t"))
+        line_end = blank.find("\n", at)
+        end = len(blank) if line_end < 0 else line_end
+        while 0 <= line_end < len(blank):
+            first = line_end + 1
+            line_end = blank.find("\n", first)
+            line_end = len(blank) if line_end < 0 else line_end
+            line = blank[first:line_end]
+            bare = line.strip()
+            if not bare:
+                if line_end == len(blank):
+                    break
+                continue
+            if len(line) - len(line.lstrip(" \t")) <= indent:
+                return line_end if bare[0] in "})]" or bare.startswith("end") else end
+            end = line_end
+        return end
+
     def declarations(self, f: Facts, text: str, blank: str, starts: list[int], language: str, path: str) -> None:
         found = {}
+        extent = self.extent if f.parse_status == "OK" else self.extent_by_indentation  # where brackets don't match, they don't tell
         for kind, pattern in [*DEFINITIONS[language], *([("field", FIELDS[language])] if language in FIELDS else [])]:
             for m in re.compile(pattern, re.M).finditer(blank):
                 at = m.start() + len(m[0]) - len(m[0].lstrip())
                 if (m.start("name"), m["name"]) not in found:
-                    end = m.end() if kind == "field" else self.extent(blank, m.end() - 1 if m[0].endswith("{") else m.end(), language)
+                    end = m.end() if kind == "field" else extent(blank, m.end() - 1 if m[0].endswith("{") else m.end(), language)
                     found[m.start("name"), m["name"]] = (at, end, kind, m["name"], m.end("name"))
         module = module_path(path)
         stack: list[tuple[int, str, str]] = []
