@@ -302,6 +302,17 @@ r as (select id, name, qualified_name, case when lower(name) = '{NEEDLE}' then 1
   when contains(lower(coalesce(documentation, '')), '{NEEDLE}') then 5 end as rung from s) """
 _HITS = ", ".join(f"case when regexp_matches(lower(text), '{p}') then '{k}' end" for k, p in answers.INTENTS.items())
 _LINES_OF = r"string_split_regex(content, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]')"
+#: Imports as the source files write them, one to a line.
+_IMPORTS = r"""
+with f as (select repo || '/' || path as path, regexp_extract(lower(path), '[.]([a-z0-9]+)$', 1) as ext, string_split_regex(ltrim(content, chr(65279)), '\r\n|\n|\r') as lines from corpus where content is not null),
+l as (select path, ext, unnest(lines) as line, generate_subscripts(lines, 1) as start_line from f),
+i as (
+  select path, start_line, regexp_extract(line, '^(?:import|from) ([\w.]+)', 1) as module, nullif(regexp_extract(line, '^from [\w.]+ import (\w+)', 1), '') as name from l
+  where ext in ('py', 'pyi') and regexp_matches(line, '^(import [\w.]+|from [\w.]+ import \w+);?$')
+  union all select path, start_line, regexp_extract(line, 'from "([^"]+)"', 1), nullif(regexp_extract(line, '^import [{] *(\w+) *[}]', 1), '') from l where ext in ('js', 'mjs', 'cjs', 'ts', 'tsx') and regexp_matches(line, '^import .*from "[^"]+";?$')
+  union all select path, start_line, regexp_extract(line, '^import ([\w.]+)', 1), null from l where ext = 'java' and regexp_matches(line, '^import [\w.]+')
+  union all select path, start_line, regexp_extract(line, '"([^"]+)"', 1), null from l where ext = 'go' and regexp_matches(line, '^\t"[^"\s]+"$'))
+"""
 _SLICES = f"""l as (select file_id, repo || '/' || path as path, {_LINES_OF} as p from corpus), lines as (select file_id, path, case when p[-1] = '' then p[:-2] else p end as lines from l)"""
 _same = lambda a, b: f"length(t) - length(replace(t, '{a}', '')) = length(t) - length(replace(t, '{b}', ''))"
 _id = lambda prefix, *parts: f"'{prefix}' || left(sha1(" + " || chr(31) || ".join(f"coalesce({p}::varchar, '')" for p in parts) + "), 16)"
@@ -322,6 +333,9 @@ e as (select type, path, source, target, target_name, loc from owned union all
   select 'CONTAINS', m.path, m.id, f.id, m.parent, m.loc from m join first f on f.path = m.path and f.q = m.parent where m.id <> f.id)
 """
 ORACLES = {
+    "extract_imports": _IMPORTS + "select path, module, case when name is null then []::varchar[] else [name] end as names, null::varchar as alias, null::varchar as enclosing, start_line::int as start_line from i",
+    "import_chunks": _IMPORTS + """, c as (select path, string_agg(module || case when name is null then '' else ' (' || name || ')' end, chr(10) order by start_line) as text from i group by path)
+  select f.path, coalesce(c.text, '(no imports)') as text from f left join c using (path)""",
     "extract_declared": f"""with {_SLICES}, s as (select distinct path, name, upper(trim(symbol_type)) as symbol_type, coalesce(array_to_string(lines[location.start_line:location.end_line], chr(10)), '') as t from code_symbols join lines using (file_id))
   select distinct path, name, symbol_type from s where symbol_type <> 'MODULE' and {_same('(', ')')} and {_same('[', ']')} and {_same('{', '}')}
   and (contains(t, name || '(') or contains(t, 'class ' || name) or contains(t, 'type ' || name) or contains(t, name || ' = ') or contains(t, name || '<'))""",

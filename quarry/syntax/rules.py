@@ -238,11 +238,15 @@ class RulesBackend:
             owners[lo : hi + 1] = [s["qualified_name"]] * (hi + 1 - lo)
         owner = owners.__getitem__
 
+        blocks = [m.span() for m in re.finditer(r"^import\s*\([^)]*\)", blank, re.M)] if language == "go" else []
         for pattern in IMPORTS.get(language, []):
             for m in re.compile(pattern, re.M).finditer(text):
-                if not blank[m.start() : m.end()].strip():
-                    continue  # inside a comment or string
-                line, col = self.position(starts, text, m.start() + len(m[0]) - len(m[0].lstrip()))
+                at = m.start() + len(m[0]) - len(m[0].lstrip())
+                if blank[at] == " " and not (text[at] in "\"'" and any(lo < at < hi for lo, hi in blocks)):
+                    continue  # inside a comment or string, or a string of its own outside of an import block
+                if blocks and not m[0].lstrip().startswith("import") and not any(lo < at < hi for lo, hi in blocks):
+                    continue
+                line, col = self.position(starts, text, at)
                 names = re.findall(r"[\w$*]+(?:\s+as\s+[\w$]+)?", m.groupdict().get("names") or "")
                 alias = next((n.split()[-1] for n in names if " as " in n), None)
                 f.imports.append({"ordinal": len(f.imports), "module": m["module"], "names": list(dict.fromkeys(n.split()[0] for n in names)), "alias": alias, "enclosing": owner(line), "span": span(line, col, line, col + len(m[0].strip()))})
