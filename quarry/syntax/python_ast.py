@@ -255,8 +255,12 @@ class PythonBackend:
         for i in range(lo, hi):
             m = _HEADER.match(lines[i])
             if m and m[1] and m[2] == "def":
+                head, j = lines[i].strip(), i
+                while head.count("(") > head.count(")") and j + 1 < hi and not _HEADER.match(lines[j + 1]):
+                    j += 1
+                    head += " " + lines[j].strip()
                 try:
-                    ast.parse(lines[i].strip().rstrip(":") + ": pass")  # a missing colon is no reason to lose the method
+                    ast.parse(head.rstrip(":") + ": pass")  # a missing colon is no reason to lose the method
                 except SyntaxError:
                     continue
                 f.symbols.append({"ordinal": len(f.symbols), "name": m[3], "qualified_name": f"{owner}.{m[3]}", "symbol_type": "METHOD", "signature": lines[i].strip()[:200], "documentation": None, "parent": owner, "span": span(i + 1, len(m[1]), i + 1, len(lines[i].encode()))})
