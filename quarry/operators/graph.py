@@ -75,3 +75,14 @@ def trace_paths(edges: DataFrame, starts: DataFrame, goals: DataFrame, hops: int
         best = best.unionByName(frontier)
     found = best.join(goals.select("node").distinct(), "node", "left_semi")
     return found.select(F.col("start").alias("source"), F.col("node").alias("target"), "path", (F.size("path") - 1).alias("hops"))
+
+
+def path_evidence(paths: DataFrame, edges: DataFrame, evidence: DataFrame) -> DataFrame:
+    """start, goal, hop (from 1), source, target, edge_id, evidence_id of each hop of ``paths`` (as ``trace_paths``): the
+    first of the hop's edges (id, source, target) and the first of its evidence (entity_id, evidence_id); null if there
+    is none."""
+    pairs = F.transform(F.sequence(F.lit(1), F.col("hops")), lambda i: F.struct(i.alias("hop"), F.get("path", i - 1).alias("source"), F.get("path", i).alias("target")))
+    hops = paths.where("hops > 0").select(F.col("source").alias("start"), F.col("target").alias("goal"), F.explode(pairs).alias("h")).select("start", "goal", "h.*")
+    edge = edges.groupBy("source", "target").agg(F.min("id").alias("edge_id"))
+    shown = evidence.groupBy(F.col("entity_id").alias("edge_id")).agg(F.min("evidence_id").alias("evidence_id"))
+    return hops.join(edge, ["source", "target"], "left").join(shown, "edge_id", "left").select("start", "goal", "hop", "source", "target", "edge_id", "evidence_id")

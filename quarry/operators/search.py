@@ -27,7 +27,25 @@ def tokens(text: Column) -> Column:
 
 def inverted_index(texts: DataFrame) -> DataFrame:
     """token, id, tf of texts (id, text)."""
-    return texts.select("id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("token", "id").agg(F.count("*").alias("tf"))
+    return texts.where("id is not null").select("id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("token", "id").agg(F.count("*").alias("tf"))
+
+
+def text_sizes(texts: DataFrame) -> DataFrame:
+    """id, len of every text: its number of tokens."""
+    return texts.where("text is not null").select("id", F.size(tokens(F.col("text"))).alias("len"))
+
+
+def bm25_indexed(postings: DataFrame, sizes: DataFrame, query: list[str], k: int) -> DataFrame:
+    """As ``bm25``, from an ``inverted_index`` and ``text_sizes`` that are kept: a query reads the postings of its words
+    (a pushed filter) and the texts' sizes, no text.  Keep the postings clustered by token."""
+    words = sorted({q.lower() for q in query})
+    some = postings.where(F.col("token").isin(words))
+    stats = sizes.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    df = some.groupBy("token").agg(F.count("*").alias("df"))  # a row for each word of the query
+    hits = some.join(F.broadcast(df), "token").join(sizes, "id").crossJoin(F.broadcast(stats))  # one row
+    part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    best = hits.groupBy("id").agg(F.round(F.sum(part), 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    return best.withColumn("position", F.row_number().over(W.orderBy(F.desc("score"), "id")))
 
 
 def bm25(texts: DataFrame, query: list[str], k: int) -> DataFrame:
@@ -73,7 +91,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     The stated query set is held in blocks of about 256 against all vectors: each block of queries is an
     array in one row, so a vector meets a block in one row and emits only its pairs.  The vectors of a block are salted,
     and each group of vectors keeps its best k per query before the final ranking.  This is exact and costs every pair of
-    query and vector; ``vectors.VectorIndex`` is for query sets that grow with the table.
+    query and vector; ``vectors.search`` over an index is for query sets that grow with the table.
     """
     n_blocks = max(1, -(-queries.count() // 256))
     salts = spread_factor(vectors)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quarry.functions import ids, text
-from quarry.operators import answers, graph, model, resolve, search
+from quarry.operators import answers, graph, lookups, model, resolve, retrieve, search, vectors
 from quarry.sources.tables import cut, table
 from quarry.streaming import feeds
 from quarry.syntax.engine import parse_files
@@ -195,6 +195,18 @@ def graph_paths(spark, folder):
     return graph.trace_paths(t, nodes, nodes, 3).select("source", "target", F.array_join("path", ">").alias("path"), "hops")
 
 
+def graph_path_evidence(spark, folder):
+    """Each hop of the paths with its edge and what shows it: here the first event of the edge's kind."""
+    from pyspark.sql import Window as W
+
+    t = cut(_transitions(spark, folder))
+    nodes = t.select(F.col("source").alias("node")).distinct()
+    edges = t.select(F.concat_ws(">", "source", "target").alias("id"), "source", "target")
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    shown = table(spark, folder, "events").select(F.concat_ws(">", "event_type", F.lead("event_type").over(w)).alias("entity_id"), F.col("event_id").cast("string").alias("evidence_id"))
+    return graph.path_evidence(graph.trace_paths(t, nodes, nodes, 3), edges, shown)
+
+
 # retrieval ----------------------------------------------------------------------------------------------------
 
 NEEDLE, WORDS = "validate", ["parser", "module", "catalog"]
@@ -214,9 +226,39 @@ def vector_topk(spark, folder):
     return search.nearest(v, v.where("vec_id % 20 = 0"), 5)
 
 
-def hybrid_rrf(spark, folder):
+def bm25_indexed(spark, folder):
+    """The same ranking from an inverted index, which is built once and kept."""
     d = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
-    return search.fuse([search.bm25(d, WORDS, 50), search.bm25(d, ["graph", "module"], 50)], 20)
+    return search.bm25_indexed(cut(search.inverted_index(d)), cut(search.text_sizes(d)), WORDS, 20)
+
+
+def vector_index(spark, folder):
+    """The nearest vectors by the index, of the same queries as ``vector_topk``; recall is tested against it."""
+    v = table(spark, folder, "embeddings")
+    centroids = vectors.fit(v)
+    # these vectors hardly cluster: 65 % of the lists have to be probed for a recall of 0.9
+    return vectors.search(cut(vectors.build(v, centroids)), centroids, v.where("vec_id % 20 = 0"), 5, -(-len(centroids) * 13 // 20))
+
+
+def hybrid_context(spark, folder):
+    """Context for a question about documents: full text, the vectors nearest to the first query vector (a vector's id is
+    its document's), and the documents before and after in the same source as graph; 3,000 tokens of distinct texts."""
+    from pyspark.sql import Window as W
+
+    d, v = table(spark, folder, "documents"), table(spark, folder, "embeddings")
+    texts = d.select(F.col("doc_id").alias("id"), "text")
+    near = search.nearest(v, v.where("vec_id = 20"), 50).select(F.col("vec_id").alias("id"), "position")
+    following = d.select(F.col("doc_id").alias("source"), F.lead("doc_id").over(W.partitionBy("source", F.floor(F.col("doc_id") / 4096)).orderBy("doc_id")).alias("target"))
+    return retrieve.hybrid([search.bm25(texts, WORDS, 50).select("id", "position"), near], following, texts, 20, 3000)
+
+
+def hybrid_rrf(spark, folder):
+    """Full text, vectors and graph neighbours fused by reciprocal ranks, before any cut."""
+    d, v = table(spark, folder, "documents"), table(spark, folder, "embeddings")
+    near = search.nearest(v, v.where("vec_id = 20"), 50).select(F.col("vec_id").alias("id"), "position")
+    words = search.bm25(d.select(F.col("doc_id").alias("id"), "text"), WORDS, 50).select("id", "position")
+    edges = v.select(F.col("vec_id").alias("source"), (F.col("vec_id") + 1).alias("target"))
+    return search.fuse([words, near, retrieve.expanded(search.fuse([words, near], 20), edges)], 20)
 
 
 def context_budget(spark, folder):
@@ -226,10 +268,22 @@ def context_budget(spark, folder):
 
 
 def store_lookups(spark, folder):
-    """Points of the model: a class's symbols by qualified name, with their chunks."""
-    s = table(spark, folder, "code_symbols").where("symbol_type = 'MODULE'").select("id", "qualified_name").distinct()
-    c = table(spark, folder, "semantic_chunks").select(F.col("id").alias("chunk"), F.col("symbol_id").alias("id")).distinct()
-    return s.join(c, "id", "left").select("qualified_name", "id", "chunk")
+    """Points of the model by the lookups: the first module by name, its file, its chunks, its edges and its evidence."""
+    s, c, f = (table(spark, folder, t) for t in ("code_symbols", "semantic_chunks", "file_records"))
+    first = s.where("symbol_type = 'MODULE'").agg(F.min_by("qualified_name", F.struct("qualified_name", "id")).alias("q"), F.min_by("id", F.struct("qualified_name", "id")).alias("id"), F.min_by("file_id", F.struct("qualified_name", "id")).alias("f")).first()
+    path = f.where(F.col("id") == first.f).agg(F.min("path").alias("p")).first().p
+    edges = _containers(spark, folder).select(F.col("source").alias("source_symbol_id"), F.col("target").alias("target_symbol_id"))
+    evidence = model.evidence_table(s.select("id", "file_id", "location", "model_version").distinct())
+    parts = {
+        "symbol": lookups.symbol_by_id(s, first.id).select("id"), "name": lookups.symbols_by_name(s, first.q).select("id").distinct(), "file": lookups.file_by_path(f, path).select(F.col("path").alias("id")),
+        "from": lookups.relationships_from(edges, first.id).select(F.col("target_symbol_id").alias("id")), "to": lookups.relationships_to(edges, first.id).select(F.col("source_symbol_id").alias("id")),
+        "evidence": lookups.evidence_of(evidence, first.id).select("id").distinct(), "chunk": c.where(F.col("symbol_id") == first.id).select("id").distinct(),
+    }
+    out = None
+    for kind, df in parts.items():
+        one = df.select(F.lit(kind).alias("lookup"), "id")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def intents(spark, folder):
@@ -272,7 +326,7 @@ def stream_dedupe(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (parse_outcomes, extract_symbols, extract_imports, extract_calls, extract_inherits, extract_bindings, parse_diagnostics, import_chunks, extract_declared, model_symbols, model_relationships, model_chunks, model_resolutions, assemble_relationships, assemble_chunks, resolve_targets, resolve_imports,
-              graph_callers, graph_callees, graph_khop, impact, graph_cycles, graph_paths, symbol_search, bm25_topk, vector_topk, hybrid_rrf, context_budget, store_lookups, intents, invalidated_edges,
+              graph_callers, graph_callees, graph_khop, impact, graph_cycles, graph_paths, graph_path_evidence, symbol_search, bm25_topk, bm25_indexed, vector_topk, vector_index, hybrid_rrf, hybrid_context, context_budget, store_lookups, intents, invalidated_edges,
               event_tumbling, event_sliding, event_session, stream_tumbling, stream_dedupe)
 }
 
@@ -296,6 +350,16 @@ def _bm25(words: list[str], k: int) -> str:
 
 
 _TOKS = "with toks as (select doc_id as id, list_transform(list_filter(string_split_regex(text, '[^A-Za-z0-9_]+'), lambda x: x <> ''), lambda x: lower(x)) as t from documents where text is not null) "
+_HYBRID = _TOKS + """, words as (select id, position from """ + _bm25(sorted(WORDS), 50) + """),
+  p as (select v.vec_id as id, round(list_dot_product(v.embedding::double[], q.embedding::double[]) / (sqrt(list_dot_product(v.embedding::double[], v.embedding::double[])) * sqrt(list_dot_product(q.embedding::double[], q.embedding::double[]))), 6) as score
+    from embeddings q join embeddings v on q.vec_id <> v.vec_id where q.vec_id = 20),
+  near as (select id, row_number() over (order by score desc, id) as position from p qualify position <= 50),
+  seeds as (select id, row_number() over (order by score desc, id) as position from (select id, round(sum(1.0 / (60 + position)), 9) as score from (from words union all from near) group by id) qualify position <= 20),
+  e as ({edges}), b as (select source, target from e where target is not null union all select target, source from e where target is not null),
+  n as (select b.target as id, min(s.position) as p from b join seeds s on s.id = b.source where b.target not in (select id from seeds) group by 1),
+  grown as (select id, row_number() over (order by p, id) as position from n),
+  fused as (select id, round(sum(1.0 / (60 + position)), 9) as score from (from words union all from near union all from grown) group by id order by score desc, id limit {k})
+"""
 _WINDOW = "select {start} as window_start, event_type, count(*) as n, round(sum(value), 4) as total from {source} group by all"
 _NEEDLE = f"""with s as (select id, name, qualified_name, min(documentation) as documentation from code_symbols group by all),
 r as (select id, name, qualified_name, case when lower(name) = '{NEEDLE}' then 1 when lower(qualified_name) = '{NEEDLE}' then 2 when starts_with(lower(name), '{NEEDLE}') then 3 when contains(lower(qualified_name), '{NEEDLE}') then 4
@@ -363,16 +427,29 @@ ORACLES = {
     "graph_paths": _TRANSITIONS + """nodes as (select distinct source as node from t),
   w as (select node as source, node as target, [node] as p, 0 as n from nodes union all select w.source, t.target, list_append(w.p, t.target), w.n + 1 from w join t on t.source = w.target where w.n < 3)
   select source, target, array_to_string(p, '>') as path, n::int as hops from w where target in (select node from nodes) qualify row_number() over (partition by source, target order by n, p) = 1""",
+    "graph_path_evidence": _TRANSITIONS + """nodes as (select distinct source as node from t),
+  w as (select node as source, node as target, [node] as p, 0 as n from nodes union all select w.source, t.target, list_append(w.p, t.target), w.n + 1 from w join t on t.source = w.target where w.n < 3),
+  best as (select source, target, p from w where target in (select node from nodes) qualify row_number() over (partition by source, target order by n, p) = 1),
+  hops as (select source as start, target as goal, unnest(range(1, len(p))) as hop, p from best),
+  shown as (select event_type || '>' || next as edge, min(event_id::varchar) as evidence_id from (select event_type, event_id, lead(event_type) over (partition by user_id order by ts, event_id) as next from events) group by 1)
+  select start, goal, hop::int as hop, p[hop] as source, p[hop + 1] as target, p[hop] || '>' || p[hop + 1] as edge_id, evidence_id from hops left join shown on edge = p[hop] || '>' || p[hop + 1]""",
     "symbol_search": _NEEDLE + "select id, name, qualified_name, rung::int as rung from r where rung is not null order by rung, qualified_name, id limit 50",
     "bm25_topk": _TOKS + "select id, score, position from " + _bm25(sorted(WORDS), 20),
-    "hybrid_rrf": _TOKS + f""", f as (select id, round(sum(1.0 / (60 + position)), 9) as score from (select id, position from {_bm25(sorted(WORDS), 50)} union all select id, position from {_bm25(["graph", "module"], 50)}) group by id)
-  select id, score, row_number() over (order by score desc, id) as position from f order by score desc, id limit 20""",
+    "bm25_indexed": _TOKS + "select id, score, position from " + _bm25(sorted(WORDS), 20),
+    "hybrid_rrf": _HYBRID.format(edges="select vec_id as source, vec_id + 1 as target from embeddings", k=20) + "select id, score, row_number() over (order by score desc, id) as position from fused",
+    "hybrid_context": _HYBRID.format(edges="select doc_id as source, lead(doc_id) over (partition by source, doc_id // 4096 order by doc_id) as target from documents", k=80) + """
+  , held as (select f.id, f.score, length(text) // 4 as tokens from fused f join documents on doc_id = f.id where text is not null qualify row_number() over (partition by text order by f.score desc, f.id) = 1),
+  r as (select id, score, row_number() over (order by score desc, id) as position, tokens, sum(tokens) over (order by score desc, id)::bigint as running from held)
+  select * from r where running <= 3000""",
     "vector_topk": """with p as (select q.vec_id as query_id, v.vec_id, round(list_dot_product(v.embedding::double[], q.embedding::double[]) / (sqrt(list_dot_product(v.embedding::double[], v.embedding::double[])) * sqrt(list_dot_product(q.embedding::double[], q.embedding::double[]))), 6) as score
   from embeddings q join embeddings v on q.vec_id <> v.vec_id where q.vec_id % 20 = 0)
   select *, row_number() over (partition by query_id order by score desc, vec_id) as position from p qualify position <= 5""",
     "context_budget": """with c as (select distinct repo, id, length(text) // 4 as tokens from semantic_chunks), r as (select *, row_number() over (partition by repo order by tokens, id) as position from c),
   s as (select *, sum(tokens) over (partition by repo order by position) as running from r) select repo, id, position, running::bigint as running from s where running <= 4000""",
-    "store_lookups": "select distinct s.qualified_name, s.id, c.id as chunk from (select distinct id, qualified_name from code_symbols where symbol_type = 'MODULE') s left join semantic_chunks c on c.symbol_id = s.id",
+    "store_lookups": _CONTAINERS + f""", x as (select qualified_name as q, id, file_id as f from code_symbols where symbol_type = 'MODULE' order by 1, 2 limit 1), y as (select min(path) as p from file_records, x where file_records.id = x.f)
+  select 'symbol' as lookup, id from x union all select distinct 'name', c.id from code_symbols c, x where c.qualified_name = x.q union all select 'file', p from y
+  union all select 'from', e.target from e, x where e.source = x.id union all select 'to', e.source from e, x where e.target = x.id union all select distinct 'chunk', c.id from semantic_chunks c, x where c.symbol_id = x.id
+  union all select distinct 'evidence', {_id('ev_', 'c.id', 'c.file_id', 'c.location.start_line', 'c.location.end_line', "'offline.ast'")} from code_symbols c, x where c.id = x.id""",
     "intents": f"""select doc_id, case when len(h) = 0 then 'UNKNOWN' when len(h) > 2 then 'AMBIGUOUS' else h[1] end as intent, case when len(h) > 0 then round(1.0 / len(h), 6) else 0.0 end as confidence
   from (select doc_id, list_filter([{_HITS}], lambda x: x is not null) as h from documents where text is not null)""",
     "event_tumbling": _WINDOW.format(start="date_trunc('hour', ts)", source="events"),

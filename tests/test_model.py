@@ -1,11 +1,12 @@
 import json
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import Row, functions as F
 
 from quarry.functions.spans import SPAN
-from quarry.operators import graph, model, nesting, resolve, search, validate
+from quarry.operators import graph, model, nesting, resolve, retrieve, search, validate, vectors
 from quarry.operators.answers import Tools, classify_intent
 from quarry.operators.components import connected_components
 from quarry.pipeline import index_repository
@@ -259,6 +260,63 @@ def test_search_and_budget(spark):
     assert [x.id for x in f] == ["b", "a"]
 
 
+def test_index_ranks_as_the_scan(spark):
+    d = spark.createDataFrame([(i, " ".join(w for j, w in enumerate(("cat", "dog", "sat", "mat")) if (i * 7 + j * j) % (j + 2))) for i in range(60)] + [(60, None), (61, ""), (62, "!?")], "id bigint, text string")
+    for words in (["cat"], ["dog", "mat", "cat"], ["none"]):
+        assert [tuple(r) for r in search.bm25_indexed(search.inverted_index(d), search.text_sizes(d), words, 9).orderBy("position").collect()] == [tuple(r) for r in search.bm25(d, words, 9).orderBy("position").collect()]
+    assert search.inverted_index(d.limit(0)).count() == 0
+
+
+def test_vector_index_recall(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 16))
+    rows = [(i, [float(x) for x in centres[i % 12] + 0.6 * rng.normal(size=16)]) for i in range(1500)] + [(1500, None), (None, [1.0] * 16), (1501, [0.0] * 16)]
+    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    queries = v.where("vec_id % 20 = 0 and vec_id < 1500")
+    centroids = vectors.fit(v)
+    index = vectors.build(v, centroids)
+    assert index.count() == 1500
+    got = {(r.query_id, r.vec_id) for r in vectors.search(index, centroids, queries, 5, 10).collect()}
+    want = {(r.query_id, r.vec_id) for r in search.nearest(v, queries, 5).collect()}
+    assert len(got & want) >= 0.9 * len(want) and len(got) == len(want)
+    exact = {(r.query_id, r.vec_id, r.score) for r in vectors.search(index, centroids, queries, 5, len(centroids)).collect()}
+    assert exact == {(r.query_id, r.vec_id, r.score) for r in search.nearest(v, queries, 5).collect()}
+    blocks = vectors.BLOCK, vectors.QUERY_BLOCK
+    try:
+        vectors.BLOCK, vectors.QUERY_BLOCK = 7, 2  # blocks of a hot list
+        assert exact == {(r.query_id, r.vec_id, r.score) for r in vectors.search(index, centroids, queries, 5, len(centroids)).collect()}
+    finally:
+        vectors.BLOCK, vectors.QUERY_BLOCK = blocks
+    assert vectors.search(vectors.build(v.limit(0), vectors.fit(v.limit(0))), vectors.fit(v.limit(0)), queries.limit(0), 5, 3).count() == 0
+
+
+def test_hybrid(spark):
+    rank = lambda *i: spark.createDataFrame([(x, n + 1) for n, x in enumerate(i)], "id bigint, position int")
+    texts = spark.createDataFrame([(1, "a" * 40), (2, "b" * 40), (3, "a" * 40), (4, "c" * 40), (5, None), (6, "d" * 400)], "id bigint, text string")
+    edges = spark.createDataFrame([(1, 4), (6, 2), (None, 1), (9, 8)], "source bigint, target bigint")
+    got = [(r.id, r.position, r.running) for r in retrieve.hybrid([rank(1, 2, 5), rank(3, 1)], edges, texts, 3, 35).orderBy("position").collect()]
+    assert [g[0] for g in got] == [1, 4, 2] and [g[2] for g in got] == [10, 20, 30]  # 3 is a copy of 1, 5 has no text, 6 is beyond the budget
+
+
+def test_hops_have_their_edges_and_evidence(spark):
+    e = edges_of(spark, [("a", "b"), ("b", "c")]).withColumn("id", F.concat("source", "target"))
+    shown = spark.createDataFrame([("ab", "e2"), ("ab", "e1")], "entity_id string, evidence_id string")
+    paths = graph.trace_paths(e, nodes_of(spark, "a"), nodes_of(spark, "c"), 3)
+    assert [tuple(r) for r in graph.path_evidence(paths, e, shown).orderBy("hop").collect()] == [("a", "c", 1, "a", "b", "ab", "e1"), ("a", "c", 2, "b", "c", "bc", None)]
+
+
+def test_incremental_resolution_sees_names_that_come_and_go(spark, tmp_path):
+    (tmp_path / "a.py").write_text("def run():\n    return helper()\n")
+    (tmp_path / "b.py").write_text("x = 1\n")
+    root = str(tmp_path)
+    status = lambda r: [x.resolution_status for x in r.tables["resolutions"].collect()]
+    assert status(index_repository(spark, root)) == ["UNRESOLVED"]
+    (tmp_path / "b.py").write_text("def helper():\n    return 1\n")
+    assert status(index_repository(spark, root)) == ["RESOLVED_LIKELY"]
+    (tmp_path / "b.py").unlink()
+    assert status(index_repository(spark, root)) == ["UNRESOLVED"]
+
+
 def test_intents_and_tools(spark):
     q = spark.createDataFrame([("who calls save?",), ("what breaks if I change it",), ("hello",), (None,)], "q string")
     assert [r.i.intent for r in q.select(classify_intent(F.col("q")).alias("i")).collect()] == ["FIND_CALLERS", "IMPACT", "UNKNOWN", "UNKNOWN"]
