@@ -193,6 +193,10 @@ def _plausible(chain: str) -> bool:
     return word.islower() or word.isupper() or (word[0].isupper() and word[1:].islower()) or bool(_CAMEL.fullmatch(word))
 
 
+#: Runs recur as words do.
+_plausible_run = lru_cache(200_000)(_plausible)
+
+
 def _find_chains(run: str, behind_small: bool = False, beside: bool = False) -> tuple[tuple[int, int, bool, frozenset[str]], ...]:
     """(start, end, sure, encodings) of the chains of sequences in ``run`` that spell assigned characters, at
     least one of which the automaton doesn't have.  A chain is sure if it isn't plausible as correct text and the
@@ -473,7 +477,7 @@ def _restore_single(text: str, guarded: bool = False) -> tuple[str, int, set[str
     return "".join(out), n, used
 
 
-_TOKEN = re.compile(r"[A-Za-z\x80-\uffff]*[\x80-\uffff][A-Za-z\x80-\uffff]*")
+_TOKEN = re.compile(r"(?<![A-Za-z\x80-\uffff])[A-Za-z]*[\x80-\uffff][A-Za-z\x80-\uffff]*")
 #: What may stand between two letters in correct text though it is no letter.
 _JOINTS = frozenset("’‘´`'\xa0\xad-–—…·•×→←│«»“") | {chr(c) for c in range(0x2500, 0x25A0)}
 
@@ -627,8 +631,9 @@ def restore(text: str) -> tuple[str, int, int, list[str]]:
     if text.isascii():
         return text, 0, lost, []
     lost += text.count("�")
-    text, others, scripts_used = scripts.restore_lines(text, _encoders(), WRONG[:-1], _plausible)
-    if next(automaton().iter(text), None) is None and not any(hit[2] for hit in _chains(text)):
+    text, others, scripts_used = scripts.restore_lines(text, _encoders(), WRONG[:-1], _plausible_run)
+    runs = " ".join(_RUNS.findall(text))  # a garbled sequence lies within a run
+    if not runs or next(automaton().iter(runs), None) is None and not any(hit[2] for hit in _chains(text)):
         fixed, n, used = _restore_european(text)
         return fixed, n + others, lost, sorted(used | scripts_used)
     text, spans, encodings = _restore_single(text, True)

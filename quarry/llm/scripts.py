@@ -84,16 +84,20 @@ def _reading(line: str, encoders: dict[str, dict[str, int]], wrongs: list[str])
 
 def restore_lines(text: str, encoders: dict[str, dict[str, int]], wrongs: list[str], plausible) -> tuple[str, int, set[str]]:
     """``text`` with its garbled lines of other scripts restored, how many there were, and the encodings."""
-    if not _LONG.search(text):
+    odd = sorted({text.rfind("\n", 0, m.start()) + 1 for m in _LONG.finditer(text) if not plausible(m[0])})
+    if not odd:
         return text, 0, set()
-    out, n, used = [], 0, set()
-    for line in text.split("\n"):
+    out, at, used, n = [], 0, set(), 0
+    for start in odd:
+        end = text.find("\n", start)
+        line = text[start : end if end >= 0 else len(text)]
         runs = _LONG.findall(line)
-        if runs and sum(map(len, runs)) >= LEAST and sum(len(r) for r in runs if not plausible(r)) * 2 > sum(map(len, runs)):
+        total = sum(map(len, runs))
+        if total >= LEAST and sum(len(r) for r in runs if not plausible(r)) * 2 > total:
             found = _reading(line, encoders, wrongs)
             if found:
-                line = found[0]
+                out += [text[at:start], found[0]]
+                at = start + len(line)
                 n += 1
                 used.add(found[1])
-        out.append(line)
-    return ("\n".join(out) if n else text), n, used
+    return "".join([*out, text[at:]]), n, used
