@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from quarry.operators.search import running
+from quarry.sources.tables import cut
 
 
 def rename_pairs(deleted: DataFrame, added: DataFrame) -> DataFrame:
     """old_path, new_path, content_hash: the k-th deleted path of a hash with its k-th new path, both in path
     order.  Empty and null hashes never pair.
 
-    A hash shared by very many paths would make one window task long; the numbering is by hash only
-    because pairing by rank is what the result means.
+    The numbers come from prefix sums in two levels, so a hash that very many moved files share lies in many tasks.
     """
-    w = W.partitionBy("content_hash").orderBy("path")
-    numbered = lambda df, name: df.where("content_hash <> ''").select("content_hash", F.col("path").alias(name), F.row_number().over(w).alias("k"))
+
+    def numbered(df: DataFrame, name: str) -> DataFrame:
+        rows = df.where("content_hash <> ''").select("content_hash", "path", F.lit(0).alias("none"))
+        return running(rows, "content_hash", ["path"], "none").select("content_hash", F.col("path").alias(name), F.col("position").alias("k"))
+
     return numbered(deleted, "old_path").join(numbered(added, "new_path"), ["content_hash", "k"]).select("old_path", "new_path", "content_hash")
 
 
@@ -27,10 +32,13 @@ def diff(previous: DataFrame, current: DataFrame) -> DataFrame:
     both = p.withColumn("was", F.lit(True)).join(c.withColumn("is", F.lit(True)), "path", "full_outer")
     same = F.coalesce((F.col("old_hash") == F.col("new_hash")) & (F.col("old_hash") != ""), F.lit(False))
     kind = F.when(F.col("was").isNull(), "NEW").when(F.col("is").isNull(), "DELETED").when(same, "UNCHANGED").otherwise("CHANGED")
-    sided = both.select("path", kind.alias("kind"), "old_hash", "new_hash")
+    sided = cut(both.select("path", kind.alias("kind"), "old_hash", "new_hash"))
     renames = rename_pairs(sided.where("kind = 'DELETED'").select("path", F.col("old_hash").alias("content_hash")), sided.where("kind = 'NEW'").select("path", F.col("new_hash").alias("content_hash")))
-    out = sided.join(renames.select(F.col("new_path").alias("path"), "old_path"), "path", "left").join(renames.select(F.col("old_path").alias("path"), F.lit(True).alias("moved")), "path", "left")
-    return out.where("not (kind = 'DELETED' and coalesce(moved, false))").select("path", F.when(F.col("old_path").isNotNull(), "RENAMED").otherwise(F.col("kind")).alias("kind"), "old_path")
+    # one small table says of a path that it is new by a move, or gone by one; only new and deleted paths can be in it
+    moves = renames.select(F.explode(F.array(F.struct(F.col("new_path").alias("path"), F.col("old_path").alias("old_path")), F.struct(F.col("old_path").alias("path"), F.lit(None).cast("string").alias("old_path")))).alias("m")).select("m.*", F.lit(True).alias("moved"))
+    once = sided.where("kind in ('NEW', 'DELETED')").join(moves, "path", "left")
+    once = once.where("not (kind = 'DELETED' and moved is not null)").select("path", F.when(F.col("old_path").isNotNull(), "RENAMED").otherwise(F.col("kind")).alias("kind"), "old_path")
+    return once.unionByName(sided.where("kind not in ('NEW', 'DELETED')").select("path", "kind", F.lit(None).cast("string").alias("old_path")))
 
 
 def statistics(changes: DataFrame) -> DataFrame:

@@ -3,12 +3,12 @@
 from pyspark.sql import Window as W, functions as F
 
 from quarry.operators import changes, lookups, model, nesting, snapshot_diff, validate
-from quarry.sources.tables import table
+from quarry.sources.tables import cut, table
 
 
 def _ends(spark, folder):
     """The first and the last snapshot of each repository, as manifests of path and content_hash."""
-    held = snapshot_diff.resolve_entries(table(spark, folder, "manifest_entries")).withColumn("path", F.concat_ws("/", "repo", "path"))
+    held = cut(snapshot_diff.resolve_entries(table(spark, folder, "manifest_entries")).where("ordinal = 1 or next_no is null").select(F.concat_ws("/", "repo", "path").alias("path"), "ordinal", "next_no", "digest"))
     pick = lambda c: held.where(c).select("path", F.coalesce("digest", F.lit("")).alias("content_hash"))
     return pick("ordinal = 1"), pick("next_no is null")
 
