@@ -300,6 +300,50 @@ class Islands:
             i += 1
         return n
 
+    def body_end(self, at: int, start_line: int) -> int | None:
+        """The last line of the body behind a signature that begins on ``start_line`` and ends at offset ``at``: that of
+        the bracket that closes it, or of the indented block; the signature's own where there is no body (an abstract
+        method), None where brackets or block are not complete."""
+        text = self.text
+        here = bisect_right(self.starts, max(0, at - 1))
+        if self.language != "python":
+            while text[at : at + 1] and (text[at] in " \t\r\n" or at in self.spans and text[at] == "/"):
+                at = self.spans[at] if at in self.spans else at + 1
+            if text[at : at + 1] == "{":
+                self._match()
+                close = self.partner.get(at)
+                return None if close is None else bisect_right(self.starts, close)
+            if text[max(0, at - 2) : at].strip().endswith("=>") or text[:at].rstrip().endswith("=>"):
+                end = at
+                self._match()
+                while end < len(text) and text[end] not in ";\n":
+                    end = self.spans[end] if end in self.spans else self.partner[end] + 1 if end in self.partner else end + 1
+                return bisect_right(self.starts, max(at, min(end, len(text) - 1)))
+            return here
+        if text[at - 1 : at] != ":":
+            return None
+        rest = text[at : self.starts[here] if here < len(self.starts) else len(text)]
+        if rest.strip() and not rest.strip().startswith("#"):
+            return here
+        if self._long is None:
+            self._long = sorted((a, e) for a, e in self.spans.items() if "\n" in text[a:e])
+        indent = len(self.line(start_line)) - len(self.line(start_line).lstrip())
+        last = None
+        for no in range(here + 1, len(self.starts) + 1):
+            lo = self.starts[no - 1]
+            k = bisect_right(self._long, (lo, 0)) - 1
+            line = self.line(no)
+            if k >= 0 and self._long[k][0] < lo < self._long[k][1]:
+                last = no
+            elif line.strip() and not line.lstrip().startswith("#"):
+                if len(line) - len(line.lstrip()) <= indent and line.lstrip()[0] not in ")]}":
+                    break
+                last = no
+        return last
+
+    #: Literals of several lines, in order, made when a body is met that ends by indentation.
+    _long: list[tuple[int, int]] | None = None
+
     def docstring(self, at: int) -> str | None:
         """The raw docstring behind a Python signature that ends at offset ``at``."""
         text, n = self.text, len(self.text)
@@ -322,9 +366,9 @@ class Islands:
         return body[quote:-quote]
 
 
-def documentation(islands: Islands, start_line: int, name: str) -> tuple[str, str] | None:
-    """(signature, documentation) of the function declared on ``start_line``; None if its documentation is
-    missing or trivial.  A docstring is preferred to the comment above."""
+def documentation(islands: Islands, start_line: int, name: str) -> tuple[str, str, int | None] | None:
+    """(signature, documentation, last line of the body) of the function declared on ``start_line``; None if its
+    documentation is missing or trivial.  A docstring is preferred to the comment above."""
     if not 1 <= start_line <= len(islands.starts):
         return None
     lo = islands.starts[start_line - 1]
@@ -335,15 +379,15 @@ def documentation(islands: Islands, start_line: int, name: str) -> tuple[str, st
         if raw is not None:
             lines = [x.strip() for x in _NEWLINES.split(raw)]
             if not is_trivial(lines, name):
-                return signature, "\n".join(lines).strip()
+                return signature, "\n".join(lines).strip(), islands.body_end(end, start_line)
     above = islands.above(start_line)
     lines = [x for raw in above for x in cleaned(raw)]
     if lines and not is_trivial(lines, name):
-        return signature, "\n".join(x for x in lines if not DIRECTIVE.match(x)).strip()
+        return signature, "\n".join(x for x in lines if not DIRECTIVE.match(x)).strip(), islands.body_end(end, start_line)
     return None
 
 
-PAIRS = "symbol_id string, file_id string, name string, symbol_type string, signature string, documentation string"
+PAIRS = "symbol_id string, file_id string, name string, symbol_type string, signature string, documentation string, end_line int"
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,13 +405,14 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     found = documentation(islands, s["start_line"], s["name"] or "")
                     if found:
                         rows.append((s["id"], file_id, s["name"], s["symbol_type"], *found))
-            columns = list(zip(*rows)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()) for c in columns], names=[x.split()[0] for x in PAIRS.split(", ")])
+            columns = list(zip(*rows)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int32() if i == 6 else pa.string()) for i, c in enumerate(columns)], names=[x.split()[0] for x in PAIRS.split(", ")])
 
 
 def function_pairs(symbols: DataFrame, corpus: DataFrame) -> DataFrame:
-    """symbol_id, file_id, name, symbol_type, signature, documentation of every function and method with
-    documentation that isn't missing or trivial, each symbol once.
+    """symbol_id, file_id, name, symbol_type, signature, documentation, end_line of every function and method with
+    documentation that isn't missing or trivial, each symbol once.  ``end_line`` is the last line of the body, null
+    where its brackets or block are not complete.
 
     Symbol types are compared without case and padding.  A symbol without id, file or line, or whose file
     has no content or an unknown language, has no documentation.  The symbols of a file (only their id,

@@ -213,7 +213,7 @@ def test_documentation(text, language, line, name, doc):
 
 def test_signature_spans_lines():
     got = docpairs.documentation(docpairs.Islands('def f(\n    a: dict = {"x": ")"},\n    b=1,\n) -> int:\n    """Counts what is left over."""\n', "python"), 1, "f")
-    assert got == ('def f( a: dict = {"x": ")"}, b=1, ) -> int:', "Counts what is left over.")
+    assert got == ('def f( a: dict = {"x": ")"}, b=1, ) -> int:', "Counts what is left over.", 5)
 
 
 def test_function_pairs(spark):
@@ -382,7 +382,7 @@ def test_comment_above_a_long_annotation():
 def test_long_signatures():
     items = ", ".join(f"({i}, ':')" for i in range(9_000))
     text = f"def f(a=[{items}], b={{'x': [{items}]}}) -> int:\n    \"\"\"Returns the number of all given items.\"\"\"\n    return 1\n"
-    signature, documentation = docpairs.documentation(docpairs.Islands(text, "python"), 1, "f")
+    signature, documentation, _ = docpairs.documentation(docpairs.Islands(text, "python"), 1, "f")
     assert signature.endswith("-> int:") and documentation == "Returns the number of all given items."
     text = "/** Returns the number of all given items. */\nfunction f(a = [" + "[1], " * 9_000 + "], b) {\n}\n"
     assert docpairs.documentation(docpairs.Islands(text, "javascript"), 2, "f")[0].endswith("], b)")
@@ -493,3 +493,36 @@ def test_garbled_any_number_of_times(times):
     for _ in range(times):
         garbled = garbled.encode().decode("latin-1")
     assert mojibake.restore(garbled)[0] == text
+
+
+@pytest.mark.parametrize(
+    "text, language, line, end",
+    [
+        ("# Adds the two numbers.\ndef f(a, b):\n    s = '''\nx\n'''\n\n    return s\n\nx = 1\n", "python", 2, 7), ("# Adds the two numbers.\ndef f(a): return a\n", "python", 2, 2), ("# Adds the two numbers.\ndef f(\n    a,\n):\n    return g(\n        a,\n)\n", "python", 2, 7),
+        ("// Adds the two numbers.\nfunction f(a) {\n  return '}' + { b: 1 };\n}\n", "javascript", 2, 4), ("// Adds the two numbers.\nconst f = (a) => a +\n  g(\n    1);\n", "javascript", 2, 2), ("// Adds the two numbers.\nfunction f(a) {\n", "javascript", 2, None),
+        ("/** Adds the two numbers. */\nabstract int f(int a);\n", "java", 2, 2), ("// F adds the two numbers.\nfunc F(a int) int {\n\t// }\n\treturn a\n}\n", "go", 2, 5),
+    ],
+)
+def test_bodies_are_balanced(text, language, line, end):
+    assert docpairs.documentation(docpairs.Islands(text, language), line, "f")[2] == end
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_composition_and_the_whole_parser_agree():
+    import duckdb
+
+    from quarry.llm.syntax import compose, lexer
+
+    languages = {"js": "javascript", "mjs": "javascript", "ts": "typescript", "java": "java", "go": "go"}
+    rows = duckdb.sql("select path, content from '/root/testdata/sf0.01/corpus.parquet' where content <> ''").fetchall()
+    composed = 0
+    for path, text in rows:
+        language = languages.get(path.rsplit(".", 1)[-1].lower())
+        if language:
+            shape = lexer.shape(text, language)
+            parser = compose.PARSERS[language](shape.replace("\x02", "\n"))
+            parser.run()
+            if compose.composes(shape, language):
+                composed += 1
+                assert not parser.fault_count, path
+    assert composed > 200
