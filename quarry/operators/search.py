@@ -84,10 +84,12 @@ def spread_factor(rows: DataFrame) -> int:
     return rows.sparkSession.sparkContext.defaultParallelism
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
     """query_id, vec_id, score, position: the ``k`` nearest vectors of each query vector by cosine, never
     itself; scores rounded to 6 places, ties by vec_id.
 
+    ``where`` says which vectors may be answers, by their metadata or model version.
+
     The stated query set is held in blocks of about 256 against all vectors: each block of queries is an
     array in one row, so a vector meets a block in one row and emits only its pairs.  The vectors of a block are salted,
     and each group of vectors keeps its best k per query before the final ranking.  This is exact and costs every pair of
@@ -97,7 +99,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     salts = spread_factor(vectors)
     block = F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))
     blocks = queries.select(block.alias("block"), F.struct(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), norm(F.col("embedding")).alias("size")).alias("q")).groupBy("block").agg(F.collect_list("q").alias("qs")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    usable = vectors.where("vec_id is not null and embedding is not null").select("vec_id", "embedding")
+    usable = (vectors if where is None else vectors.where(where)).where("vec_id is not null and embedding is not null").select("vec_id", "embedding")
     copies = spread(usable, "vec_id").withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int")).select("vec_id", "salt", "embedding", norm(F.col("embedding")).alias("size"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("block"))
     pairs = copies.join(blocks, ["block", "salt"]).select("vec_id", "embedding", "size", F.explode("qs").alias("q")).where("vec_id <> q.query_id")
     scored = pairs.select(F.col("q.query_id").alias("query_id"), "vec_id", F.round(F.try_divide(dot(F.col("embedding"), F.col("q.query")), F.col("size") * F.col("q.size")), 6).alias("score"))

@@ -75,8 +75,11 @@ def index_repository(spark: SparkSession, root: str, index_dir: str | None = Non
     delta = cut(changes.diff(previous.select("path", "content_hash"), records.select("path", "content_hash")))
     plan = cut(changes.reuse_plan(delta, records, previous))
 
-    code = plan.where("decision = 'PARSE'").select("path").join(scanned.where("decision = 'KEPT'").where(languages.is_code(F.col("language"))).select("path", "length", "language"), "path")
-    parsed = cut(parse_files(listing.with_content(code, root), slices=True, balanced=True))
+    code = plan.where("decision = 'PARSE'").select("path").join(scanned.where("decision = 'KEPT'").where(languages.is_code(F.col("language"))).select("path", "length", "language", "content_hash"), "path")
+    read = listing.with_content(code, root)
+    same = ids.content_hash("content") == F.col("content_hash")  # else the run fails, and the version before stays active
+    read = read.withColumn("content", F.when(same, F.col("content")).otherwise(F.raise_error(F.concat(F.lit("changed while it was indexed: "), "path")).cast("binary")))
+    parsed = cut(parse_files(read, slices=True, balanced=True))
     outcome = parsed.select("path", F.col("parse_status").alias("s"), F.col("parse_error").alias("e"), F.col("node_count").alias("n"), F.col("max_depth").alias("d"))
     carried = plan.select("path", "decision", F.col("parse_status").alias("ps"), F.col("parse_error").alias("pe"), F.col("node_count").alias("pn"), F.col("max_depth").alias("pd"))
     files = (
@@ -96,7 +99,7 @@ def index_repository(spark: SparkSession, root: str, index_dir: str | None = Non
         "chunks": model.chunk_table(parsed, symbols, stamp),
         "diagnostics": model.diagnostic_table(parsed, symbols),
         "excluded": repository.exclusion_ledger(scanned),
-        "calls": calls, "imports": imports, "bindings": bindings,
+        "calls": calls, "imports": imports, "bindings": bindings, "manifest": store.manifest(files),
     }
     names = {t: store.column_names(t) for t in store.SCHEMAS}
     tables = {t: df.select(*names[t]) for t, df in tables.items()}

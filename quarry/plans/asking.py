@@ -1,10 +1,12 @@
 """Queries of syntax, graph, retrieval, resolution, answers and streams."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quarry.functions import ids, text
 from quarry.operators import answers, graph, lookups, model, resolve, retrieve, search, vectors
-from quarry.sources.tables import cut, table
+from quarry.sources.tables import cut, ensure_checkpoint_dir, table
 from quarry.streaming import feeds
 from quarry.syntax.engine import parse_files
 from quarry.syntax.facts import BINDINGS
@@ -323,11 +325,30 @@ def stream_dedupe(spark, folder):
     return feeds.run_to_end(s, "quarry_dedupe")
 
 
+def stream_totals(spark, folder):
+    """Each user's events and their value, by a stateful operator over the stream: the last row of each user."""
+    rows = feeds.run_to_end(feeds.running_totals(feeds.event_time(feeds.replay(spark, folder, "events"))), "quarry_totals", "update")
+    last = rows.groupBy("user_id").agg(F.max_by("total", "n").alias("total"), F.max("n").alias("n"))
+    return last.select("user_id", "n", F.round("total", 4).alias("total"))
+
+
+def stream_changes(spark, folder):
+    """The change feed over all entries of the manifest, each path's latest against its earliest: what came in as new, and
+    what differs."""
+    entries = feeds.replay(spark, folder, "manifest_entries").where("repo is not null and path is not null").select(F.concat_ws("/", "repo", "path").alias("path"), "content_hash", "loaded_at")
+    m = table(spark, folder, "manifest_entries").where("repo is not null and path is not null").select(F.concat_ws("/", "repo", "path").alias("path"), "content_hash", "loaded_at")
+    known = cut(m.groupBy("path").agg(F.min_by("content_hash", F.struct("loaded_at", "content_hash")).alias("content_hash")).where("length(path) % 7 <> 0"))
+    target = f"{ensure_checkpoint_dir(spark)}/quarry_changes-{uuid.uuid4().hex}"
+    q = feeds.change_feed(entries, lambda: known, lambda df, n: df.write.mode("overwrite").parquet(f"{target}/batch={n}")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(target).select("path", "kind", "old_path").distinct()
+
+
 QUERIES = {
     f.__name__: f
     for f in (parse_outcomes, extract_symbols, extract_imports, extract_calls, extract_inherits, extract_bindings, parse_diagnostics, import_chunks, extract_declared, model_symbols, model_relationships, model_chunks, model_resolutions, assemble_relationships, assemble_chunks, resolve_targets, resolve_imports,
               graph_callers, graph_callees, graph_khop, impact, graph_cycles, graph_paths, graph_path_evidence, symbol_search, bm25_topk, bm25_indexed, vector_topk, vector_index, hybrid_rrf, hybrid_context, context_budget, store_lookups, intents, invalidated_edges,
-              event_tumbling, event_sliding, event_session, stream_tumbling, stream_dedupe)
+              event_tumbling, event_sliding, event_session, stream_tumbling, stream_dedupe, stream_totals, stream_changes)
 }
 
 _CONTAINERS = r"""
@@ -457,5 +478,9 @@ ORACLES = {
     "event_sliding": _WINDOW.format(start="w", source="(select event_type, value, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - interval 1 hour]) as w from events)"),
     "event_session": """with g as (select user_id, ts, case when ts - lag(ts) over w >= interval 30 minutes or lag(ts) over w is null then 1 else 0 end as fresh from events window w as (partition by user_id order by ts)),
   k as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as s from g) select user_id, min(ts) as session_start, count(*) as n from k group by user_id, s""",
+    "stream_totals": "select user_id, count(*) as n, round(sum(value), 4) as total from events group by user_id",
+    "stream_changes": """with m as (select distinct repo || '/' || path as path, content_hash, loaded_at from manifest_entries where repo is not null and path is not null),
+  old as (select path, content_hash as h from m qualify row_number() over (partition by path order by loaded_at nulls first, content_hash nulls first) = 1), new as (select path, content_hash as h from m qualify row_number() over (partition by path order by loaded_at desc nulls last, content_hash desc nulls last) = 1)
+  select n.path, case when o.path is null then 'NEW' when o.h = n.h and o.h <> '' then 'UNCHANGED' else 'CHANGED' end as kind, null::varchar as old_path from new n left join (select * from old where length(path) % 7 <> 0) o using (path)""",
     "stream_dedupe": "select distinct event_id, user_id from events",
 }

@@ -36,6 +36,7 @@ SCHEMAS |= {
     "calls": "path string, enclosing string, receiver string, callee string, call_id string",
     "imports": "path string, module string, name string",
     "bindings": "path string, enclosing string, name string, type_name string, scope string",
+    "manifest": "path string, content_hash string, language string, size bigint",
     "resolutions": "call_id string, path string, target_id string, rung int, resolution_status string",
 }
 # The canonical order of each exported table.
@@ -50,6 +51,7 @@ ORDERS = {
     "calls": ["path", "call_id"],
     "imports": ["path", "module", "name"],
     "bindings": ["path", "coalesce(enclosing, '')", "scope", "name"],
+    "manifest": ["path"],
     "resolutions": ["path", "call_id"],
 }
 

@@ -298,6 +298,33 @@ def test_hybrid(spark):
     assert [g[0] for g in got] == [1, 4, 2] and [g[2] for g in got] == [10, 20, 30]  # 3 is a copy of 1, 5 has no text, 6 is beyond the budget
 
 
+def test_context_of_a_question(spark):
+    symbols = spark.createDataFrame([("s1", "save"), ("s2", "run"), ("s3", "other")], "id string, name string")
+    chunks = spark.createDataFrame([("c1", "s1", "def save(): pass"), ("c2", "s2", "def run(): store()"), ("c3", "s3", "nothing of interest"), ("c4", None, None)], "id string, symbol_id string, text string")
+    edges = edges_of(spark, [("s2", "s1"), ("s3", None)])
+    assert [r.id for r in retrieve.context("Who calls save?", symbols, chunks, edges).orderBy("position").collect()] == ["c1", "c2"]
+    assert retrieve.context("?!", symbols, chunks, edges).count() == 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quarry.cli import main
+
+    (tmp_path / "a.py").write_text("def run():\n    return helper()\n\n\ndef helper():\n    return 1\n")
+    (tmp_path / "bad.py").write_text("def f(:\n")
+    root = str(tmp_path)
+    assert main(["status", root, "--json"]) == 1 and main(["index", root]) == 0
+    capsys.readouterr()
+    assert main(["status", root, "--json"]) == 0
+    status = json.loads(capsys.readouterr().out)
+    assert [d["path"] for d in status["degraded"]] == ["bad.py"] and status["statuses"] == {"OK": 1, "FAILED": 1}
+    assert main(["ask", root, "what does helper do", "--json"]) == 0 and json.loads(capsys.readouterr().out)["rows"]
+    assert main(["inspect", root, "helper", "--json", "--limit", "5"]) == 0 and json.loads(capsys.readouterr().out)["symbols"][0]["name"] == "helper"
+    assert main(["export", root, str(tmp_path / "out"), "--json"]) == 0
+    names = [x["qualified_name"] for x in json.loads((tmp_path / "out/symbols.json").read_text())]
+    assert names == sorted(names) and "a:helper" in names
+    assert {x["path"] for x in json.loads((tmp_path / "out/manifest.json").read_text())} == {"a.py", "bad.py"}
+
+
 def test_hops_have_their_edges_and_evidence(spark):
     e = edges_of(spark, [("a", "b"), ("b", "c")]).withColumn("id", F.concat("source", "target"))
     shown = spark.createDataFrame([("ab", "e2"), ("ab", "e1")], "entity_id string, evidence_id string")
