@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import ids, text
 from quarry.operators import answers, graph, lookups, model, resolve, retrieve, search, vectors
+from quarry.plans.scan import _CODE, _MODULE, _language_sql, _list
 from quarry.sources.tables import cut, ensure_checkpoint_dir, table
 from quarry.streaming import feeds
 from quarry.syntax.engine import parse_files
@@ -419,6 +420,9 @@ e as (select type, path, source, target, target_name, loc from owned union all
 """
 ORACLES = {
     "extract_imports": _IMPORTS + "select path, module, case when name is null then []::varchar[] else [name] end as names, null::varchar as alias, null::varchar as enclosing, start_line::int as start_line from i",
+    "resolve_imports": _IMPORTS + f""", named as (select path, {_MODULE} as module from (select path from f where {_language_sql('path')} in {_list(_CODE)})),
+  modules as (select module, count(*) as n, min({_id('sym_', 'path', "'MODULE'", 'module')}) as id from named group by module)
+  select distinct i.path, i.module, case when n = 1 then id end as target_id, case when n is null then 'UNRESOLVED' when n = 1 then 'RESOLVED_EXACT' else 'AMBIGUOUS' end as resolution_status from i left join modules using (module)""",
     "import_chunks": _IMPORTS + """, c as (select path, string_agg(module || case when name is null then '' else ' (' || name || ')' end, chr(10) order by start_line) as text from i group by path)
   select f.path, coalesce(c.text, '(no imports)') as text from f left join c using (path)""",
     "extract_declared": f"""with {_SLICES}, s as (select distinct path, name, upper(trim(symbol_type)) as symbol_type, coalesce(array_to_string(lines[location.start_line:location.end_line], chr(10)), '') as t from code_symbols join lines using (file_id))
