@@ -87,6 +87,14 @@ shared as (select a.id as a, b.id as b, count(*) as k from sets a join sets b on
 ORACLES["p6_found"] = _SETS_SQL + """select a as chunk_id_a, b as chunk_id_b from shared join sizes x on x.id = a join sizes y on y.id = b
 where k * 10 >= 7 * (x.n + y.n - k)"""
 
+ORACLES["p6_groups"] = "with recursive " + _SETS_SQL.strip().removeprefix("with ") + """,
+h as (select distinct c.id, s.content_hash as d from semantic_chunks c join code_symbols s on s.id = c.symbol_id where c.chunk_type in ('function', 'method') and s.content_hash <> ''),
+one as (select a, b from shared join sizes x on x.id = a join sizes y on y.id = b where k * 10 >= 7 * (x.n + y.n - k) union select x.id, y.id from h x join h y on x.d = y.d and x.id < y.id),
+e as (select a, b from one union select b, a from one),
+reach as (select a as id, a as c from e union select e.b, reach.c from reach join e on e.a = reach.id),
+classes as (select id, min(c) as class_id from reach group by id)
+select id, class_id, count(*) over (partition by class_id) as class_size from classes"""
+
 
 def p1_found(spark, folder):
     return handwritten.generated_files(table(spark, folder, "file_records"), table(spark, folder, "corpus"))
