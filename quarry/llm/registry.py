@@ -42,7 +42,19 @@ def p2_found(spark, folder):
     return splitting.oversized_pieces(table(spark, folder, "semantic_chunks")).select("chunk_id").distinct()
 
 
-QUERIES |= {"p2_found": p2_found, "p2_pieces": p2_pieces}
+def p2_rejoined(spark, folder):
+    """Each oversized chunk put together again from its pieces without their overlaps; within_limit and repeats_end say
+    that no piece is too large, and that each piece but the first begins with the end of the one before."""
+    p = p2_pieces(spark, folder)
+    pieces = F.array_sort(F.collect_list(F.struct("piece_no", "text", "overlap_chars")))
+    rows = p.groupBy("chunk_id", "source_hash").agg(pieces.alias("pieces"))  # a chunk's own pieces
+    fresh = F.array_join(F.transform("pieces", lambda x: F.substr(x["text"], x["overlap_chars"] + 1)), "")
+    shared = F.transform(F.sequence(F.lit(1), F.size("pieces") - 1), lambda i: F.get("pieces", i)["text"].startswith(F.right(F.get("pieces", i - 1)["text"], F.lit(splitting.OVERLAP_TOKENS * splitting.CHARS_PER_TOKEN))))
+    return rows.select("chunk_id", F.sha2(fresh, 256).alias("text_hash"), F.length(fresh).alias("chars"), F.forall("pieces", lambda x: F.floor(F.length(x["text"]) / 4) <= splitting.LIMIT_TOKENS).alias("within_limit"), F.forall(shared, lambda x: x).alias("repeats_end"))
+
+
+QUERIES |= {"p2_found": p2_found, "p2_pieces": p2_pieces, "p2_rejoined": p2_rejoined}
+ORACLES["p2_rejoined"] = "select distinct id as chunk_id, sha256(text) as text_hash, length(text)::int as chars, true as within_limit, true as repeats_end from semantic_chunks where length(text) // 4 > 512"
 ORACLES["p2_found"] = "select distinct id as chunk_id from semantic_chunks where length(text) // 4 > 512"
 
 
@@ -60,7 +72,30 @@ def p8_fill(spark, folder):
     return fill.agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), F.round(F.sum("used") / (F.count("*") * packing.CAPACITY), 4).alias("share_used"))
 
 
-QUERIES |= {"p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill}
+def p8_documents(spark, folder):
+    """Of each document whether its tokens are placed completely, once and in order, and whether it is whole unless it is
+    larger than a container."""
+    p = packing.pack_documents(table(spark, folder, "documents"))
+    steps = F.array_sort(F.collect_list(F.struct("from_token", "to_token")))
+    d = p.groupBy("doc_id").agg(steps.alias("s"))  # a document's own pieces
+    joined = F.forall(F.sequence(F.lit(0), F.size("s") - 1), lambda i: F.get("s", i)["from_token"] == F.when(i == 0, 0).otherwise(F.get("s", i - 1)["to_token"]))
+    return d.select("doc_id", joined.alias("complete"), ((F.size("s") == 1) | (F.element_at("s", -1)["to_token"] > packing.CAPACITY)).alias("whole"))
+
+
+def p8_free(spark, folder):
+    """One row: containers that are too full, and places that two tokens share."""
+    from pyspark.sql import Window as W
+
+    p = packing.pack_documents(table(spark, folder, "documents"))
+    w = W.partitionBy("container_id").orderBy("at_token")
+    size = F.col("to_token") - F.col("from_token")
+    ends = p.withColumn("last", F.lag(F.col("at_token") + size).over(w))
+    return ends.agg(F.count_if(F.col("at_token") + size > packing.CAPACITY).alias("too_full"), F.count_if(F.col("at_token") < F.col("last")).alias("shared"))
+
+
+QUERIES |= {"p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p8_documents": p8_documents, "p8_free": p8_free}
+ORACLES["p8_documents"] = "select distinct doc_id, true as complete, true as whole from documents where text <> ''"
+ORACLES["p8_free"] = "select 0::bigint as too_full, 0::bigint as shared"
 
 
 def p6_found(spark, folder):
