@@ -240,7 +240,9 @@ class PythonBackend:
                     clean += m[2] == "class"
                     kind = "CLASS" if m[2] == "class" else "FUNCTION"
                     f.symbols.append({"ordinal": len(f.symbols), "name": m[3], "qualified_name": f"{walk.module}:{m[3]}", "symbol_type": kind, "signature": lines[lo].strip()[:200], "documentation": None, "parent": walk.module, "span": span(lo + 1, 0, hi, len(lines[hi - 1].encode()))})
-                    if kind == "CLASS":
+                    if kind == "FUNCTION":
+                        self.head(f, lines, lo, hi, f"{walk.module}:{m[3]}")
+                    else:
                         self.methods(f, f"{walk.module}:{m[3]}", lines, lo + 1, hi)
                 continue
             ast.increment_lineno(tree, lo)
@@ -255,12 +257,23 @@ class PythonBackend:
         for i in range(lo, hi):
             m = _HEADER.match(lines[i])
             if m and m[1] and m[2] == "def":
-                head, j = lines[i].strip(), i
-                while head.count("(") > head.count(")") and j + 1 < hi and not _HEADER.match(lines[j + 1]):
-                    j += 1
-                    head += " " + lines[j].strip()
-                try:
-                    ast.parse(head.rstrip(":") + ": pass")  # a missing colon is no reason to lose the method
-                except SyntaxError:
+                if not self.head(f, lines, i, hi, f"{owner}.{m[3]}"):
                     continue
                 f.symbols.append({"ordinal": len(f.symbols), "name": m[3], "qualified_name": f"{owner}.{m[3]}", "symbol_type": "METHOD", "signature": lines[i].strip()[:200], "documentation": None, "parent": owner, "span": span(i + 1, len(m[1]), i + 1, len(lines[i].encode()))})
+
+    def head(self, f: Facts, lines: list[str], at: int, hi: int, owner: str) -> bool:
+        """Whether the head of a function that begins on line ``at`` parses; its annotated parameters are kept."""
+        head, j = lines[at].strip(), at
+        while head.count("(") > head.count(")") and j + 1 < hi and not _HEADER.match(lines[j + 1]):
+            j += 1
+            head += "\n" + lines[j]
+        try:
+            node = ast.parse(head.rstrip().rstrip(":") + ": pass").body[0]  # a missing colon is no reason to lose the method
+        except SyntaxError:
+            return False
+        indent = len(lines[at]) - len(lines[at].lstrip())
+        for a in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]:
+            if isinstance(a.annotation, ast.Name):
+                first, last = (indent if x == 1 else 0 for x in (a.lineno, a.end_lineno))
+                f.bindings.append({"name": a.arg, "type_name": a.annotation.id, "scope": "PARAMETER", "enclosing": owner, "span": span(at + a.lineno, a.col_offset + first, at + a.end_lineno, a.end_col_offset + last)})
+        return True
