@@ -425,7 +425,7 @@ ORACLES = {
   select distinct i.path, i.module, case when n = 1 then id end as target_id, case when n is null then 'UNRESOLVED' when n = 1 then 'RESOLVED_EXACT' else 'AMBIGUOUS' end as resolution_status from i left join modules using (module)""",
     "extract_bindings": r"""
 with l as (select file_id, repo, repo || '/' || path as path, unnest(lines) as line, generate_subscripts(lines, 1) as no from (select file_id, repo, path, string_split_regex(ltrim(content, chr(65279)), '\r\n|\n|\r') as lines from corpus where path like '%.py')),
-h as (select *, case when regexp_matches(line, '^\s*(async )?def \w+\(') then regexp_replace(line, '^\s*(?:async )?def \w+\(', '') when regexp_matches(line, '^\s+\w+: \w+( = [^,]*)?,$') then trim(line) end as p from l),
+h as (select *, case when regexp_matches(line, '^\s*(async )?def \w+\(.*\)') then regexp_replace(line, '^\s*(?:async )?def \w+\(', '') when regexp_matches(line, '^\s+\w+: \w+( = [^,]*)?,$') then trim(line) end as p from l),
 b as (select file_id, repo, path, no, unnest(regexp_extract_all(p, '\w+: [A-Za-z_]\w*(?: = [^,()]*)?(?:[,)]|$)')) as x from h where p is not null),
 s as (select distinct file_id, qualified_name, location.start_line as a, location.end_line as e from code_symbols where upper(trim(symbol_type)) in ('FUNCTION', 'METHOD'))
 select b.path, regexp_extract(x, '^(\w+):', 1) as name, regexp_extract(x, '^\w+: (\w+)', 1) as type_name, 'PARAMETER' as scope, b.repo || '.' || arg_max(s.qualified_name, s.a) as enclosing, b.no::int as start_line
