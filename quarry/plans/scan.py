@@ -60,6 +60,13 @@ def registry_lookup(spark, folder):
     return found.select("path", "language", languages.display_name(F.col("language")).alias("display_name"), languages.is_code(F.col("language")).alias("is_code"), languages.is_extractable(F.col("language")).alias("is_extractable"))
 
 
+def registry_check(spark, folder):
+    """What our registry says of each extension of the table of languages."""
+    e = table(spark, folder, "language_registry").select(F.lower("extension").alias("extension")).distinct()
+    found = e.select("extension", languages.detect(F.concat(F.lit("x"), "extension")).alias("language"))
+    return found.select("extension", F.lower("language").alias("language"), languages.is_code(F.col("language")).alias("is_code"))
+
+
 def signature_doc_clean(spark, folder):
     s = table(spark, folder, "code_symbols").select("id", "documentation", "signature").distinct()
     return s.select("id", text.clean_doc("documentation").alias("documentation"), text.signature_of("signature").alias("signature"), text.looks_like_identifier("signature").alias("is_identifier")).distinct()
@@ -109,7 +116,7 @@ def table_digests(spark, folder):
     return out
 
 
-QUERIES = {f.__name__: f for f in (snapshot_manifest, classify_files, exclusion_ledger, exclusion_counts, language_histogram, file_records, model_version, tree_version, registry_summary, registry_lookup, signature_doc_clean, chunk_signatures, line_slices, span_functions, evidence, entity_ids, overload_ids, table_digests)}
+QUERIES = {f.__name__: f for f in (snapshot_manifest, classify_files, exclusion_ledger, exclusion_counts, language_histogram, file_records, model_version, tree_version, registry_summary, registry_lookup, registry_check, signature_doc_clean, chunk_signatures, line_slices, span_functions, evidence, entity_ids, overload_ids, table_digests)}
 
 
 def _sid(prefix: str, *parts: str) -> str:
@@ -198,6 +205,7 @@ ORACLES = {
     "tree_version": f"select 'mv_' || left(sha1({_bag('d')}), 16) as model_version from (select sha256('sha256:' || sha256(content)) as d from corpus)",
     "table_digests": " union all ".join(f"select '{t}' as name, {_bag('d')} as digest from (select sha256(to_json({{{fields}}})) as d from {t})" for t, fields in _FIELDS.items()),
     "registry_summary": f"select {len(languages.rows())} as registered, {len(_CODE)} as code_languages, {len({e.lower() for r in languages.rows() for e in r[2]})} as extensions, {len({n for r in languages.rows() for n in r[3]})} as filenames, {sum(r[5] for r in languages.rows())} as extractable",
+    "registry_check": "select distinct lower(extension) as extension, lower(language) as language, is_code from language_registry",
     "registry_lookup": f"""select path, language, coalesce(case language {" ".join(f"when '{r[0]}' then '{r[1]}'" for r in languages.rows())} end, 'Unknown') as display_name,
   coalesce(language in {_list(_CODE)}, false) as is_code, coalesce(language in {_list(r[0] for r in languages.rows() if r[5])}, false) as is_extractable
   from (select path, {_language_sql('path')} as language from (select path from excluded_files union select path from corpus))""",

@@ -24,7 +24,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not sc.master.startswith("local[") and sc.master != "local":
+        if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="quarry-ckpt-")
     sc.setCheckpointDir(folder)
