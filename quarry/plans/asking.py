@@ -294,6 +294,18 @@ def intents(spark, folder):
     return d.select("doc_id", answers.classify_intent(F.col("text")).alias("i")).select("doc_id", "i.intent", "i.confidence")
 
 
+def answers_of_intents(spark, folder):
+    """The answers about the first class by name: who is in it, what it is in, what a change of it touches, and where it is."""
+    s = table(spark, folder, "code_symbols")
+    name = s.where("upper(trim(symbol_type)) = 'CLASS'").agg(F.min("name").alias("n")).first().n
+    edges = cut(_containers(spark, folder))
+    out = None
+    for intent in ("FIND_CALLERS", "FIND_CALLEES", "IMPACT", "DEFINITION"):
+        one = answers.answer(intent, name, s, edges, 3).select(F.lit(intent).alias("intent"), "node", "via", "distance")
+        out = one if out is None else out.unionByName(one)
+    return out.distinct()
+
+
 def invalidated_edges(spark, folder):
     edges = _containers(spark, folder).select(F.concat_ws(">", "source", "target").alias("id"), F.col("source").alias("source_symbol_id"), F.col("target").alias("target_symbol_id"))
     changed = table(spark, folder, "code_symbols").where("upper(trim(symbol_type)) = 'CLASS'").select("id")
@@ -348,7 +360,7 @@ def stream_changes(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (parse_outcomes, extract_symbols, extract_imports, extract_calls, extract_inherits, extract_bindings, parse_diagnostics, import_chunks, extract_declared, model_symbols, model_relationships, model_chunks, model_resolutions, assemble_relationships, assemble_chunks, resolve_targets, resolve_imports,
-              graph_callers, graph_callees, graph_khop, impact, graph_cycles, graph_paths, graph_path_evidence, symbol_search, bm25_topk, bm25_indexed, vector_topk, vector_index, hybrid_rrf, hybrid_context, context_budget, store_lookups, intents, invalidated_edges,
+              graph_callers, graph_callees, graph_khop, impact, graph_cycles, graph_paths, graph_path_evidence, symbol_search, bm25_topk, bm25_indexed, vector_topk, vector_index, hybrid_rrf, hybrid_context, context_budget, store_lookups, intents, answers_of_intents, invalidated_edges,
               event_tumbling, event_sliding, event_session, stream_tumbling, stream_dedupe, stream_totals, stream_changes)
 }
 
@@ -484,6 +496,10 @@ from b join s on s.file_id = b.file_id and b.no between s.a and s.e group by b.p
   union all select distinct 'evidence', {_id('ev_', 'c.id', 'c.file_id', 'c.location.start_line', 'c.location.end_line', "'offline.ast'")} from code_symbols c, x where c.id = x.id""",
     "intents": f"""select doc_id, case when len(h) = 0 then 'UNKNOWN' when len(h) > 2 then 'AMBIGUOUS' else h[1] end as intent, case when len(h) > 0 then round(1.0 / len(h), 6) else 0.0 end as confidence
   from (select doc_id, list_filter([{_HITS}], lambda x: x is not null) as h from documents where text is not null)""",
+    "answers_of_intents": _CONTAINERS + """, n as (select distinct id from code_symbols where lower(name) = (select lower(min(name)) from code_symbols where upper(trim(symbol_type)) = 'CLASS')),
+  one as (select n.id as via, e.source as node from n join e on e.target = n.id), two as (select one.via, e.source as node from one join e on e.target = one.node), three as (select two.via, e.source as node from two join e on e.target = two.node),
+  far as (select via, node, min(d) as d from (select via, node, 1 as d from one union all select via, node, 2 from two union all select via, node, 3 from three) group by all)
+  select 'FIND_CALLERS' as intent, node, via, 1 as distance from one union select 'FIND_CALLEES', e.target, e.source, 1 from n join e on e.source = n.id union select 'IMPACT', node, via, min(d) from far where node <> via group by node, via union select 'DEFINITION', id, id, 0 from n""",
     "event_tumbling": _WINDOW.format(start="date_trunc('hour', ts)", source="events"),
     "stream_tumbling": _WINDOW.format(start="date_trunc('hour', ts)", source="events"),
     "event_sliding": _WINDOW.format(start="w", source="(select event_type, value, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - interval 1 hour]) as w from events)"),

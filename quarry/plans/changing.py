@@ -44,6 +44,16 @@ def reuse_plan(spark, folder):
     return changes.reuse_plan(delta, last, first)
 
 
+def run_counters(spark, folder):
+    """What a run over the latest scans has to do: files by decision and outcome."""
+    plan = reuse_plan(spark, folder)
+    one = lambda c: F.count_if(c)
+    return plan.agg(
+        F.count("*").alias("scanned"), one(F.col("decision") == "PARSE").alias("parsed"), one(F.col("decision") == "REUSE").alias("reused"), one(F.col("parse_status").isin("PARTIAL", "FAILED")).alias("degraded"),
+        one(F.col("parse_status") == "FAILED").alias("failed"), one(F.col("parse_status") == "UNSUPPORTED").alias("unsupported"),
+    )
+
+
 def restamp(spark, folder):
     return changes.restamp(table(spark, folder, "code_symbols").select("id", "model_version").distinct(), F.lit("mv_next")).distinct()
 
@@ -117,6 +127,13 @@ def validate_relationships(spark, folder):
     return validate.relationship_problems(_relationships(spark, folder))
 
 
+def validation_report(spark, folder):
+    """Everything wrong with a model of faulty tables: rules, references and repeated ids of all five tables."""
+    files, symbols, chunks = table(spark, folder, "file_records").distinct(), _faulty_symbols(spark, folder), table(spark, folder, "semantic_chunks").distinct()
+    evidence = model.evidence_table(symbols.select("id", "file_id", "location", "model_version").distinct())
+    return validate.model_problems(files, symbols, _relationships(spark, folder), evidence, chunks)
+
+
 def dangling_references(spark, folder):
     symbols, files = table(spark, folder, "code_symbols").select("id", "file_id").distinct(), table(spark, folder, "file_records")
     chunks = table(spark, folder, "semantic_chunks").select("id", "symbol_id").distinct()
@@ -168,7 +185,7 @@ def unresolved_edges(spark, folder):
 
 QUERIES = {
     f.__name__: f
-    for f in (change_detect, change_stats, scheduled_paths, rename_pairs, reuse_plan, restamp, nesting_parents, enclosing_lookup, doc_attach, validate_files, validate_symbols, validate_chunks, validate_evidence, validate_relationships, dangling_references, duplicate_ids, valid_symbols, model_counts, status_histogram, claim_validation, degraded_files, source_files, unresolved_edges)
+    for f in (change_detect, change_stats, scheduled_paths, rename_pairs, reuse_plan, restamp, nesting_parents, enclosing_lookup, doc_attach, validate_files, validate_symbols, validate_chunks, validate_evidence, validate_relationships, validation_report, run_counters, dangling_references, duplicate_ids, valid_symbols, model_counts, status_histogram, claim_validation, degraded_files, source_files, unresolved_edges)
 }
 
 _ENDS = r"""
@@ -269,3 +286,17 @@ ORACLES["validate_evidence"] = f"""with b as (select 'ev_' || left(sha1(coalesce
   from (select distinct id, file_id, location, model_version from {_FAULTY})),
   e as (select * replace (case when (e % 5) = 3 then '' else entity_id end as entity_id), case e % 5 when 1 then 1.5 when 2 then -0.5 else 1.0 end as score from b)
 """ + " union all ".join(f"select 'evidence' as entity_kind, id as entity_id, '{k}' as rule from e where {v}" for k, v in {"evidence.lines.start": "s < 1", "evidence.lines.order": "e < s", "evidence.entity.missing": "coalesce(entity_id, '') = ''", "file_id.missing": "coalesce(file_id, '') = ''", "version.missing": "coalesce(model_version, '') = ''", "evidence.score.range": "score not between 0 and 1"}.items())
+ORACLES["run_counters"] = f"""with p as ({ORACLES['reuse_plan']}) select count(*) as scanned, count(*) filter (decision = 'PARSE') as parsed, count(*) filter (decision = 'REUSE') as reused,
+  count(*) filter (parse_status in ('PARTIAL', 'FAILED')) as degraded, count(*) filter (parse_status = 'FAILED') as failed, count(*) filter (parse_status = 'UNSUPPORTED') as unsupported from p"""
+_CHUNK_RULES = {"chunk.symbol.missing": "coalesce(symbol_id, '') = ''", "chunk.text.missing": "coalesce(text, '') = ''", "chunk.type.missing": "coalesce(chunk_type, '') = ''", "chunk.tokens.negative": "token_count < 0", "version.missing": "coalesce(model_version, '') = ''"}
+_EVIDENCE_RULES = {"evidence.lines.start": "start_line < 1", "evidence.lines.order": "end_line < start_line", "evidence.entity.missing": "coalesce(entity_id, '') = ''", "file_id.missing": "coalesce(file_id, '') = ''", "version.missing": "coalesce(model_version, '') = ''", "evidence.score.range": "score not between 0 and 1"}
+_dangling = lambda kind, source, column, target, extra="true": f"select '{kind}' as entity_kind, id as entity_id, 'dangling.{column}' as rule from {source} where {column} is not null and {extra} and {column} not in (select id from {target} where id is not null)"
+ORACLES["validation_report"] = f"""with fr as (select distinct * from file_records), sy as (select * from {_FAULTY}), re as (select * from {_REL}), ch as (select distinct * from semantic_chunks),
+  ev as (select 'ev_' || left(sha1(coalesce(id, '') || chr(31) || coalesce(file_id, '') || chr(31) || location.start_line || chr(31) || location.end_line || chr(31) || 'offline.ast'), 16) as id, id as entity_id, file_id, location.start_line as start_line, location.end_line as end_line, 1.0 as score, model_version
+    from (select distinct id, file_id, location, model_version from sy))
+""" + " union all ".join([
+    ORACLES["validate_files"].replace("(select distinct * from file_records)", "fr"), _rules("symbol", _SYMBOL_RULES, "sy"), ORACLES["validate_relationships"].replace(_REL, "re"), _rules("evidence", _EVIDENCE_RULES, "ev"), _rules("chunk", _CHUNK_RULES, "ch"),
+    _dangling("symbol", "sy", "file_id", "fr"), _dangling("relationship", "re", "source_symbol_id", "sy"), _dangling("relationship", "re", "target_symbol_id", "sy", "not starts_with(target_symbol_id, 'unresolved:')"),
+    _dangling("evidence", "ev", "file_id", "fr"), _dangling("evidence", "ev", "entity_id", "sy"), _dangling("chunk", "ch", "symbol_id", "sy"),
+    *(f"select '{kind}' as entity_kind, id as entity_id, 'id.repeated' as rule from {t} group by id having count(*) > 1" for kind, t in (("file", "fr"), ("symbol", "sy"), ("relationship", "re"), ("evidence", "ev"), ("chunk", "ch"))),
+])

@@ -25,6 +25,14 @@ def classify_files(spark, folder):
     return repository.classify(_corpus(spark, folder)).select("path", "language", "pruned", "decision", "parse_status", "file_kind")
 
 
+#: A scan that keeps generated files, and leaves out only what is named here.
+OPTIONS = repository.ScanOptions(directories=("vendor", "Tests"), suffixes=(".min.js", ".go"), filenames=("index.py",), detect_generated=False, detect_binary=False)
+
+
+def classify_with_options(spark, folder):
+    return repository.classify(_corpus(spark, folder), OPTIONS).select("path", "language", "pruned", "decision", "parse_status", "file_kind")
+
+
 def exclusion_ledger(spark, folder):
     return repository.exclusion_ledger(repository.classify(_corpus(spark, folder)))
 
@@ -116,7 +124,7 @@ def table_digests(spark, folder):
     return out
 
 
-QUERIES = {f.__name__: f for f in (snapshot_manifest, classify_files, exclusion_ledger, exclusion_counts, language_histogram, file_records, model_version, tree_version, registry_summary, registry_lookup, registry_check, signature_doc_clean, chunk_signatures, line_slices, span_functions, evidence, entity_ids, overload_ids, table_digests)}
+QUERIES = {f.__name__: f for f in (snapshot_manifest, classify_files, classify_with_options, exclusion_ledger, exclusion_counts, language_histogram, file_records, model_version, tree_version, registry_summary, registry_lookup, registry_check, signature_doc_clean, chunk_signatures, line_slices, span_functions, evidence, entity_ids, overload_ids, table_digests)}
 
 
 def _sid(prefix: str, *parts: str) -> str:
@@ -195,6 +203,10 @@ ORACLES = {
     "snapshot_manifest": f"""select file_id, {_sid('file_', 'path')} as path_id, 'sha256:' || sha256(content) as content_hash, length, {_LINES.format(t='content')}::int as line_count,
   {_TOKENS.format(t='content')}::int as tokens, {_MODULE} as module_path, regexp_extract({_MODULE}, '([^.]*)$', 1) as module_name, {_language_sql('path')} as language from corpus""",
     "classify_files": CLASSIFIED + f"select path, language, pruned, decision, {_STATUS} as parse_status, {_KIND} as file_kind from classified",
+    "classify_with_options": f"""with base as (select repo || '/' || path as path, content, length, string_split(repo || '/' || path, '/') as parts from corpus),
+  named as (select *, {_language_sql('path')} as language, list_extract(parts, -1) as name, list_position(list_transform(parts[:-2], lambda p: lower(p) in ('vendor', 'tests')), true) as pos from base),
+  classified as (select *, case when pos > 0 then array_to_string(parts[:pos], '/') end as pruned, case when pos > 0 then 'PRUNED' when name = 'index.py' or regexp_matches(lower(name), '([.]min[.]js|[.]go)$') then 'IGNORED' when content is null then 'UNREADABLE' else 'KEPT' end as decision from named)
+  select path, language, pruned, decision, {_STATUS} as parse_status, {_KIND} as file_kind from classified""",
     "exclusion_ledger": CLASSIFIED + ", " + _LEDGER + "select path, reason, size::bigint as size from ledger",
     "exclusion_counts": CLASSIFIED + ", " + _LEDGER + "select reason, count(*) as n from ledger group by reason",
     "language_histogram": CLASSIFIED + "select language, count(*) as n from classified where decision in ('KEPT', 'UNREADABLE') and language is not null group by language",

@@ -132,6 +132,12 @@ def test_status_ladder(language, source, status):
     assert any(d["code"] == "extract.no_query" for d in f.diagnostics) == (language == "haskell")
 
 
+def test_diagnostics_of_one_file_are_bounded_and_say_how_many_there_were():
+    row = parse_one(b"x ] y\n" * 250, "c", "x").row("x")
+    codes = [d["code"] for d in row["diagnostics"]]
+    assert codes.count("parse.error_node") == 100 and codes[100:] == ["parse.truncated", "parse.no_clean_statements"] and row["diagnostics"][100]["message"].startswith("151 ")
+
+
 def test_deep_nesting_of_python():
     source = "".join(" " * i + "if x:\n" for i in range(300)) + " " * 300 + "f(1)\nclass A:\n    def m(self):\n        pass\n"
     f = parse_one(source.encode(), "python", "x.py")
