@@ -22,7 +22,7 @@ _MOD = r"(?:(?:public|private|protected|internal|static|final|abstract|sealed|op
 _PAREN = r"\([^;{}]*?\)"
 _JS = [("class", rf"^[ \t]*{_MOD}class\s+(?P<name>[\w$]+)"), ("function", rf"^[ \t]*{_MOD}function\s*\*?\s*(?P<name>[\w$]+)\s*(?:<[^>]*>)?\s*\("), ("function", r"^[ \t]*(?:export\s+)?(?:const|let|var)\s+(?P<name>[\w$]+)\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:\([^;{}]*?\)|[\w$]+)\s*(?::[^={]+)?=>"), ("member", rf"^[ \t]+{_MOD}(?:get\s+|set\s+)?\*?(?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b|new\b)(?P<name>[\w$#]+)\s*(?:<[^>]*>)?{_PAREN}\s*(?::[^={{;\n]+)?\{{")]
 _TS = [*_JS, ("interface", rf"^[ \t]*{_MOD}interface\s+(?P<name>[\w$]+)"), ("enum", rf"^[ \t]*{_MOD}enum\s+(?P<name>[\w$]+)"), ("type", rf"^[ \t]*{_MOD}type\s+(?P<name>[\w$]+)[^=\n]*=")]
-_CURLY_FN = rf"^[ \t]*{_MOD}(?!return\b|else\b|new\b|throw\b|if\b|for\b|while\b|switch\b|using\b|namespace\b|package\b|import\b)(?:<[^>]+>\s*)?[\w:<>\[\],.?*&~ ]+?[\s*&](?P<name>~?\w+)\s*{_PAREN}[^;{{}}()=]*\{{"
+_CURLY_FN = rf"^[ \t]*(?=[^\n;=({{}}]*[\s*&]~?\w+\s*\(){_MOD}(?!return\b|else\b|new\b|throw\b|if\b|for\b|while\b|switch\b|using\b|namespace\b|package\b|import\b)(?:<[^>]+>\s*)?[\w:<>\[\],.?*&~ ]+?[\s*&](?P<name>~?\w+)\s*{_PAREN}[^;{{}}()=]*\{{"
 #: language -> (kind of declaration, pattern)
 DEFINITIONS: dict[str, list[tuple[str, str]]] = {
     "javascript": _JS,
@@ -36,13 +36,28 @@ DEFINITIONS: dict[str, list[tuple[str, str]]] = {
     "csharp": [("class", rf"^[ \t]*{_MOD}(?:class|struct|record)\s+(?P<name>\w+)"), ("interface", rf"^[ \t]*{_MOD}interface\s+(?P<name>\w+)"), ("enum", rf"^[ \t]*{_MOD}enum\s+(?P<name>\w+)"), ("module", r"^[ \t]*namespace\s+(?P<name>[\w.]+)"), ("member", _CURLY_FN)],
     "ruby": [("class", r"^[ \t]*class\s+(?P<name>\w+)"), ("module", r"^[ \t]*module\s+(?P<name>\w+)"), ("method", r"^[ \t]*def\s+(?:self\.)?(?P<name>\w+[?!=]?)")],
     "php": [("class", rf"^[ \t]*{_MOD}(?:class|trait)\s+(?P<name>\w+)"), ("interface", r"^[ \t]*interface\s+(?P<name>\w+)"), ("enum", r"^[ \t]*enum\s+(?P<name>\w+)"), ("function", rf"^[ \t]*{_MOD}function\s+&?(?P<name>\w+)")],
-    "kotlin": [("interface", rf"^[ \t]*{_MOD}interface\s+(?P<name>\w+)"), ("enum", rf"^[ \t]*{_MOD}enum\s+class\s+(?P<name>\w+)"), ("class", rf"^[ \t]*{_MOD}(?:class|object)\s+(?P<name>\w+)"), ("function", rf"^[ \t]*{_MOD}fun\s+(?:<[^>]*>\s*)?(?:[\w<>]+\.)?(?P<name>\w+)")],
-    "swift": [("class", rf"^[ \t]*{_MOD}(?:class|struct|actor|extension)\s+(?P<name>\w+)"), ("enum", rf"^[ \t]*{_MOD}enum\s+(?P<name>\w+)"), ("interface", rf"^[ \t]*{_MOD}protocol\s+(?P<name>\w+)"), ("function", rf"^[ \t]*{_MOD}func\s+(?P<name>\w+)")],
-    "scala": [("interface", rf"^[ \t]*{_MOD}trait\s+(?P<name>\w+)"), ("class", rf"^[ \t]*{_MOD}(?:class|object)\s+(?P<name>\w+)"), ("type", rf"^[ \t]*{_MOD}type\s+(?P<name>\w+)"), ("function", rf"^[ \t]*{_MOD}def\s+(?P<name>\w+)")],
+    "kotlin": [("interface", rf"^[ \t]*{_MOD}interface\s+(?P<name>\w+)"), ("enum", rf"^[ \t]*{_MOD}enum\s+class\s+(?P<name>\w+)"), ("class", rf"^[ \t]*{_MOD}(?:class|object)\s+(?P<name>\w+)"), ("function", rf"^[ \t]*{_MOD}fun\s+(?:<[^>]*>\s*)?(?:[\w<>]+\.)?(?P<name>\w+)"), ("constructor", rf"^[ \t]*{_MOD}class\s+\w+(?:<[^>]*>)?\s*(?:{_MOD}constructor\s*)?(?P<name>\([^()]*(?:\([^()]*\)[^()]*)*\))"), ("constructor", r"^[ \t]+(?:(?:private|protected|public|internal)\s+)?(?P<name>constructor\([^()]*\))")],
+    "swift": [("class", rf"^[ \t]*{_MOD}(?:class|struct|actor|extension)\s+(?P<name>\w+)"), ("enum", rf"^[ \t]*{_MOD}enum\s+(?P<name>\w+)"), ("interface", rf"^[ \t]*{_MOD}protocol\s+(?P<name>\w+)"), ("function", rf"^[ \t]*{_MOD}func\s+(?P<name>\w+)"), ("constructor", rf"^[ \t]+{_MOD}(?P<name>init)\b[?!]?\s*(?:<[^>]*>)?\(")],
+    "scala": [("interface", rf"^[ \t]*{_MOD}trait\s+(?P<name>\w+)"), ("class", rf"^[ \t]*{_MOD}class\s+(?P<name>\w+)"), ("module", rf"^[ \t]*{_MOD}object\s+(?P<name>\w+)"), ("type", rf"^[ \t]*{_MOD}type\s+(?P<name>\w+)"), ("method", rf"^[ \t]*{_MOD}def\s+(?P<name>\w+)")],
     "lua": [("method", r"^[ \t]*function\s+\w+[.:](?P<name>\w+)"), ("function", r"^[ \t]*(?:local\s+)?function\s+(?P<name>\w+)\s*\(")],
     "bash": [("function", r"^[ \t]*function\s+(?P<name>[\w-]+)"), ("function", r"^[ \t]*(?P<name>[\w-]+)\s*\(\)")],
     "dart": [("enum", r"^[ \t]*enum\s+(?P<name>\w+)"), ("class", rf"^[ \t]*{_MOD}(?:class|mixin|extension)\s+(?P<name>\w+)"), ("member", _CURLY_FN)],
 }
+_ARGS = r"\([^;{}=]*\)"
+#: Declarations that end with their statement: packages and namespaces of a file, and members without a body, which count
+#: only directly inside of a class or interface.
+STATEMENTS: dict[str, list[tuple[str, str]]] = {
+    "java": [("package", r"^package\s+(?P<name>[\w.]+)\s*;"), ("member", rf"^[ \t]+(?=[^\n;=({{}}]*[\w>\]]\s+\w+\s*\(){_MOD}(?!return\b|new\b|throw\b|else\b)(?:<[^>]+>\s*)?[\w<>\[\],.? ]+?\s(?P<name>\w+)\s*{_ARGS}\s*(?:throws\s+[\w., ]+)?;")],
+    "csharp": [("member", rf"^[ \t]+(?=[^\n;=({{}}]*[\w>\]?]\s+\w+\s*(?:<[^>]*>)?\(){_MOD}(?!return\b|new\b|throw\b|else\b|await\b)[\w<>\[\],.? ]+?\s(?P<name>\w+)\s*(?:<[^>]*>)?{_ARGS}\s*;")],
+    "cpp": [("member", rf"^[ \t]+(?:virtual\s+|static\s+|explicit\s+|inline\s+)*(?!return\b|new\b|throw\b|delete\b|else\b)[\w:<>*&, ]+?[\s*&](?P<name>~?\w+)\s*{_ARGS}\s*(?:const\b|override\b|noexcept\b|=\s*(?:0|default|delete)|\s)*;"), ("type", r"^[ \t]*typedef\s+[^;{}]*?(?P<name>\w+)\s*;")],
+    "c": [("type", r"^[ \t]*typedef\s+[^;{}]*?(?P<name>\w+)\s*;")],
+    "dart": [("member", rf"^[ \t]+{_MOD}(?!return\b|new\b|throw\b|else\b|await\b|super\b|this\b)(?:[\w<>\[\],.? ]+?\s)?(?P<name>\w+)\s*\([^;{{}}]*?\)\s*(?::[^;{{]*)?;"), ("function", rf"^(?:[\w<>\[\],.? ]+\s)?(?P<name>\w+)\s*\([^;{{}}]*?\)\s*(?:async\s*)?=>")],
+    "typescript": [("member", rf"^[ \t]+{_MOD}(?:get\s+|set\s+)?(?!return\b|if\b|for\b|while\b|switch\b|await\b|throw\b|new\b|super\b)(?P<name>[\w$#]+)\??\s*(?:<[^>]*>)?\([^;{{}}]*?\)\s*:[^;{{=\n]+;")],
+    "go": [("package", r"^package\s+(?P<name>\w+)")], "kotlin": [("package", r"^package\s+(?P<name>[\w.]+)")], "php": [("package", r"^namespace\s+(?P<name>[\w\\]+)\s*;")], "scala": [("package", r"^package\s+(?P<name>[\w.]+)")],
+}
+STATEMENTS["tsx"] = STATEMENTS["typescript"]
+#: The parameters of a class, which are its fields.
+_CLASS_PARAMETER = re.compile(r"(?:(?<=\()|,)\s*(?:(?:private|protected|public|internal|override|vararg|val|var)\s+)*(?P<name>\w+)\s*:")
 _ACCESS = r"(?:(?:public|private|protected|internal|static|final|readonly|const|volatile|transient|declare|abstract|override|late|external|covariant|open|lateinit|weak|lazy|required|fileprivate|unowned|mutable|var|abstract)\s+)*"
 _TYPED = rf"^[ \t]+{_ACCESS}(?!return\b|throw\b|else\b|new\b|using\b|import\b|package\b|typedef\b|goto\b|delete\b|case\b|break\b|continue\b)[\w:<>\[\],.?*& ]+?[\s*&>\]](?P<name>\w+)(?:\[[^\]\n]*\])?\s*(?:=[^;\n]*)?;"
 _ES_FIELD = rf"^[ \t]+{_ACCESS}(?!return\b|throw\b|break\b|continue\b|await\b|yield\b|delete\b)(?P<name>#?[\w$]+)\s*[?!]?\s*(?::[^=;\n(]+)?(?:=(?![=>])[^;\n]*)?;[ \t]*$"
@@ -95,8 +110,8 @@ def bases(head: str, language: str) -> list[str]:
 
 
 _CALL = re.compile(r"(?P<chain>[\w$]+(?:(?:\.|->|::|\?\.)[\w$]+)*)\s*\(")
-_NOT_CALLS = frozenset("if for while switch catch return function func fn def class new sizeof typeof elif when match super await yield throw".split())
-KINDS = {"class": "CLASS", "interface": "INTERFACE", "enum": "ENUM", "function": "FUNCTION", "method": "METHOD", "constructor": "CONSTRUCTOR", "type": "TYPE_ALIAS", "module": "MODULE", "field": "FIELD"}
+_NOT_CALLS = frozenset("import package if for while switch catch return function func fn def class new sizeof typeof elif when match super await yield throw".split())
+KINDS = {"class": "CLASS", "interface": "INTERFACE", "enum": "ENUM", "function": "FUNCTION", "method": "METHOD", "constructor": "CONSTRUCTOR", "type": "TYPE_ALIAS", "module": "MODULE", "field": "FIELD", "package": "MODULE"}
 
 
 class RulesBackend:
@@ -125,6 +140,7 @@ class RulesBackend:
             return re.sub(r"[^\n]", " ", m[0])
 
         blank = literals.sub(blanked, text)
+        self.closing = self.braces(blank)
         self.balance(f, blank, language)
         self.declarations(f, text, blank, starts, language, path)
         self.references(f, text, blank, starts, language)
@@ -141,27 +157,30 @@ class RulesBackend:
     def extent(self, blank: str, at: int, language: str) -> int:
         """Where the declaration that begins at ``at`` ends."""
         if language in END_BLOCKS:
-            indent = re.match(r"[ \t]*", blank[blank.rfind("\n", 0, at) + 1 :])[0]
+            indent = _INDENT.match(blank, blank.rfind("\n", 0, at) + 1)[0]
             m = re.compile(rf"^{indent}end\b", re.M).search(blank, at)
             return m.end() if m else len(blank)
-        i = at
-        while i < len(blank) and blank[i] not in "{;":
-            if blank[i] == "\n" and blank[i + 1 : i + 2] == "\n":
-                return i
-            i += 1
-        if i >= len(blank) or blank[i] == ";":
-            return min(i + 1, len(blank))
-        depth = 0
-        for m in re.compile(r"[{}]").finditer(blank, i):
-            depth += 1 if m[0] == "{" else -1
-            if depth == 0:
-                return m.end()
-        return len(blank)
+        m = _HEAD_END.search(blank, at)
+        if m is None:
+            return len(blank)
+        if m[0] == "{":
+            return self.closing.get(m.start(), len(blank) - 1) + 1
+        return m.end() if m[0] == ";" else m.start()
+
+    def braces(self, blank: str) -> dict[int, int]:
+        """The offset of each opening brace's partner."""
+        closing, stack = {}, []
+        for m in _BRACE.finditer(blank):
+            if m[0] == "{":
+                stack.append(m.start())
+            elif stack:
+                closing[stack.pop()] = m.start()
+        return closing
 
     def extent_by_indentation(self, blank: str, at: int, language: str) -> int:
         """The end of the last line before one that is indented no deeper, or of that line if it closes a bracket."""
         begin = blank.rfind("\n", 0, at) + 1
-        indent = len(blank[begin:]) - len(blank[begin:].lstrip(" \t"))
+        indent = len(_INDENT.match(blank, begin)[0])
         line_end = blank.find("\n", at)
         end = len(blank) if line_end < 0 else line_end
         while 0 <= line_end < len(blank):
@@ -182,11 +201,16 @@ class RulesBackend:
     def declarations(self, f: Facts, text: str, blank: str, starts: list[int], language: str, path: str) -> None:
         found = {}
         extent = self.extent if f.parse_status == "OK" else self.extent_by_indentation  # where brackets don't match, they don't tell
-        for kind, pattern in [*DEFINITIONS[language], *([("field", FIELDS[language])] if language in FIELDS else [])]:
+        statements = STATEMENTS.get(language, [])
+        for kind, pattern in [*DEFINITIONS[language], *statements, *([("field", FIELDS[language])] if language in FIELDS else [])]:
             for m in re.compile(pattern, re.M).finditer(blank):
                 at = m.start() + len(m[0]) - len(m[0].lstrip())
+                if language == "kotlin" and kind == "constructor" and m["name"][0] == "(":
+                    at = m.start("name")  # within the class that it constructs
+                    for x in _CLASS_PARAMETER.finditer(blank, at, m.end("name")):
+                        found[x.start("name"), x["name"]] = (x.start("name"), x.end("name"), "field", x["name"], x.end("name"))
                 if (m.start("name"), m["name"]) not in found:
-                    end = m.end() if kind == "field" else extent(blank, m.end() - 1 if m[0].endswith("{") else m.end(), language)
+                    end = m.end() if kind == "field" or (kind, pattern) in statements or m["name"][:1] == "(" else extent(blank, m.end() - 1 if m[0].endswith("{") else m.end(), language)
                     found[m.start("name"), m["name"]] = (at, end, kind, m["name"], m.end("name"))
         module = module_path(path)
         stack: list[tuple[int, str, str]] = []
@@ -220,14 +244,15 @@ class RulesBackend:
             qualified = f"{parent[1]}.{name}" if parent else f"{module}:{name}"
             line, col = self.position(starts, text, at)
             end_line, end_col = self.position(starts, text, end)
-            head = text[at : text.find("\n", at) if "\n" in text[at:] else len(text)].strip()[:200]
+            line_end = text.find("\n", at)
+            head = text[at : line_end if line_end >= 0 else len(text)].strip()[:200]
             f.symbols.append({"ordinal": len(f.symbols), "name": name, "qualified_name": qualified, "symbol_type": symbol, "signature": head, "documentation": None, "parent": parent[1] if parent else module, "span": span(line, col, end_line, end_col)})
             if symbol in METHOD_CONTAINERS:
                 brace = blank.find("{", name_end, end)
                 head_end = blank.find("\n", name_end) if language == "ruby" else brace if brace >= 0 else min(end, blank.find("\n", name_end) % (len(blank) + 1))
                 for base in bases(blank[name_end:head_end], language):
                     f.inherits.append({"base": base, "enclosing": qualified, "span": span(line, col, line, col)})
-            if kind != "field":
+            if kind not in ("field", "package") and name[:1] != "(":
                 stack.append((end, qualified, symbol))
         f.inherits = first_wins(f.inherits, "base")
 
@@ -297,6 +322,9 @@ class RulesBackend:
                 f.say("ERROR", "parse.no_clean_statements", "no top-level statement is clean", None, "file")
 
 
+#: Where the head of a declaration ends: at its body, its semicolon, or a blank line.
+_INDENT = re.compile(r"[ \t]*")
+_HEAD_END, _BRACE = re.compile(r"[{;]|\n(?=\n)"), re.compile(r"[{}]")
 _CLOSES = {")": "(", "]": "[", "}": "{", "end": "do", "until": "do"}
 _BRACKETS = re.compile(r"[()\[\]{};\n]|[^\s()\[\]{};]+")
 _OTHER = r"\b(?:end|until)\b|[()\[\]{};\n]|\w+|[^\s()\[\]{};\w]+"

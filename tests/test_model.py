@@ -59,7 +59,7 @@ def test_python_backend_golden():
         ("php", "<?php\nclass A extends B {\n  public function m() {\n  }\n}\n", {"A": "CLASS", "m": "METHOD"}),
         ("kotlin", "class A {\n  fun m() {\n  }\n}\n", {"A": "CLASS", "m": "METHOD"}),
         ("swift", "protocol P {\n}\nstruct S {\n  func m() {\n  }\n}\n", {"P": "INTERFACE", "S": "CLASS", "m": "METHOD"}),
-        ("scala", "trait T {\n}\nobject O {\n  def m(x: Int) = {\n  }\n}\n", {"T": "INTERFACE", "O": "CLASS", "m": "METHOD"}),
+        ("scala", "trait T {\n}\nobject O {\n  def m(x: Int) = {\n  }\n}\n", {"T": "INTERFACE", "O": "MODULE", "m": "METHOD"}),
         ("c", "struct s {\n  int a;\n};\nint f(int x) {\n  return g(x);\n}\n", {"s": "CLASS", "f": "FUNCTION"}),
         ("cpp", "namespace n {\nclass A {\n};\n}\n", {"n": "MODULE", "A": "CLASS"}),
         ("csharp", "namespace N {\n  class A : B {\n    public void M(int x) {\n    }\n  }\n}\n", {"N": "MODULE", "A": "CLASS", "M": "METHOD"}),
@@ -149,7 +149,7 @@ def test_deep_nesting_of_python():
     [
         ("javascript", "class A {\n  x = 1;\n  static y;\n  m() {\n    z = 2;\n  }\n}\n", {"x", "y"}), ("typescript", "class A {\n  private readonly x: string;\n  m(): void {\n    let y = 1;\n  }\n}\n", {"x"}), ("java", "class A {\n  private final List<String> x = f();\n  int y;\n  void m() {\n    int z = 1;\n  }\n}\n", {"x", "y"}),
         ("go", "package a\n\ntype S struct {\n\tName string\n\tMap map[string]int\n}\n", {"Name", "Map"}), ("rust", "struct S {\n    pub a: u8,\n    b: Vec<u8>,\n}\n", {"a", "b"}), ("c", "struct s {\n  int a;\n  char b[4];\n};\n", {"a", "b"}), ("csharp", "class A {\n  private int x;\n}\n", {"x"}), ("php", "<?php\nclass A {\n  private $x = 1;\n}\n", {"x"}),
-        ("kotlin", "class A {\n  val x = 1\n}\n", {"x"}), ("swift", "struct A {\n  let x: Int\n}\n", {"x"}), ("dart", "class A {\n  final int x;\n}\n", {"x"}), ("bash", "X=1\nf() {\n  local y=2\n}\n", {"X", "y"}), ("cpp", "class A {\n  int x_;\n};\n", {"x_"}),
+        ("kotlin", "class A {\n  val x = 1\n}\n", {"x"}), ("kotlin", "class A(val y: Int, z: List<Int>) {\n}\n", {"y", "z"}), ("swift", "struct A {\n  let x: Int\n}\n", {"x"}), ("dart", "class A {\n  final int x;\n}\n", {"x"}), ("bash", "X=1\nf() {\n  local y=2\n}\n", {"X", "y"}), ("cpp", "class A {\n  int x_;\n};\n", {"x_"}),
     ],
 )
 def test_fields(language, source, fields):
@@ -157,6 +157,20 @@ def test_fields(language, source, fields):
     assert {s["name"] for s in f.symbols if s["symbol_type"] == "FIELD"} == fields
 
 
+@pytest.mark.parametrize(
+    "language, source, symbols",
+    [
+        ("java", "package a.b;\ninterface I {\n  boolean f(String x) throws E;\n  default void g() {\n    h(1);\n  }\n}\n", [("a.b", "MODULE"), ("I", "INTERFACE"), ("f", "METHOD"), ("g", "METHOD")]),
+        ("typescript", "interface I {\n  f(x: string): boolean;\n}\nabstract class A {\n  abstract g(): void;\n  m(): void {\n    this.n(1);\n  }\n}\n", [("I", "INTERFACE"), ("f", "METHOD"), ("A", "CLASS"), ("g", "METHOD"), ("m", "METHOD")]),
+        ("dart", "abstract class A {\n  A(this.x);\n  bool f(String y);\n}\nString g(String v) => v;\n", [("A", "CLASS"), ("A", "CONSTRUCTOR"), ("f", "METHOD"), ("g", "FUNCTION")]),
+        ("csharp", "interface I {\n  bool F(string x);\n}\n", [("I", "INTERFACE"), ("F", "METHOD")]), ("go", "package a\n", [("a", "MODULE")]), ("php", "<?php\nnamespace A\\B;\n", [("A\\B", "MODULE")]), ("swift", "class A {\n  init(x: Int) {\n  }\n}\n", [("A", "CLASS"), ("init", "CONSTRUCTOR")]),
+        ("c", "typedef struct s s_t;\nint f(int x) {\n  return g(x);\n}\n", [("s_t", "TYPE_ALIAS"), ("f", "FUNCTION")]), ("cpp", "class A {\n  virtual int f(int x) const = 0;\n};\n", [("A", "CLASS"), ("f", "METHOD")]), ("kotlin", "package a.b\n\nclass A(val x: Int)\n", [("a.b", "MODULE"), ("A", "CLASS"), ("(val x: Int)", "CONSTRUCTOR"), ("x", "FIELD")]),
+    ],
+)
+def test_statements_and_members_without_a_body(language, source, symbols):
+    assert [(s["name"], s["symbol_type"]) for s in parse_one(source.encode(), language, "m").symbols[1:]] == symbols
+
+
 @pytest.mark.parametrize(
     "language, source, docs",
     [
