@@ -195,9 +195,10 @@ def similarity_classes(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs of representatives of similarity at least 0.7, each once.  Texts of fewer than 30 tokens, empty
     and null texts are in neither.  A repeated row counts once.
     """
-    base = cut(spread(texts.where("id is not null and text is not null").select("id", "text"), "id", ordered=True).mapInArrow(_sets, SETS))
+    # texts are read twice, for the sets and for the members, so that the sets are written once only
+    base = spread(texts.where("id is not null and text is not null").select("id", "text"), "id", ordered=True).mapInArrow(_sets, SETS)
     reps = cut(base.groupBy("digest").agg(F.first("shingles", ignorenulls=True).alias("shingles")).withColumn("rid", F.monotonically_increasing_id()))
-    members = base.select("id", "digest").distinct().join(reps.select("digest", "rid"), "digest").select("id", "rid").distinct()
+    members = cut(base.select("id", "digest").distinct().join(reps.select("digest", "rid"), "digest").select("id", "rid"))
     candidates = bucket_pairs(reps.select("rid", "shingles").mapInArrow(_keys, "key bigint, rid bigint")).where("rid_a < rid_b").distinct()
     up, down = THRESHOLD
     both = F.size(F.array_intersect("shingles_a", "shingles_b"))
